@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_pii_spans": pii.op6_pii_spans,
         "op7_hypergeometric_shards": sharding.op7_hypergeometric_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_pii_spans": pii.op6_sql()}
