@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, sharding
+from . import neardup, packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_setsketch_near_duplicates": neardup.op3_setsketch_near_duplicates,
         "op6_pii_spans": pii.op6_pii_spans,
         "op7_hypergeometric_shards": sharding.op7_hypergeometric_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pii_spans": pii.op6_sql()}
+    return {"op3_setsketch_near_duplicates": neardup.OP3_SQL, "op6_pii_spans": pii.op6_sql()}
