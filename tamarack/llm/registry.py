@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, pii, sharding
+from . import neardup, packing, pii, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii_spans": pii.op6_pii_spans,
         "op7_hypergeometric_shards": sharding.op7_hypergeometric_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_fingerprint_index_repeats": substrings.op10_fingerprint_index_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_setsketch_near_duplicates": neardup.OP3_SQL, "op6_pii_spans": pii.op6_sql()}
+    return {
+        "op3_setsketch_near_duplicates": neardup.OP3_SQL,
+        "op6_pii_spans": pii.op6_sql(),
+        "op10_fingerprint_index_repeats": substrings.OP10_SQL,
+    }
