@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, pii, sharding, substrings, toxicity
+from . import neardup, packing, pii, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_setsketch_near_duplicates": neardup.op3_setsketch_near_duplicates,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
+        "op5_latent_neighbour_quality": quality.op5_latent_neighbour_quality,
         "op6_pii_spans": pii.op6_pii_spans,
         "op7_hypergeometric_shards": sharding.op7_hypergeometric_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
