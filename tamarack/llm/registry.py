@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, pii, quality, sharding, substrings, toxicity
+from . import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
         "op3_setsketch_near_duplicates": neardup.op3_setsketch_near_duplicates,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_latent_neighbour_quality": quality.op5_latent_neighbour_quality,
