@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity
+from . import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii_spans": pii.op6_pii_spans,
         "op7_hypergeometric_shards": sharding.op7_hypergeometric_shards,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_url_language_models": urls.op9_url_language_models,
         "op10_fingerprint_index_repeats": substrings.op10_fingerprint_index_repeats,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_setsketch_near_duplicates": neardup.OP3_SQL,
         "op6_pii_spans": pii.op6_sql(),
+        "op9_url_language_models": urls.op9_url_language_models,
         "op10_fingerprint_index_repeats": substrings.OP10_SQL,
     }
