@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urls
+from . import audio, decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
+        "op2_chroma_fingerprints": audio.op2_chroma_fingerprints,
         "op3_setsketch_near_duplicates": neardup.op3_setsketch_near_duplicates,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_latent_neighbour_quality": quality.op5_latent_neighbour_quality,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chroma_fingerprints": audio.op2_chroma_fingerprints,
         "op3_setsketch_near_duplicates": neardup.OP3_SQL,
         "op6_pii_spans": pii.op6_sql(),
         "op9_url_language_models": urls.op9_url_language_models,
