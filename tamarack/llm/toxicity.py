@@ -229,13 +229,16 @@ class ToxicityModel:
 
 def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
     """Fit on (text, label); ``share`` is label 1's share where the model is used, else the sample's."""
-    sample = [(w, y) for t, y in sample if (w := lower_words_of(t))]
-    y = np.array([y for _, y in sample], np.float32)
+    numbers = _Numbers()
+    coded, y = [], []
+    for text, label in sample:
+        if words := lower_words_of(text):
+            coded.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            y.append(label)
+    y = np.array(y, np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
     share = float(y.mean()) if share is None else share
-    numbers = _Numbers()
-    coded = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w, _ in sample]
     vocabulary = numbers.new
     seen = [Counter(), Counter()]
     for c, label in zip(coded, y, strict=True):
@@ -297,7 +300,7 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
         if epoch >= 2 or epoch == epochs - 1:
             if epoch % 2 == 0 or epoch == epochs - 1:
                 gates = net.gates(net.inputs(vocabulary))
-                value = np.concatenate([net.forward(gates, flat[at : at + 4096]) for at in range(0, len(flat), 4096)])
+                value = np.concatenate([net.forward(gates, flat[at : at + 2048]) for at in range(0, len(flat), 2048)])
 
     # Platt's scaling of the highest window, weighted to the share in use
     top = value[best()].astype(np.float64)
