@@ -98,20 +98,22 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, key: list[str | Column], s
     parts = max(1, -(-total // (n_shards * block_rows)))
     salted = lambda k: F.xxhash64(F.lit(seed * 3 + k), *key)
     rest = [c for c in df.columns if c not in ("shard", "slot")]
-    keyed = df.select(F.pmod(salted(0), F.lit(blocks)).alias("_block"), salted(1).alias("_first"), salted(2).alias("_second"), *(F.col(f"`{c}`") for c in rest))
+    # the row's own columns travel in one, so that no name of theirs meets one of ours
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")
+    keyed = df.select(F.pmod(salted(0), F.lit(blocks)).alias("block"), salted(1).alias("first"), salted(2).alias("second"), F.struct(*key).alias("key"), row)
 
-    found = {r["_block"]: r["n"] for r in keyed.groupBy("_block").agg(F.count("*").alias("n")).collect()}
+    found = {r["block"]: r["n"] for r in keyed.groupBy("block").agg(F.count("*").alias("n")).collect()}
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     drawn = communication_matrix([found.get(b, 0) for b in range(blocks)], sizes, seed)
-    matrix = _table(spark, [{"_block": b, "_upto": np.cumsum(line).tolist()} for b, line in enumerate(drawn)], "_block:bigint,_upto:array<bigint>")
+    matrix = _table(spark, [{"block": b, "upto": np.cumsum(line).tolist()} for b, line in enumerate(drawn)], "block:bigint,upto:array<bigint>")
 
-    local = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy("_first", *key)))
-    sent = local.join(matrix, "_block").withColumn("shard", F.size(F.filter("_upto", lambda c: c < F.col("_rank"))).cast("int")).drop("_block", "_first", "_rank", "_upto")
+    local = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("first", "key")))
+    sent = local.join(matrix, "block").select(F.size(F.filter("upto", lambda c: c < F.col("rank"))).cast("int").alias("shard"), "second", "key", "row")
     # part of a shard: an interval of the second hash, so that parts in order are the shard in order
-    sent = sent.withColumn("_part", F.shiftright(F.shiftrightunsigned("_second", 33) * F.lit(parts), 31))
-    before = sent.groupBy("shard", "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = sent.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_second", *key)))
-    return ranked.join(before, ["shard", "_part"]).select(*(F.col(f"`{c}`") for c in rest), "shard", (F.col("_base") + F.col("_rank") - 1).alias("slot"))
+    sent = sent.withColumn("part", F.shiftright(F.shiftrightunsigned("second", 33) * F.lit(parts), 31))
+    before = sent.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    ranked = sent.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("second", "key")))
+    return ranked.join(before, ["shard", "part"]).select(*(F.col("row")[c].alias(c) for c in rest), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
 
 
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,22 +184,22 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "u
     short_batches(df.sparkSession, 10_000)
     added = ("host", "path", "rule", "score", "verdict")
     rest = [c for c in df.columns if c not in added]
-    url = F.col(f"`{url_col}`")
-    named = df.select(*(F.col(f"`{c}`") for c in rest), host_of(url).alias("host"), path_of(url).alias("path"))
-    named = named.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), rule_of(F.col("host"), F.col("path"), rules, "verdict").alias("_ruled"))
-    known = named.where(F.col("_ruled").isNotNull()).select(url.alias("url"), (F.col("_ruled") == "allow").alias("accepted"))
+    # the row's own columns travel in one, so that no name of theirs meets one of ours
+    named = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(f"`{url_col}`").alias("url"))
+    named = named.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules, "verdict"))
+    known = named.where("ruled is not null").select("url", (F.col("ruled") == "allow").alias("accepted"))
     model = fit_urls(known if examples is None else known.unionByName(examples.select("url", "accepted")))
 
-    @F.pandas_udf("double")
     def score(urls: pd.Series) -> pd.Series:
         out = np.full(len(urls), np.nan)
         at = np.flatnonzero([isinstance(u, str) and bool(u) for u in urls])
         out[at] = model.scores([urls.iloc[i] for i in at])
         return pd.Series(out).where(~np.isnan(out), None)
 
-    scored = named.withColumn("score", score(F.when(F.col("_ruled").isNull(), url)))
-    verdict = F.coalesce("_ruled", F.when(F.col("score") < model.threshold, "block").otherwise("allow"))
-    return scored.select(*(F.col(f"`{c}`") for c in rest), "host", "path", "rule", "score", verdict.alias("verdict"))
+    scored = named.withColumn("score", F.pandas_udf(score, "double")(F.when(F.col("ruled").isNull(), F.col("url"))))
+    verdict = F.coalesce("ruled", F.when(F.col("score") < model.threshold, "block").otherwise("allow"))
+    return scored.select(*(F.col("row")[c].alias(c) for c in rest), "host", "path", "rule", "score", verdict.alias("verdict"))
 
 
 def op9_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
