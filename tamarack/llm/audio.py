@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, read, short_batches
+from .common import map_frames, materialize, read, short_batches
 
 RATE, FRAME, HOP = 11025, 4096, 1365
 LOWEST, HIGHEST = 28.0, 3520.0
@@ -150,7 +150,7 @@ def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False)
             yield pdf[rest].assign(codes=[c.view(np.int32) for c, _ in found], sounding=[s for _, s in found])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", codes array<int>, sounding array<boolean>"
-    return df.mapInPandas(run, schema)
+    return df.transform(map_frames, run, schema)
 
 
 def align(recordings: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
@@ -186,7 +186,7 @@ def sonified(vectors: DataFrame) -> DataFrame:
             sounds = [None if v is None else wav_bytes(melody(np.asarray(v), 0 if pd.isna(i) else int(i) % 5)) for i, v in zip(pdf.vec_id, pdf.embedding, strict=True)]
             yield pd.DataFrame({"id": pdf.vec_id, "audio": sounds})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "id bigint, audio binary")
+    return vectors.select("vec_id", "embedding").transform(map_frames, run, "id bigint, audio binary")
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A-Z to a-z, on UTF-8 bytes; every other byte stays.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -111,6 +113,17 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h))))
 
 
+def map_frames(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas whose whole-number columns stay whole where some are null (else ids beyond 2^53 would be rounded)."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of rows that follow each other with equal keys, over batch borders."""
     held: list[pd.DataFrame] = []
@@ -141,7 +154,7 @@ def per_sorted_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.Dat
             if out is not None and len(out):
                 yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).transform(map_frames, run, schema)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

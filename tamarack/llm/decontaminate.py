@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, read, short_batches
+from .common import WordHashes, map_frames, read, short_batches
 from .latent import orthonormal
 
 FEATURE_BITS, RANK, OVERSAMPLE = 13, 64, 8
@@ -109,7 +109,7 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pd.DataFrame({"feature": at, "n": df[at]})
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.select("text").mapInPandas(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").transform(map_frames, run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
 
@@ -159,7 +159,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         yield pd.DataFrame({"piece": list(sums), "data": [x.tobytes() for x in sums.values()]})
 
     schema = "piece int, data binary"
-    sums = docs.select("text").mapInPandas(run, schema).repartition("piece").mapInPandas(add, schema).collect()
+    sums = docs.select("text").transform(map_frames, run, schema).repartition("piece").transform(map_frames, add, schema).collect()
     gram = np.zeros((FEATURES, width))
     for r in sums:
         gram[r["piece"] * piece : (r["piece"] + 1) * piece] += np.frombuffer(r["data"], "<f8").reshape(piece, width)
@@ -285,7 +285,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     for b in range(blocks):
         # at most about ITEMS rows of the benchmark at a time
         rows = sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(blocks)) == b).collect())
-        part = docs.select(id_col, "text").mapInPandas(searching(Items(rows, to_latent)), schema)
+        part = docs.select(id_col, "text").transform(map_frames, searching(Items(rows, to_latent)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

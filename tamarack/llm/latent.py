@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import map_frames
+
 #: A text to the numbers of its features and their counts; made once for each task.
 Counter = Callable[[], Callable[[str | None], tuple[np.ndarray, np.ndarray]]]
 
@@ -28,7 +30,7 @@ def document_frequencies(docs: DataFrame, text_col: str, counter: Counter, featu
         at = np.flatnonzero(df)
         yield pd.DataFrame({"feature": at, "n": df[at]})
 
-    sums = docs.select(text_col).mapInPandas(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select(text_col).transform(map_frames, run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(features + 1, np.int64)
     for r in sums:
         out[r["feature"]] = r["n"]

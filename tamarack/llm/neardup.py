@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, connected_components, lower_words_of, materialize, per_sorted_group, read, shingle_set, short_batches
+from .common import WordHashes, connected_components, lower_words_of, map_frames, materialize, per_sorted_group, read, shingle_set, short_batches
 
 #: SetSketch parameters: base, rate, and the largest register value of 16 bits.
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -206,7 +206,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int, registers: int
                 "regs": [sketch(s, salts).tobytes() if len(s) else None for s in sets],
             })
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInPandas(run, "id bigint, n bigint, h1 bigint, h2 bigint, regs binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).transform(map_frames, run, "id bigint, n bigint, h1 bigint, h2 bigint, regs binary")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -216,7 +216,7 @@ def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"rep": pdf.rep, "set": [shingle_set(hashes.of(lower_words_of(t)), k).tobytes() for t in pdf[text_col]]})
 
-    return docs.mapInPandas(run, "rep bigint, set binary")
+    return docs.transform(map_frames, run, "rep bigint, set binary")
 
 
 def _judge_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -226,7 +226,7 @@ def _judge_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
             if len(pdf):
                 yield pdf[["src", "dst"]].assign(likely=likely(_registers(pdf.regs_a), _registers(pdf.regs_b), pdf.n_a.to_numpy(), pdf.n_b.to_numpy(), threshold))
 
-    return pairs.mapInPandas(run, "src bigint, dst bigint, likely boolean")
+    return pairs.transform(map_frames, run, "src bigint, dst bigint, likely boolean")
 
 
 def _verify_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _verify_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 linked.append(den * inter >= num * (len(x) + len(y) - inter))
             yield pdf[["src", "dst"]].assign(linked=linked)
 
-    return pairs.mapInPandas(run, "src bigint, dst bigint, linked boolean")
+    return pairs.transform(map_frames, run, "src bigint, dst bigint, linked boolean")
 
 
 def _blocks(rest: DataFrame, every: DataFrame, group: str, block: int, payload: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize, read, short_batches
+from .common import map_frames, materialize, read, short_batches
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -82,7 +82,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
-    return docs.select(id_col, text_col).mapInPandas(cut, schema)
+    return docs.select(id_col, text_col).transform(map_frames, cut, schema)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[dict]:

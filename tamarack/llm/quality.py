@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, short_batches
+from .common import map_frames, read, short_batches
 from .latent import document_frequencies, inverse_frequencies, right_singular_vectors, times, weighted
 from .toxicity import held_out, labelled_sample
 
@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
             yield pdf[rest].assign(score=model.scores([count(t) for t in pdf[text_col]]).astype(np.float64))
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
-    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInPandas(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).transform(map_frames, run, schema)
 
 
 def op5_latent_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

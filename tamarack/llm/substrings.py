@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, gram_hashes, materialize, per_sorted_group, read, scratch, short_batches, words_of
+from .common import WordHashes, gram_hashes, map_frames, materialize, per_sorted_group, read, scratch, short_batches, words_of
 
 WINDOW, GRAM = 13, 6
 #: Pairs of one interval of a run, about.
@@ -157,7 +157,7 @@ class FingerprintIndex:
             hashes = WordHashes()
             yield from _gathered(batches, bits, lambda row: (np.unique(fingerprints(hashes.of(words_of(row.text)))), None))
 
-        self._write(docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, _PACKED).select("part", "keys", "docs"))
+        self._write(docs.where("doc_id is not null and text is not null").select("doc_id", "text").transform(map_frames, run, _PACKED).select("part", "keys", "docs"))
         if len(self.runs) > self.fan_in:
             self.compact()
 
@@ -175,7 +175,7 @@ class FingerprintIndex:
                     for i in range(len(pdf)):
                         yield _shared(pdf.iloc[i : i + 1])
 
-            return self._read().mapInPandas(alone, "doc_id bigint, key bigint")
+            return self._read().transform(map_frames, alone, "doc_id bigint, key bigint")
         return per_sorted_group(self._read(), ["part"], lambda _, group: _shared(group), "doc_id bigint, key bigint")
 
 
@@ -217,7 +217,7 @@ def repeated_windows(texts: DataFrame, shared: DataFrame, bits: int) -> DataFram
         late = docs > first
         return pd.DataFrame({"doc_id": docs[late], "key": keys[late].astype(np.int64)}).drop_duplicates()
 
-    packed = texts.join(_listed(shared), "doc_id").mapInPandas(emit, _PACKED)
+    packed = texts.join(_listed(shared), "doc_id").transform(map_frames, emit, _PACKED)
     return per_sorted_group(packed, ["part"], judge, "doc_id bigint, key bigint")
 
 
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
                 removed.append(n - len(words))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "kept": kept, "n_words": counts, "n_removed": removed})
 
-    return texts.join(found, "doc_id", "left").mapInPandas(strip, "doc_id bigint, kept string, n_words bigint, n_removed bigint")
+    return texts.join(found, "doc_id", "left").transform(map_frames, strip, "doc_id bigint, kept string, n_words bigint, n_removed bigint")
 
 
 def op10_fingerprint_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

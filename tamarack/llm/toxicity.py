@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import lower_words_of, read, short_batches
+from .common import lower_words_of, map_frames, read, short_batches
 
 #: Labelled documents of each label that a fit takes at most.
 SAMPLE = 2500
@@ -339,7 +339,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             yield pdf[rest].assign(score=scores.astype(np.float64))
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
-    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInPandas(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).transform(map_frames, run, schema)
 
 
 def op4_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, short_batches
+from .common import map_frames, read, short_batches
 
 ORDER, CONTEXTS = 5, 1 << 14
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%~:+@,"
@@ -154,7 +154,7 @@ def fit_urls(examples: DataFrame) -> UrlModel:
                 sums[number] = sums.get(number, 0) + np.frombuffer(data, "<f8")
         yield pd.DataFrame({"piece": list(sums), "data": [x.astype("<f4").tobytes() for x in sums.values()]})
 
-    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").mapInPandas(count, "piece int, data binary").repartition("piece").mapInPandas(add, "piece int, data binary").collect()
+    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, "piece int, data binary").repartition("piece").transform(map_frames, add, "piece int, data binary").collect()
     tables = np.zeros((_PIECES, 2 * CONTEXTS * SYMBOLS // _PIECES), np.float32)
     for r in parts:
         tables[r["piece"]] = np.frombuffer(r["data"], "<f4")
@@ -169,7 +169,7 @@ def fit_urls(examples: DataFrame) -> UrlModel:
             yield pd.DataFrame({"bin": at, "accepted": pdf.accepted})
 
     seen = np.zeros((2, _BINS))
-    for r in examples.where(_calibration(F.col("url"))).select("url", "accepted").mapInPandas(bins, "bin int, accepted boolean").groupBy("bin", "accepted").count().collect():
+    for r in examples.where(_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, bins, "bin int, accepted boolean").groupBy("bin", "accepted").count().collect():
         seen[int(r["accepted"]), r["bin"]] = r["count"]
     if seen.sum(axis=1).all():
         below = np.cumsum(seen, axis=1) / seen.sum(axis=1, keepdims=True)
