@@ -277,7 +277,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
                         best[d, j] = max(best.get((d, j), row), row)
                 if best:
                     ids = pdf[id_col].array
-                    yield pd.DataFrame([(ids[d], block.ids[j], round(c, 6), n, n / block.words[j][1], s) for (d, j), (n, c, s) in best.items()], columns=[id_col, item_col, "cosine", "common", "share", "answer_share"])
+                    yield pd.DataFrame([(ids[d], block.ids[j], round(c, 6), n, n / block.words[j][1], s) for (d, j), (n, c, s) in best.items()], columns=[id_col, item_col, "cosine", "common", "share", "answer_share"], dtype=object)
 
         return run
 

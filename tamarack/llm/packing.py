@@ -77,7 +77,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     data = ids[start:end].tobytes()
                     rows.append((key, piece, start, end - start, zlib.crc32(data), data))
                     start, end = end, end + max_tokens
-            out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32", "ids"])
+            out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32", "ids"], dtype=object)
             yield out if keep_ids else out.drop(columns="ids")
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -36,6 +36,8 @@ SAMPLE = 2500
 WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 8, 8, 8
 EPOCHS, BATCH, RATE = 10, 256, 0.01
+#: Steps that a small sample gets at least, in up to MOST_EPOCHS passes of smaller batches.
+LEAST_STEPS, MOST_EPOCHS = 300, 40
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
 
 
@@ -266,14 +268,16 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
         order = np.lexsort((value, owner))
         return order[np.r_[first[1:], len(order)] - 1]
 
+    size = int(np.clip((len(y) + (y == 0).sum()) // 16, 32, BATCH))
+    epochs = int(np.clip(LEAST_STEPS * size // (len(y) + (y == 0).sum()), epochs, max(epochs, MOST_EPOCHS)))
     for epoch in range(epochs):
         chosen = best()
         # a second window of each clean document, by chance: not only the worst are clean
         extra = first[y == 0] + rng.integers(0, np.array(counts)[y == 0])
         rows = np.concatenate([chosen, extra])
         rng.shuffle(rows)
-        for at in range(0, len(rows), BATCH):
-            part = rows[at : at + BATCH]
+        for at in range(0, len(rows), size):
+            part = rows[at : at + size]
             used, local = np.unique(flat[part], return_inverse=True)
             used = used[used > 0] if used[0] == 0 else used
             local = local.reshape(len(part), WINDOW) + (0 if (flat[part] == 0).any() else 1)

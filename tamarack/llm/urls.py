@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import map_frames, read, short_batches
 
-ORDER, CONTEXTS = 5, 1 << 14
+ORDER, CONTEXTS = 5, 1 << 16
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%~:+@,"
 #: Byte to symbol: letters without case; what isn't in the alphabet shares the last number.
 _SYMBOL = np.full(256, len(ALPHABET), np.int64)
@@ -93,7 +93,7 @@ def _contexts(symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
             before[place < order] = SYMBOLS  # the start
             code = code * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(1)
         mixed = (code + np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(50)).astype(np.int64))
+        out.append(((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(48)).astype(np.int64))
     return out
 
 
@@ -122,10 +122,11 @@ class UrlModel:
         contexts = _contexts(symbols, owner)
         logs = []
         for kind in (0, 1):
-            p = np.full(len(symbols), 1 / SYMBOLS)
+            p, known = np.full(len(symbols), 1 / SYMBOLS), np.ones(len(symbols), bool)
             for rows in contexts:
                 total, kinds = self.totals[kind, rows], self.kinds[kind, rows]
-                p = np.where(total > 0, (self.tables[kind, rows, symbols] + kinds * p) / np.maximum(total + kinds, 1), p)
+                known &= total > 0  # what follows no known context is unknown, whatever shares its row
+                p = np.where(known, (self.tables[kind, rows, symbols] + kinds * p) / np.maximum(total + kinds, 1), p)
             logs.append(np.log(p))
         return np.bincount(owner, logs[1] - logs[0], len(urls)) / np.bincount(owner, minlength=len(urls))
 
@@ -137,27 +138,32 @@ def _calibration(url: Column) -> Column:
 def fit_urls(examples: DataFrame) -> UrlModel:
     """Fit on rows (url, accepted boolean)."""
     examples = examples.where("url is not null and accepted is not null")
+    width, schema = 2 * CONTEXTS * SYMBOLS // _PIECES, "piece int, cells binary, counts binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = np.zeros((2, CONTEXTS, SYMBOLS), np.int64)
+        tables = np.zeros((2, CONTEXTS, SYMBOLS), np.int32)
         for pdf in batches:
             for kind in (0, 1):
                 count_table(pdf.url[pdf.accepted == bool(kind)].tolist(), tables[kind])
-        if tables.any():
-            parts = tables.astype("<f8").reshape(_PIECES, -1)
-            yield pd.DataFrame({"piece": range(_PIECES), "data": [p.tobytes() for p in parts]})
+        for number, part in enumerate(tables.reshape(_PIECES, -1)):
+            if (at := np.flatnonzero(part)).size:  # most cells are empty: cells and counts travel
+                yield pd.DataFrame({"piece": [number], "cells": [at.astype("<u4").tobytes()], "counts": [part[at].astype("<f8").tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for number, data in zip(pdf.piece, pdf.data, strict=True):
-                sums[number] = sums.get(number, 0) + np.frombuffer(data, "<f8")
-        yield pd.DataFrame({"piece": list(sums), "data": [x.astype("<f4").tobytes() for x in sums.values()]})
-
-    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, "piece int, data binary").repartition("piece").transform(map_frames, add, "piece int, data binary").collect()
-    tables = np.zeros((_PIECES, 2 * CONTEXTS * SYMBOLS // _PIECES), np.float32)
+            for number, cells, counts in zip(pdf.piece, pdf.cells, pdf.counts, strict=True):
+                if number not in sums:
+                    sums[number] = np.zeros(width)
+                sums[number][np.frombuffer(cells, "<u4")] += np.frombuffer(counts, "<f8")
+        for number, x in sums.items():
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"piece": [number], "cells": [at.astype("<u4").tobytes()], "counts": [x[at].tobytes()]})
+
+    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, schema).repartition("piece").transform(map_frames, add, schema).collect()
+    tables = np.zeros((_PIECES, width), np.float32)
     for r in parts:
-        tables[r["piece"]] = np.frombuffer(r["data"], "<f4")
+        tables[r["piece"]][np.frombuffer(r["cells"], "<u4")] = np.frombuffer(r["counts"], "<f8")
     tables = tables.reshape(2, CONTEXTS, SYMBOLS)
     if not tables[0].any() or not tables[1].any():
         return UrlModel(None)
