@@ -22,7 +22,6 @@ without both labels in the sample every score is 0; further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import lower_words_of, map_frames, read, short_batches
 
 #: Labelled documents of each label that a fit takes at most.
-SAMPLE = 2500
+SAMPLE = 1500
 WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 8, 8, 8
 EPOCHS, BATCH, RATE = 10, 256, 0.01
@@ -98,8 +97,18 @@ class Network:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What each word adds to the gates, (words, 2, 3 hidden); row 0 is the padding."""
-        g = np.matmul(x[None], self.p["wx"]) + self.p["b"]
-        return np.concatenate([np.zeros((1, 2, 3 * HIDDEN), np.float32), g.transpose(1, 0, 2)])
+        out = np.zeros((len(x) + 1, 2, 3 * HIDDEN), x.dtype)
+        for d in (0, 1):
+            np.matmul(x, self.p["wx"][d], out=out[1:, d])
+            out[1:, d] += self.p["b"][d]
+        return out
+
+    def vocabulary_gates(self, words: list[bytes], part: int = 20_000) -> np.ndarray:
+        """gates(inputs(words)), a part of the words at a time."""
+        out = np.zeros((len(words) + 1, 2, 3 * HIDDEN), np.float32)
+        for at in range(0, len(words), part):
+            out[at + 1 : at + part + 1] = self.gates(self.inputs(words[at : at + part]))[1:]
+        return out
 
     def forward(self, gates: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of windows (rows of numbers of gates); with ``keep`` what the backward pass needs."""
@@ -242,19 +251,19 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
         return ToxicityModel()
     share = float(y.mean()) if share is None else share
     vocabulary = numbers.new
-    seen = [Counter(), Counter()]
+    seen = np.zeros((2, len(vocabulary) + 1), np.int32)
     for c, label in zip(coded, y, strict=True):
-        seen[int(label)].update(np.unique(c).tolist())
-    odds = np.zeros(len(vocabulary) + 1)
+        seen[int(label), np.unique(c)] += 1
+    odds = np.zeros(len(vocabulary) + 1, np.float32)
     for w in range(1, len(odds)):
-        one, none = seen[1][w], seen[0][w]
+        one, none = seen[1, w], seen[0, w]
         if one + none >= 4:
             odds[w] = np.log((one + 0.5) / (y.sum() + 1)) - np.log((none + 0.5) / (len(y) - y.sum() + 1))
     flat = np.concatenate([_windows(c) for c in coded])
     counts = [len(windows_of(len(c))) for c in coded]
     first = np.r_[0, np.cumsum(counts)[:-1]]
     owner = np.repeat(np.arange(len(y)), counts)
-    value = odds[flat].max(axis=1) + 1e-3 * odds[flat].sum(axis=1)
+    value = np.concatenate([(part := odds[flat[at : at + 8192]]).max(axis=1) + 1e-3 * part.sum(axis=1) for at in range(0, len(flat), 8192)])
 
     net, rng = Network(seed), np.random.default_rng(seed)
     codes, (tri, starts) = _word_codes(vocabulary), _trigrams(vocabulary)
@@ -303,7 +312,7 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
                 net.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         if epoch >= 2 or epoch == epochs - 1:
             if epoch % 2 == 0 or epoch == epochs - 1:
-                gates = net.gates(net.inputs(vocabulary))
+                gates = net.vocabulary_gates(vocabulary)
                 value = np.concatenate([net.forward(gates, flat[at : at + 2048]) for at in range(0, len(flat), 2048)])
 
     # Platt's scaling of the highest window, weighted to the share in use
