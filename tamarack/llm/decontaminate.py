@@ -31,16 +31,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, map_frames, read, short_batches
+from .common import WordHashes, map_frames, materialize, read, short_batches
 from .latent import orthonormal
 
 FEATURE_BITS, RANK, OVERSAMPLE = 13, 64, 8
 FEATURES = 1 << FEATURE_BITS
 STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM = 16, 2, 3, 24
-COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.5, 0.8
+COSINE, COPY, PARAPHRASE, ANSWER, SHARED = 0.4, 0.8, 0.5, 0.8, 0.25
 ITEMS = 4096
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
-_ROWS = 1 << 16
 
 
 class Cores(WordHashes):
@@ -61,45 +60,61 @@ def _feature(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def _laid_out(texts, cores: Cores) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of each text; features of all in blocks of STEP words, two empty blocks after each text; each text's first block."""
-    hashes = [cores.of_text(t) for t in texts]
-    blocks = np.array([-(-len(h) // STEP) + (LONG_BLOCKS - 1 if len(h) else 0) for h in hashes], np.int64)
+def _laid_out(features) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all texts in blocks of STEP words, two empty blocks after each text; each text's first block."""
+    coded_ = [np.frombuffer(f, "<u2") for f in features]
+    blocks = np.array([-(-len(f) // STEP) + (LONG_BLOCKS - 1 if len(f) else 0) for f in coded_], np.int64)
     begin = np.r_[0, np.cumsum(blocks)]
-    grid = np.full(int(begin[-1]) * STEP, FEATURES, np.int64)  # FEATURES: no word
-    for h, b in zip(hashes, begin[:-1], strict=True):
-        grid[b * STEP : b * STEP + len(h)] = _feature(h)
-    return hashes, grid.reshape(-1, STEP), begin
+    grid = np.full(int(begin[-1]) * STEP, FEATURES, np.uint16)  # FEATURES: no word
+    for f, b in zip(coded_, begin[:-1], strict=True):
+        grid[b * STEP : b * STEP + len(f)] = f
+    return grid.reshape(-1, STEP), begin
 
 
-def _block_sums(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows of each block's words; the table's last row is zero."""
-    out = np.empty((len(grid), table.shape[1]), np.float32)
-    part = max(1, _ROWS // STEP)
-    for at in range(0, len(grid), part):
-        table[grid[at : at + part]].sum(axis=1, out=out[at : at + part])
-    return out
+def _starts(begin: np.ndarray, many: int) -> np.ndarray:
+    """First blocks of passages of ``many`` blocks: those that end within the text, or a short text's first."""
+    words = np.maximum(np.diff(begin) - (LONG_BLOCKS - 1), 0)
+    count = np.where(words > 0, np.maximum(words - many + 1, 1), 0)
+    owner = np.repeat(np.arange(len(count)), count)
+    return begin[:-1][owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _joined_blocks(sums: np.ndarray, many: int) -> np.ndarray:
-    out = sums.copy()
-    for k in range(1, many):
-        out[:-k] += sums[k:]
+def _block_sums(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows of each block's words; the table's last row is zero."""
+    out = np.zeros((len(grid), table.shape[1]), np.float32)
+    held = np.empty((2048, table.shape[1]), np.float32)
+    for at in range(0, len(grid), 2048):  # a column of words at a time: sums stay in the cache
+        part = out[at : at + 2048]
+        for s in range(STEP):
+            np.take(table, grid[at : at + 2048, s], axis=0, out=held[: len(part)], mode="clip")
+            part += held[: len(part)]
     return out
 
 
 def _passages(grid: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Passages that don't overlap: rows of LONG_BLOCKS blocks (the empty blocks after a text complete its last one)."""
     rows = [grid[a + LONG_BLOCKS * k : a + LONG_BLOCKS * (k + 1)].ravel() for a, b in zip(begin[:-1], begin[1:], strict=True) for k in range((b - a) // LONG_BLOCKS)]
-    return np.array(rows, np.int64).reshape(-1, LONG_BLOCKS * STEP)
+    return np.array(rows, np.uint16).reshape(-1, LONG_BLOCKS * STEP)
+
 
+def coded(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, text, features (little-endian uint16, one for each word): words are hashed once for all passes."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(passages that have each feature, passages), over all documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cores, df = Cores(), np.zeros(FEATURES + 1, np.int64)
+        cores = Cores()
         for pdf in batches:
-            _, grid, begin = _laid_out(pdf.text, cores)
+            yield pdf.assign(features=[_feature(cores.of_text(t)).astype("<u2").tobytes() for t in pdf.text])
+
+    return docs.select(id_col, "text").transform(map_frames, run, f"`{id_col}` {kind}, text string, features binary")
+
+
+def passage_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
+    """(passages that have each feature, passages), over all rows of a coded table."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(FEATURES + 1, np.int64)
+        for pdf in batches:
+            grid, begin = _laid_out(pdf.features)
             rows = np.sort(_passages(grid, begin), axis=1)
             fresh = np.ones(rows.shape, bool)
             fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -109,7 +124,7 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pd.DataFrame({"feature": at, "n": df[at]})
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.select("text").transform(map_frames, run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("features").transform(map_frames, run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
 
@@ -118,7 +133,7 @@ def _extended(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)]).astype(np.float32)
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+def latent_space(table: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
     """Matrix from weighted words to the latent space, each direction scaled by its singular value."""
     width = rank + OVERSAMPLE
     omega = orthonormal(np.random.default_rng(seed).standard_normal((FEATURES, width)))
@@ -127,15 +142,14 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
     piece = 512  # rows of the sum that travel together
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cores, total = Cores(), np.zeros((FEATURES + 1, width), np.float32)
+        total = np.zeros((FEATURES + 1, width), np.float32)
         for pdf in batches:
-            _, grid, begin = _laid_out(pdf.text, cores)
-            rows = _passages(grid, begin)
+            rows = _passages(*_laid_out(pdf.features))
             for at in range(0, len(rows), 1024):
                 part = rows[at : at + 1024]
                 flat = part.ravel()
                 # squares of the row's norm: words that repeat count with their sum
-                y = start[part].sum(axis=1)
+                y = sum(_block_sums(part[:, a : a + STEP], start) for a in range(0, part.shape[1], STEP))
                 same = np.sort(part, axis=1)
                 first = np.ones(same.shape, bool)
                 first[:, 1:] = same[:, 1:] != same[:, :-1]
@@ -159,7 +173,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         yield pd.DataFrame({"piece": list(sums), "data": [x.tobytes() for x in sums.values()]})
 
     schema = "piece int, data binary"
-    sums = docs.select("text").transform(map_frames, run, schema).repartition("piece").transform(map_frames, add, schema).collect()
+    sums = table.select("features").transform(map_frames, run, schema).repartition("piece").transform(map_frames, add, schema).collect()
     gram = np.zeros((FEATURES, width))
     for r in sums:
         gram[r["piece"] * piece : (r["piece"] + 1) * piece] += np.frombuffer(r["data"], "<f8").reshape(piece, width)
@@ -201,14 +215,18 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
 class Items:
     """A block of benchmark items: words, answers, and latent vectors of unit length."""
 
-    def __init__(self, rows: list[tuple[int, str]], to_latent: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], to_latent: np.ndarray, idf: np.ndarray):
         cores = Cores()
-        self.ids, self.words, self.answers, vectors = [], [], [], []
+        self.ids, self.words, self.answers, vectors, shares = [], [], [], [], []
         for key, text in rows:
             h = cores.of_text(text)
             if not len(h):
                 continue
-            x = to_latent[_feature(h)].sum(axis=0)
+            f = _feature(h)
+            x = to_latent[f].sum(axis=0)
+            part = np.zeros(FEATURES + 1, np.float32)
+            part[f] = idf[f]
+            shares.append(part / part.sum())
             self.ids.append(key)
             self.words.append((_masks(h), len(h)))
             a = cores.of_text(answer_of(text))
@@ -217,19 +235,35 @@ class Items:
         lengths = np.array([n for _, n in self.words], np.int64)
         self.groups = [(SHORT_BLOCKS, np.flatnonzero(lengths <= SHORT_ITEM)), (LONG_BLOCKS, np.flatnonzero(lengths > SHORT_ITEM))]
         self.vectors = np.array(vectors, np.float32).reshape(-1, to_latent.shape[1])
+        #: What each feature is of an item's weight.
+        self.shares = np.array(shares, np.float32).reshape(-1, FEATURES + 1)
+
+    def candidates(self, grid: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block, item, cosine) of passages, named by their first block, that are close to an item and share words with it.
 
-    def candidates(self, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block, item, cosine) of passages, named by their first block, that are close to an item."""
+        A passage that holds at least PARAPHRASE of an item's words, be it cut by two
+        thirds, has more of its weight than SHARED.
+        """
         found = []
         for many, which in self.groups:
             if not which.size:
                 continue
-            x = _joined_blocks(sums, many)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for at in range(0, len(x), 4096):
-                c = x[at : at + 4096] @ self.vectors[which].T
-                i, j = np.nonzero(c >= cosine)
-                found.append((i + at, which[j], c[i, j]))
+            starts = _starts(begin, many)
+            vectors = np.ascontiguousarray(self.vectors[which].T)
+            for at in range(0, len(starts), 4096):
+                first = starts[at : at + 4096]
+                x = sum(sums[first + k] for k in range(many))
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                c = x @ vectors
+                hit = np.flatnonzero(c >= cosine)
+                i, j = hit // c.shape[1], hit % c.shape[1]
+                for a in range(0, len(i), 16_384):
+                    b, it = first[i[a : a + 16_384]], which[j[a : a + 16_384]]
+                    words = np.sort(np.concatenate([grid[b + k] for k in range(many)], axis=1), axis=1)
+                    fresh = np.ones(words.shape, bool)
+                    fresh[:, 1:] = words[:, 1:] != words[:, :-1]
+                    keep = (self.shares[it[:, None], words] * fresh).sum(axis=1) >= SHARED
+                    found.append((b[keep], it[keep], c.ravel()[hit[a : a + 16_384]][keep]))
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))  # type: ignore[return-value]
 
 
@@ -243,17 +277,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     blocks = -(-items.count() // ITEMS)
     if not blocks:
         return spark.createDataFrame([], schema)
-    df, passages = passage_frequencies(docs)
+    features = materialize(coded(docs, id_col), "features")
+    df, passages = passage_frequencies(features)
     idf = (np.log((1 + passages) / (1 + df)) + 1).astype(np.float32)
-    to_latent = latent_space(docs, idf) * idf[:, None]
+    to_latent = latent_space(features, idf) * idf[:, None]
     table = _extended(to_latent)
 
     def searching(block: Items):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cores = Cores()
             for pdf in batches:
-                hashes, grid, begin = _laid_out(pdf.text, cores)
-                where, item, cosine = block.candidates(_block_sums(grid, table))
+                grid, begin = _laid_out(pdf.features)
+                where, item, cosine = block.candidates(grid, begin, _block_sums(grid, table))
+                hashes: dict[int, np.ndarray] = {}
+                texts = pdf.text.array
                 doc = np.searchsorted(begin, where, "right") - 1
                 order = np.lexsort((where, item, doc))
                 where, item, cosine, doc = where[order], item[order], cosine[order], doc[order]
@@ -264,6 +301,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
                     masks, length = block.words[j]
                     first = (int(where[a]) - int(begin[d])) * STEP
                     last = (int(where[b - 1]) - int(begin[d]) + LONG_BLOCKS) * STEP
+                    if d not in hashes:  # words are needed of few texts
+                        hashes[d] = cores.of_text(texts[d])
                     region = hashes[d][max(0, first - length) : last + length].tolist()
                     if sum(w in masks for w in region) < PARAPHRASE * length:
                         continue
@@ -285,7 +324,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     for b in range(blocks):
         # at most about ITEMS rows of the benchmark at a time
         rows = sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(blocks)) == b).collect())
-        part = docs.select(id_col, "text").transform(map_frames, searching(Items(rows, to_latent)), schema)
+        part = features.transform(map_frames, searching(Items(rows, to_latent, idf)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

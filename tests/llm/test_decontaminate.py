@@ -62,13 +62,13 @@ def test_latent_candidates_against_brute_force(spark, docs):
     r = random.Random(3)
     items = [text(r, 40) for _ in range(12)]
     rows = [(i, text(r, 100) + " " + items[i % 12] + " " + text(r, 100)) for i in range(96)]
-    df = docs(rows)
+    df = D.coded(docs(rows), "doc_id").cache()
     freq, passages = D.passage_frequencies(df)
     idf = (np.log((1 + passages) / (1 + freq)) + 1).astype(np.float32)
     to_latent = D.latent_space(df, idf) * idf[:, None]
-    block = D.Items(list(enumerate(items)), to_latent)
-    _, grid, begin = D._laid_out([t for _, t in rows], D.Cores())
-    where, item, _ = block.candidates(D._block_sums(grid, D._extended(to_latent)))
+    block = D.Items(list(enumerate(items)), to_latent, idf)
+    grid, begin = D._laid_out([r["features"] for r in df.orderBy("doc_id").collect()])
+    where, item, _ = block.candidates(grid, begin, D._block_sums(grid, D._extended(to_latent)))
     doc = np.searchsorted(begin, where, "right") - 1
     got = set(zip(doc.tolist(), item.tolist()))
     assert np.mean([(i, i % 12) in got for i in range(96)]) >= 0.9
