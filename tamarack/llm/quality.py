@@ -18,12 +18,13 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import map_frames, read, short_batches
@@ -38,14 +39,31 @@ _REST = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 FEATURES = _REST + len(REPEATED) + len(FRESH)
 _EDGES = ".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
 _CLASSES = (re.compile(r"[^\W\d_]*[a-zß-öø-ÿ]+[^\W\d_]*"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
+_RUNS = re.compile(r"(.)\1{3,}")
 
 
-def shape(word: str) -> str:
+def shape(word: str, core: str | None = None) -> str:
     """Letters with a small one as a (Aa after a capital), without as A, digits as 0; the rest stays, repeats cut to 3."""
-    out = _CLASSES[0].sub(lambda m: "Aa" if m[0][0].isupper() else "a", word)
-    out = re.sub(r"[A-ZÀ-ÖØ-Þ]{2,}|[À-ÖØ-Þ]", "A", out)
-    out = _CLASSES[2].sub("0", out)
-    return re.sub(r"(.)\1{3,}", r"\1\1\1", out)[:12]
+    core = word.strip(_EDGES) if core is None else core
+    if core.isalpha():  # most words: letters between marks
+        form = "A" if core.isupper() else "Aa" if core[0].isupper() else "a"
+        more = len(word) - len(core)
+        if not more:
+            return form
+        at = word.index(core)
+        out = word[:at] + form + word[at + len(core) :]
+        if more <= 3:
+            return out
+    else:
+        out = _CLASSES[0].sub(lambda m: "Aa" if m[0][0].isupper() else "a", word)
+        out = _CLASSES[1].sub(lambda m: m[0] if m[0] in ("a", "Aa") else "A", out)
+        out = _CLASSES[2].sub("0", out)
+    return _RUNS.sub(r"\1\1\1", out)[:12]
+
+
+@functools.lru_cache(1 << 14)
+def _shape_code(form: str) -> int:
+    return zlib.crc32(form.encode("utf-8", "surrogatepass"), 6) >> (32 - SHAPE_BITS) << WORD_BITS
 
 
 class _Codes(dict):
@@ -54,9 +72,8 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        core = xxhash.xxh32_intdigest(word.lower().strip(_EDGES).encode("utf-8", "surrogatepass"), 5) >> (32 - WORD_BITS)
-        form = xxhash.xxh32_intdigest(shape(word).encode("utf-8", "surrogatepass"), 6) >> (32 - SHAPE_BITS)
-        value = self[word] = core | form << WORD_BITS
+        core = word.strip(_EDGES)
+        value = self[word] = zlib.crc32(core.lower().encode("utf-8", "surrogatepass"), 5) >> (32 - WORD_BITS) | _shape_code(shape(word, core))
         return value
 
 
@@ -69,7 +86,12 @@ def counter():
         core, form = both & ((1 << WORD_BITS) - 1), (both >> WORD_BITS) + (1 << WORD_BITS)
         if not len(words):
             return both, both
-        found, n = np.unique(np.concatenate([core, form]), return_counts=True)
+        if len(words) > 500:  # counting is cheaper than sorting
+            n = np.bincount(np.concatenate([core, form]), minlength=_REST)
+            found = np.flatnonzero(n)
+            n = n[found]
+        else:
+            found, n = np.unique(np.concatenate([core, form]), return_counts=True)
         again, fresh = (both[1:] == both[:-1]).mean() if len(words) > 1 else 0.0, (found < 1 << WORD_BITS).sum() / len(words)
         # a text that passes a share has the feature as often as it has words
         passed = [again >= r for r in REPEATED] + [len(words) >= 20 and fresh <= f for f in FRESH]
