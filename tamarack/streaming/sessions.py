@@ -27,8 +27,11 @@ def counts_by_window(events: DataFrame, width: str = "10 minutes", late: str = "
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("window_start"), "type", "events")
 
 
-def session_states(events: DataFrame, minutes: int = RETENTION_MINUTES) -> DataFrame:
-    """session_id, state, sequence, last_event after each batch; sessions that are over and idle are forgotten."""
+def session_states(events: DataFrame, minutes: int = RETENTION_MINUTES, late: str = "30 minutes") -> DataFrame:
+    """session_id, state, sequence, last_event after each batch; sessions that are over and idle are forgotten.
+
+    Idle time is that of the events, so a replay forgets what the first run did.
+    """
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -42,10 +45,10 @@ def session_states(events: DataFrame, minutes: int = RETENTION_MINUTES) -> DataF
         last = max(last, int(rows.ts.max().timestamp() * 1e6))
         state.update((name, n, last))
         if name in ("completed", "error"):
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session_id": [key[0]], "state": [name], "sequence": [n], "last_event": [pd.Timestamp(last, unit="us")]})
 
-    return events.groupBy("session_id").applyInPandasWithState(advance, "session_id bigint, state string, sequence bigint, last_event timestamp", "state string, sequence bigint, last bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(advance, "session_id bigint, state string, sequence bigint, last_event timestamp", "state string, sequence bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def coverage_streaks(reads: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tamarack.operators import events as batch
 from tamarack.plans import queries as core
@@ -65,9 +65,9 @@ def test_streams_say_what_batches_say(spark, tmp_path):
         return
     rows = core.events_of(spark, "/root/testdata/sf0.001").where("session_id < 40").select("event_id", "session_id", "ts", "type", "data")
     for part in range(3):  # in order of time, as a log grows
-        rows.orderBy("ts", "event_id").withColumn("n", F.ntile(3).over(__import__("pyspark").sql.Window.orderBy("ts", "event_id"))).where(F.col("n") == part + 1).drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-        query = sessions.session_states(sessions.read_events(spark, f"{tmp_path}/log")).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/states")).option("checkpointLocation", f"{tmp_path}/cp").outputMode("update").trigger(availableNow=True).start()
-        query.awaitTermination()
+        rows.orderBy("ts", "event_id").withColumn("n", F.ntile(3).over(Window.orderBy("ts", "event_id"))).where(F.col("n") == part + 1).drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        query = sessions.session_states(sessions.read_events(spark, f"{tmp_path}/log"), minutes=10**6).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/states")).option("checkpointLocation", f"{tmp_path}/cp").outputMode("update").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
     last = spark.read.parquet(f"{tmp_path}/states").groupBy("session_id").agg(F.max_by("state", "sequence").alias("state"), F.max("sequence").alias("n"))
     got = {r["session_id"]: (r["state"], r["n"]) for r in last.collect()}
     counts = {r["session_id"]: r["count"] for r in rows.groupBy("session_id").count().collect()}
