@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import document_type, mentions_currency, mentions_dates, strip
 
@@ -196,4 +196,4 @@ def embed_texts(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]]
             texts = pdf[text_col].fillna("").tolist()
             yield pdf.assign(embedding=[v for i in range(0, len(texts), batch) for v in embed(texts[i : i + batch])])
 
-    return rows.mapInPandas(run, rows.schema.add("embedding", "array<float>"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

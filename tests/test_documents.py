@@ -55,7 +55,7 @@ def test_document_types(spark, path, kind):
 
 def test_texts(spark):
     assert one(spark, "a \r\nb\t\n\n\n\n c ", T.normalize_markdown) == "a\nb\n\n c"
-    assert one(spark, "<p>x&eacute;</p><p class='a'>y</p><script>no</script>", T.html_to_markdown) == "\nxé\ny"
+    assert one(spark, "<p>x&eacute;</p><p class='a'>y</p><script>no</script>", T.html_to_markdown) == "\nxé\ny\n"
     assert one(spark, "plain\n ## Head ##", T.derive_heading) == "Head ##" and one(spark, "x" * 91, T.derive_heading) is None
     assert one(spark, "pay $ 1,000.50", T.mentions_currency) and one(spark, "Sept 3, 2021", T.mentions_dates) and not one(spark, "May be", T.mentions_dates)
     assert one(spark, "--a b/c..", T.sanitize_filename) == "a-b-c" and one(spark, "///", T.sanitize_filename) == "document"
