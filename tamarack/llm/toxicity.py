@@ -99,8 +99,7 @@ class Network:
         """What each word adds to the gates, (words, 2, 3 hidden); row 0 is the padding."""
         out = np.zeros((len(x) + 1, 2, 3 * HIDDEN), x.dtype)
         for d in (0, 1):
-            np.matmul(x, self.p["wx"][d], out=out[1:, d])
-            out[1:, d] += self.p["b"][d]
+            out[1:, d] = x @ self.p["wx"][d] + self.p["b"][d]
         return out
 
     def vocabulary_gates(self, words: list[bytes], part: int = 20_000) -> np.ndarray:
