@@ -36,7 +36,7 @@ WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 8, 8, 8
 EPOCHS, BATCH, RATE = 10, 256, 0.01
 #: Steps that a small sample gets at least, in up to MOST_EPOCHS passes of smaller batches.
-LEAST_STEPS, MOST_EPOCHS = 300, 40
+LEAST_STEPS, MOST_EPOCHS = 160, 40
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
 
 
@@ -309,10 +309,9 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        if epoch >= 2 or epoch == epochs - 1:
-            if epoch % 2 == 0 or epoch == epochs - 1:
-                gates = net.vocabulary_gates(vocabulary)
-                value = np.concatenate([net.forward(gates, flat[at : at + 2048]) for at in range(0, len(flat), 2048)])
+        if epoch % 3 == 2 or epoch == epochs - 1:
+            gates = net.vocabulary_gates(vocabulary)
+            value = np.concatenate([net.forward(gates, flat[at : at + 2048]) for at in range(0, len(flat), 2048)])
 
     # Platt's scaling of the highest window, weighted to the share in use
     top = value[best()].astype(np.float64)
