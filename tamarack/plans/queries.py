@@ -501,7 +501,7 @@ def _(spark, sf_dir):
 #: Words of the first characters stand for extracted entities.
 ENTITIES = "e AS (SELECT doc_id, i::INT AS ordinal, CASE i % 3 WHEN 0 THEN ' Party ' WHEN 1 THEN 'DATE' ELSE 'amount' END AS class, string_split(text[1:400], ' ')[i + 1] AS text FROM documents, range(0, 40) r(i) WHERE doc_id % 4 <> 3 AND i < len(string_split(text[1:400], ' ')))"
 PROFILE = {"fields": [
-    {"name": "langextract_enabled", "type": "boolean", "source": "runtime", "runtime": "enabled"},
+    {"name": "extraction_enabled", "type": "boolean", "source": "runtime", "runtime": "enabled"},
     {"name": "n_entities", "type": "integer", "source": "runtime", "runtime": "extraction_count"},
     {"name": "classes", "type": "string", "source": "runtime", "runtime": "entity_classes"},
     {"name": "parties", "type": "string", "source_classes": ["party", "amount"], "mode": "csv"},
@@ -520,7 +520,7 @@ def entities_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT doc_id, lower(text) AS k, min({{'c': CASE class WHEN 'party' THEN 1 ELSE 2 END, 'o': ordinal, 't': text}}) AS x FROM n WHERE class IN ('party', 'amount') AND text <> '' GROUP BY doc_id, lower(text)),
 v AS (SELECT doc_id, array_to_string(list_transform(list_sort(list(x))[1:16], lambda y: y.t), ', ') AS parties FROM f GROUP BY doc_id),
 s AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT class, ', ' ORDER BY class) AS classes, count(*) FILTER (class = 'date' AND text <> '') AS dates, bool_or(class = 'amount' AND text <> '') AS am, bool_or(class IN ('party', 'date') AND contains(lower(text), 'the')) AS th FROM n GROUP BY doc_id)
-SELECT doc_id, true AS langextract_enabled, coalesce(n, 0) AS n_entities, coalesce(classes, '') AS classes, coalesce(parties, '') AS parties, coalesce(dates, 0) AS n_dates, coalesce(am, false) AS has_amount, coalesce(th, false) AS mentions_the FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN v USING (doc_id)""")
+SELECT doc_id, true AS extraction_enabled, coalesce(n, 0) AS n_entities, coalesce(classes, '') AS classes, coalesce(parties, '') AS parties, coalesce(dates, 0) AS n_dates, coalesce(am, false) AS has_amount, coalesce(th, false) AS mentions_the FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN v USING (doc_id)""")
 def _(spark, sf_dir):
     return metadata.aggregate_entities(read(spark, sf_dir, "documents"), entities_of(spark, sf_dir), metadata.normalize_profile(PROFILE))
 
