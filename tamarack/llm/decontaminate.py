@@ -7,14 +7,17 @@ are added up by rows of that matrix, and Nystrom's formula gives vectors and
 values. In the latent space, scaled to equal variance in every direction, the
 cosine of every overlapping passage with every benchmark item is computed;
 passages of 32 words serve short items and of 48 words longer ones, at steps of 16.
+Items longer than a passage are cut into even pieces of at most 32 words, which some
+passage holds whole wherever they stand; each piece is looked for on its own, and
+what it finds is a candidate of its item.
 
 A region of passages above the cosine's threshold is confirmed by the longest
 common subsequence of its words and the item's. A share of ``COPY`` of the item's
 words is a copy; a share of ``PARAPHRASE`` counts if also the item's answer (its
 last sentence) is found, by a share of ``ANSWER`` of its words in order.
 
-Items travel to all tasks in blocks of at most ``ITEMS`` (a matrix of ITEMS x RANK
-numbers and their words), one block after another, however many there are.
+Items travel to all tasks in blocks of about ``ITEMS`` pieces (a matrix of ITEMS x
+RANK numbers and their words), one block after another, however many there are.
 
 Defined cases: null and blank texts match nothing, items without words neither;
 texts shorter than a passage are one; equal texts match alike; empty tables give no
@@ -36,7 +39,7 @@ from .latent import orthonormal
 
 FEATURE_BITS, RANK, OVERSAMPLE = 13, 64, 8
 FEATURES = 1 << FEATURE_BITS
-STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM = 16, 2, 3, 24
+STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM, PIECE = 16, 2, 3, 24, 32
 COSINE, COPY, PARAPHRASE, ANSWER, SHARED = 0.4, 0.8, 0.5, 0.8, 0.25
 ITEMS = 4096
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
@@ -212,37 +215,49 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
     return length - (v & full).bit_count()
 
 
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """Bounds of an item's pieces: itself, or even parts of at most PIECE words if it is longer than a passage."""
+    many = 1 if length <= LONG_BLOCKS * STEP else -(-length // PIECE)
+    edges = [length * k // many for k in range(many + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 class Items:
-    """A block of benchmark items: words, answers, and latent vectors of unit length."""
+    """A block of benchmark items: words, answers, and latent vectors of unit length of their pieces."""
 
     def __init__(self, rows: list[tuple[int, str]], to_latent: np.ndarray, idf: np.ndarray):
         cores = Cores()
-        self.ids, self.words, self.answers, vectors, shares = [], [], [], [], []
+        self.ids, self.words, self.answers, vectors, shares, owner = [], [], [], [], [], []
         for key, text in rows:
             h = cores.of_text(text)
             if not len(h):
                 continue
-            f = _feature(h)
-            x = to_latent[f].sum(axis=0)
-            part = np.zeros(FEATURES + 1, np.float32)
-            part[f] = idf[f]
-            shares.append(part / part.sum())
+            for a, b in _pieces(len(h)):
+                f = _feature(h[a:b])
+                x = to_latent[f].sum(axis=0)
+                part = np.zeros(FEATURES + 1, np.float32)
+                part[f] = idf[f]
+                shares.append(part / part.sum())
+                vectors.append(x / max(np.linalg.norm(x), 1e-12))
+                owner.append(len(self.ids))
             self.ids.append(key)
             self.words.append((_masks(h), len(h)))
             a = cores.of_text(answer_of(text))
             self.answers.append((_masks(a), len(a)))
-            vectors.append(x / max(np.linalg.norm(x), 1e-12))
-        lengths = np.array([n for _, n in self.words], np.int64)
+        #: The item of each piece.
+        self.owner = np.array(owner, np.int64)
+        lengths = np.array([n for _, n in self.words], np.int64)[self.owner]
         self.groups = [(SHORT_BLOCKS, np.flatnonzero(lengths <= SHORT_ITEM)), (LONG_BLOCKS, np.flatnonzero(lengths > SHORT_ITEM))]
         self.vectors = np.array(vectors, np.float32).reshape(-1, to_latent.shape[1])
-        #: What each feature is of an item's weight.
+        #: What each feature is of a piece's weight.
         self.shares = np.array(shares, np.float32).reshape(-1, FEATURES + 1)
 
     def candidates(self, grid: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block, item, cosine) of passages, named by their first block, that are close to an item and share words with it.
+        """(block, item, cosine) of passages, named by their first block, that are close to a piece of an item and share words with it.
 
-        A passage that holds at least PARAPHRASE of an item's words, be it cut by two
-        thirds, has more of its weight than SHARED.
+        No piece is longer than a passage, so one passage can hold all or most of its
+        weight; of the pieces of an item that a text holds PARAPHRASE of, one at least
+        has as large a part of its words there.
         """
         found = []
         for many, which in self.groups:
@@ -263,7 +278,7 @@ class Items:
                     fresh = np.ones(words.shape, bool)
                     fresh[:, 1:] = words[:, 1:] != words[:, :-1]
                     keep = (self.shares[it[:, None], words] * fresh).sum(axis=1) >= SHARED
-                    found.append((b[keep], it[keep], c.ravel()[hit[a : a + 16_384]][keep]))
+                    found.append((b[keep], self.owner[it[keep]], c.ravel()[hit[a : a + 16_384]][keep]))
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))  # type: ignore[return-value]
 
 
@@ -274,7 +289,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, cosine double, common int, share double, answer_share double"
     items = benchmark.where(F.col("text").isNotNull()).select(item_col, "text").distinct()
-    blocks = -(-items.count() // ITEMS)
+    # pieces, not items, are what a block may hold ITEMS of
+    pieces = items.agg(F.sum(F.ceil(F.size(F.split("text", r"\s+")) / PIECE))).first()[0] or 0
+    blocks = -(-int(pieces) // ITEMS)
     if not blocks:
         return spark.createDataFrame([], schema)
     features = materialize(coded(docs, id_col), "features")
@@ -294,7 +311,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
                 doc = np.searchsorted(begin, where, "right") - 1
                 order = np.lexsort((where, item, doc))
                 where, item, cosine, doc = where[order], item[order], cosine[order], doc[order]
-                cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] > where[:-1] + LONG_BLOCKS)]) if len(doc) else np.empty(0, np.int64)
+                if not len(doc):
+                    continue
+                cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] > where[:-1] + LONG_BLOCKS)])
                 best: dict[tuple[int, int], tuple] = {}
                 for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
                     d, j = int(doc[a]), int(item[a])
@@ -322,7 +341,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
 
     out = None
     for b in range(blocks):
-        # at most about ITEMS rows of the benchmark at a time
+        # at most about ITEMS pieces of the benchmark at a time
         rows = sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64(item_col, "text"), F.lit(blocks)) == b).collect())
         part = features.transform(map_frames, searching(Items(rows, to_latent, idf)), schema)
         out = part if out is None else out.unionByName(part)

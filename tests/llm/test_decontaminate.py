@@ -78,3 +78,31 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id bigint, text string")
     assert D.matches(docs([]), bench).count() == 0
     assert D.matches(docs([(1, "a b c d")]), bench.limit(0)).count() == 0
+
+
+def planted(spark, docs, seed, lengths, keep, copies=6):
+    """Share of planted items that is found, by length: copies, or paraphrases that keep ``keep`` of the words and the answer."""
+    r = random.Random(seed)
+    items = [text(r, n - 8) + ". " + text(r, 8) + "." if n > 16 else text(r, n) for n in lengths]
+    rows, want = [], []
+    for k, n in enumerate(lengths):
+        for _ in range(copies):
+            item, words = items[k].split(), text(r, r.randrange(60, 400)).split()
+            if keep < 1:
+                for at in r.sample(range(n - 8), int(n * (1 - keep))):
+                    item[at] = f"changed{r.randrange(10**6)}"
+            at = r.randrange(len(words) + 1)
+            words[at:at] = item
+            want.append((len(rows), k))
+            rows.append((len(rows), " ".join(words)))
+    rows += [(10_000 + i, text(r, 300)) for i in range(100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in D.matches(docs(rows), bench).collect()}
+    assert not got - set(want)
+    return {n: np.mean([w in got for w in want if w[1] == k]) for k, n in enumerate(lengths)}
+
+
+def test_items_longer_than_a_passage(spark, docs):
+    lengths = (200, 250, 300, 500, 1000)
+    assert set(planted(spark, docs, 5, lengths, 1).values()) == {1.0}
+    assert min(planted(spark, docs, 6, (100, *lengths), 0.55).values()) >= 0.8
