@@ -11,6 +11,13 @@ Items longer than a passage are cut into even pieces of at most 32 words, which
 passage holds whole wherever they stand; each piece is looked for on its own, and
 what it finds is a candidate of its item.
 
+The cosine of a passage with what it holds of an item falls with the square root of
+the item's share of the passage, so each piece has its own threshold, a little below
+that of a paraphrase that keeps PARAPHRASE of it and never above COSINE. Items of at
+most ``TINY`` words are also candidates, whatever the cosine, where a passage holds
+PARAPHRASE of their words; what only this finds must stand together, in a run of
+words that is longer than the item by at most a quarter.
+
 A region of passages above the cosine's threshold is confirmed by the longest
 common subsequence of its words and the item's. A share of ``COPY`` of the item's
 words is a copy; a share of ``PARAPHRASE`` counts if also the item's answer (its
@@ -39,7 +46,7 @@ from .latent import orthonormal
 
 FEATURE_BITS, RANK, OVERSAMPLE = 13, 64, 8
 FEATURES = 1 << FEATURE_BITS
-STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM, PIECE = 16, 2, 3, 24, 32
+STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM, PIECE, TINY = 16, 2, 3, 24, 32, 16
 COSINE, COPY, PARAPHRASE, ANSWER, SHARED = 0.4, 0.8, 0.5, 0.8, 0.25
 ITEMS = 4096
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
@@ -246,11 +253,22 @@ class Items:
             self.answers.append((_masks(a), len(a)))
         #: The item of each piece.
         self.owner = np.array(owner, np.int64)
+        self.first = np.searchsorted(self.owner, np.arange(len(self.ids)))
         lengths = np.array([n for _, n in self.words], np.int64)[self.owner]
         self.groups = [(SHORT_BLOCKS, np.flatnonzero(lengths <= SHORT_ITEM)), (LONG_BLOCKS, np.flatnonzero(lengths > SHORT_ITEM))]
         self.vectors = np.array(vectors, np.float32).reshape(-1, to_latent.shape[1])
         #: What each feature is of a piece's weight.
         self.shares = np.array(shares, np.float32).reshape(-1, FEATURES + 1)
+        #: Lowest cosine of a passage that counts, for each piece.
+        pieces = np.array([b - a for _, n in self.words for a, b in _pieces(n)], np.float64)
+        blocks = np.where(lengths <= SHORT_ITEM, SHORT_BLOCKS, LONG_BLOCKS)
+        self.least = np.minimum(COSINE, 0.9 * PARAPHRASE * np.sqrt(pieces / (STEP * blocks))).astype(np.float32)
+        self.tiny = np.flatnonzero(np.array([n for _, n in self.words], np.int64) <= TINY)
+        #: How many of a tiny item's words have each feature, tiny items in the order of ``tiny``.
+        rows = [(f, k, 1) for k, j in enumerate(self.tiny) for w, m in self.words[j][0].items() for f in _feature(np.array([w], np.uint64)) for _ in range(m.bit_count())]
+        f, k, one = np.array(rows, np.int64).reshape(-1, 3).T
+        order = np.argsort(f, kind="stable")
+        self.posted, self.posting = np.searchsorted(f[order], np.arange(FEATURES + 2)), k[order]
 
     def candidates(self, grid: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(block, item, cosine) of passages, named by their first block, that are close to a piece of an item and share words with it.
@@ -270,7 +288,7 @@ class Items:
                 x = sum(sums[first + k] for k in range(many))
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 c = x @ vectors
-                hit = np.flatnonzero(c >= cosine)
+                hit = np.flatnonzero(c >= np.minimum(self.least[which], cosine))
                 i, j = hit // c.shape[1], hit % c.shape[1]
                 for a in range(0, len(i), 16_384):
                     b, it = first[i[a : a + 16_384]], which[j[a : a + 16_384]]
@@ -282,6 +300,32 @@ class Items:
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))  # type: ignore[return-value]
 
 
+    def tiny_candidates(self, grid: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) of passages that hold at least PARAPHRASE of a tiny item's words."""
+        if not self.tiny.size:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        starts, found = _starts(begin, SHORT_BLOCKS), []
+        need = PARAPHRASE * np.array([self.words[j][1] for j in self.tiny])
+        for at in range(0, len(starts), 1024):
+            first = starts[at : at + 1024]
+            words = np.sort(np.concatenate([grid[first + k] for k in range(SHORT_BLOCKS)], axis=1), axis=1)
+            fresh = np.ones(words.shape, bool)
+            fresh[:, 1:] = words[:, 1:] != words[:, :-1]
+            i, w = np.nonzero(fresh)[0], words[fresh].astype(np.int64)
+            n = self.posted[w + 1] - self.posted[w]
+            item = self.posting[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.posted[w], n)]
+            held = np.bincount(np.repeat(i, n) * len(need) + item, minlength=len(first) * len(need)).reshape(len(first), -1)
+            i, k = np.nonzero(held >= need)
+            found.append((first[i], self.tiny[k]))
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))  # type: ignore[return-value]
+
+
+def together(masks: dict[int, int], length: int, words: list[int]) -> tuple[int, int]:
+    """Most of the item's words in order in a run of at most a quarter more words than it has, and the run's start."""
+    span = length + length // 4
+    return max(((common_subsequence(masks, length, words[i : i + span]), -i) for i, w in enumerate(words) if w in masks), default=(0, 0))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """doc id, item id, cosine, common (words in order), share, answer_share: confirmed matches, one a pair."""
     spark = docs.sparkSession
@@ -305,17 +349,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
             cores = Cores()
             for pdf in batches:
                 grid, begin = _laid_out(pdf.features)
-                where, item, cosine = block.candidates(grid, begin, _block_sums(grid, table))
+                sums = _block_sums(grid, table)
+                where, item, cosine = block.candidates(grid, begin, sums)
                 hashes: dict[int, np.ndarray] = {}
                 texts = pdf.text.array
                 doc = np.searchsorted(begin, where, "right") - 1
                 order = np.lexsort((where, item, doc))
                 where, item, cosine, doc = where[order], item[order], cosine[order], doc[order]
-                if not len(doc):
-                    continue
-                cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] > where[:-1] + LONG_BLOCKS)])
+                cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (where[1:] > where[:-1] + LONG_BLOCKS)]) if len(doc) else np.empty(0, np.int64)
                 best: dict[tuple[int, int], tuple] = {}
-                for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
+                for a, b in zip(cut, np.r_[cut, len(doc)][1:], strict=True):
                     d, j = int(doc[a]), int(item[a])
                     masks, length = block.words[j]
                     first = (int(where[a]) - int(begin[d])) * STEP
@@ -333,6 +376,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
                     if common >= COPY * length or answered >= ANSWER:
                         row = (common, float(cosine[a:b].max()), answered)
                         best[d, j] = max(best.get((d, j), row), row)
+                where, item = block.tiny_candidates(grid, begin)
+                doc = np.searchsorted(begin, where, "right") - 1
+                for w, j, d in zip(where.tolist(), item.tolist(), doc.tolist(), strict=True):
+                    masks, length = block.words[j]
+                    if (d, j) in best and best[d, j][0] == length:
+                        continue
+                    first = (w - int(begin[d])) * STEP
+                    if d not in hashes:
+                        hashes[d] = cores.of_text(texts[d])
+                    region = hashes[d][first : first + SHORT_BLOCKS * STEP].tolist()
+                    common, start = together(masks, length, region)
+                    if common < PARAPHRASE * length:
+                        continue
+                    answer, size = block.answers[j]
+                    near = region[-start : -start + length + length // 4]
+                    answered = common_subsequence(answer, size, near) / size if size else 0.0
+                    if common >= COPY * length or answered >= ANSWER:
+                        x = sums[w : w + SHORT_BLOCKS].sum(axis=0)
+                        row = (common, float(x @ block.vectors[block.first[j]] / max(np.linalg.norm(x), 1e-12)), answered)
+                        best[d, j] = max(best.get((d, j), row), row)
                 if best:
                     ids = pdf[id_col].array
                     yield pd.DataFrame([(ids[d], block.ids[j], round(c, 6), n, n / block.words[j][1], s) for (d, j), (n, c, s) in best.items()], columns=[id_col, item_col, "cosine", "common", "share", "answer_share"], dtype=object)

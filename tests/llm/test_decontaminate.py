@@ -106,3 +106,9 @@ def test_items_longer_than_a_passage(spark, docs):
     lengths = (200, 250, 300, 500, 1000)
     assert set(planted(spark, docs, 5, lengths, 1).values()) == {1.0}
     assert min(planted(spark, docs, 6, (100, *lengths), 0.55).values()) >= 0.8
+
+
+def test_items_of_a_few_words(spark, docs):
+    lengths = (3, 4, 5, 6, 8, 12, 16)
+    assert set(planted(spark, docs, 7, lengths, 1).values()) == {1.0}
+    assert np.mean(list(planted(spark, docs, 8, (24, 32, 48), 0.6, 20).values())) >= 0.9
