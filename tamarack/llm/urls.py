@@ -9,9 +9,9 @@ prediction as it is. The score is the difference of the log-likelihoods for each
 character, so that length doesn't matter; its threshold is calibrated on a fifth
 of the examples, which the models don't see, for the best balanced accuracy.
 
-Counts are over all examples. They lie in tables of a fixed size (contexts are
-hashed to ``CONTEXTS`` rows of ``len(ALPHABET)`` counts for each model), so what is
-summed up, collected and sent to tasks has a bound.
+Counts are over all examples and exact: Spark adds them up by context (a 64-bit hash
+of its symbols) and symbol, and the model holds those that occur. What is collected
+and sent to tasks grows with the distinct pairs of context and symbol.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; a URL without text gets ``allow``; without examples of both kinds
@@ -38,8 +38,8 @@ for _i, _c in enumerate(ALPHABET):
     _SYMBOL[ord(_c)] = _i
     _SYMBOL[ord(_c.upper())] = _i
 SYMBOLS = len(ALPHABET) + 1
-#: Parts in which tables of counts travel; bins of the calibration.
-_PIECES, _BINS, _SPAN = 64, 400, 4.0
+#: Bins of the calibration, and the score at its ends.
+_BINS, _SPAN = 400, 4.0
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def _symbols(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-    """For each order, the table row of each position's context; contexts don't reach into the URL before."""
+    """For each order, a 64-bit hash of each position's context; contexts don't reach into the URL before."""
     place = np.arange(len(symbols)) - np.searchsorted(owner, owner)
     code = np.zeros(len(symbols), np.uint64)
     out = []
@@ -93,40 +93,67 @@ def _contexts(symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
             before[place < order] = SYMBOLS  # the start
             code = code * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(1)
         mixed = (code + np.uint64(order)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(48)).astype(np.int64))
+        out.append((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD))
     return out
 
 
 def count_table(urls: list[str], table: np.ndarray) -> None:
-    """Add the URLs' characters to a table (CONTEXTS, SYMBOLS)."""
+    """Add the URLs' characters to a table (rows, SYMBOLS) of contexts hashed to CONTEXTS rows."""
     if not urls:
         return
     symbols, owner = _symbols(urls)
-    for rows in _contexts(symbols, owner):
-        table += np.bincount(rows * SYMBOLS + symbols, minlength=table.size).reshape(table.shape)
+    for codes in _contexts(symbols, owner):
+        table += np.bincount(_row(codes).astype(np.int64) * SYMBOLS + symbols, minlength=table.size).reshape(table.shape)
+
+
+def _row(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(64 - (CONTEXTS - 1).bit_length())
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number is in the sorted known ones, or their length."""
+    at = np.searchsorted(known, wanted)
+    return np.where(known[np.minimum(at, len(known) - 1)] == wanted, at, len(known))
+
+
+class Counts:
+    """How often each symbol follows each context in rejected (0) and accepted (1) URLs."""
+
+    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray):
+        """Distinct pairs of contexts (uint64) and symbols, with their counts (2, pairs)."""
+        self.contexts, owner = np.unique(contexts, return_inverse=True)
+        cells = owner * SYMBOLS + symbols
+        order = np.argsort(cells)
+        self.cells = cells[order]
+        self.counts = np.concatenate([counts[:, order], np.zeros((2, 1))], axis=1)  # the last: never seen
+        self.totals, self.kinds = (np.array([np.bincount(owner, x, len(self.contexts) + 1) for x in z]) for z in (counts, counts > 0))
 
 
 class UrlModel:
-    """Tables of rejected (0) and accepted (1) URLs and the threshold; without tables everything is allowed."""
+    """Counts (or a table of each kind with hashed rows) and the threshold; without them everything is allowed."""
 
-    def __init__(self, tables: np.ndarray | None, threshold: float = 0.0):
+    def __init__(self, tables: Counts | np.ndarray | None, threshold: float = 0.0):
+        self.hashed = isinstance(tables, np.ndarray)
+        if isinstance(tables, np.ndarray):
+            rows, symbols = np.nonzero(tables.sum(axis=0))
+            tables = Counts(rows.astype(np.uint64), symbols, tables[:, rows, symbols])
         self.tables, self.threshold = tables, threshold
-        if tables is not None:
-            self.totals, self.kinds = tables.sum(axis=2), (tables > 0).sum(axis=2)
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """Log-likelihood of acceptance over rejection for each character."""
         if self.tables is None or not urls:
             return np.zeros(len(urls))
         symbols, owner = _symbols(urls)
-        contexts = _contexts(symbols, owner)
+        t = self.tables
+        places = [_places(t.contexts, _row(c) if self.hashed else c) for c in _contexts(symbols, owner)]
+        cells = [np.where(rows < len(t.contexts), _places(t.cells, rows * SYMBOLS + symbols), len(t.cells)) for rows in places]
         logs = []
         for kind in (0, 1):
             p, known = np.full(len(symbols), 1 / SYMBOLS), np.ones(len(symbols), bool)
-            for rows in contexts:
-                total, kinds = self.totals[kind, rows], self.kinds[kind, rows]
-                known &= total > 0  # what follows no known context is unknown, whatever shares its row
-                p = np.where(known, (self.tables[kind, rows, symbols] + kinds * p) / np.maximum(total + kinds, 1), p)
+            for rows, cell in zip(places, cells, strict=True):
+                total, kinds = t.totals[kind, rows], t.kinds[kind, rows]
+                known &= total > 0
+                p = np.where(known, (t.counts[kind, cell] + kinds * p) / np.maximum(total + kinds, 1), p)
             logs.append(np.log(p))
         return np.bincount(owner, logs[1] - logs[0], len(urls)) / np.bincount(owner, minlength=len(urls))
 
@@ -138,35 +165,26 @@ def _calibration(url: Column) -> Column:
 def fit_urls(examples: DataFrame) -> UrlModel:
     """Fit on rows (url, accepted boolean)."""
     examples = examples.where("url is not null and accepted is not null")
-    width, schema = 2 * CONTEXTS * SYMBOLS // _PIECES, "piece int, cells binary, counts binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = np.zeros((2, CONTEXTS, SYMBOLS), np.int32)
         for pdf in batches:
             for kind in (0, 1):
-                count_table(pdf.url[pdf.accepted == bool(kind)].tolist(), tables[kind])
-        for number, part in enumerate(tables.reshape(_PIECES, -1)):
-            if (at := np.flatnonzero(part)).size:  # most cells are empty: cells and counts travel
-                yield pd.DataFrame({"piece": [number], "cells": [at.astype("<u4").tobytes()], "counts": [part[at].astype("<f8").tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for number, cells, counts in zip(pdf.piece, pdf.cells, pdf.counts, strict=True):
-                if number not in sums:
-                    sums[number] = np.zeros(width)
-                sums[number][np.frombuffer(cells, "<u4")] += np.frombuffer(counts, "<f8")
-        for number, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pd.DataFrame({"piece": [number], "cells": [at.astype("<u4").tobytes()], "counts": [x[at].tobytes()]})
-
-    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, schema).repartition("piece").transform(map_frames, add, schema).collect()
-    tables = np.zeros((_PIECES, width), np.float32)
-    for r in parts:
-        tables[r["piece"]][np.frombuffer(r["cells"], "<u4")] = np.frombuffer(r["counts"], "<f8")
-    tables = tables.reshape(2, CONTEXTS, SYMBOLS)
-    if not tables[0].any() or not tables[1].any():
+                urls = pdf.url[pdf.accepted == bool(kind)].tolist()
+                if not urls:
+                    continue
+                symbols, owner = _symbols(urls)
+                for codes in _contexts(symbols, owner):
+                    known, at = np.unique(codes, return_inverse=True)
+                    cells, n = np.unique(at * SYMBOLS + symbols, return_counts=True)
+                    yield pd.DataFrame({"context": known[cells // SYMBOLS].view(np.int64), "symbol": cells % SYMBOLS, "kind": kind, "n": n})
+
+    parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, "context bigint, symbol int, kind int, n bigint")
+    # collected: what grows with the distinct contexts, in Arrow's columns
+    sums = parts.groupBy("context", "symbol").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))).toArrow()
+    counts = np.array([sums[f"n{k}"].to_numpy() for k in (0, 1)], np.float64)
+    if not counts[0].any() or not counts[1].any():
         return UrlModel(None)
+    tables = Counts(sums["context"].to_numpy().astype(np.int64).view(np.uint64), sums["symbol"].to_numpy().astype(np.int64), counts)
     model = UrlModel(tables)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,3 +88,15 @@ def test_held_out_urls_are_told_apart(spark):
     assert np.mean(verdicts == [y for _, y in fresh]) > 0.97
     one = U.fit_urls(spark.createDataFrame(rows, "url string, accepted boolean").where(F.col("accepted")))
     assert one.tables is None
+
+
+def test_contexts_beyond_any_fixed_table(spark):
+    r = random.Random(4)
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [("http://" + "".join(r.choice(chars) for _ in range(40)), i % 2 == 0) for i in range(4000)]
+    model = U.fit_urls(spark.createDataFrame(rows, "url string, accepted boolean"))
+    kept = [x["url"] for x in spark.createDataFrame(rows, "url string, accepted boolean").where(~U._calibration(F.col("url"))).collect()]
+    seen = dict(rows)
+    fresh = ["http://" + "".join(r.choice(chars) for _ in range(40)) for _ in range(20)] + kept[:10]
+    exact = brute_scores(([u for u in kept if not seen[u]], [u for u in kept if seen[u]]), fresh)
+    assert np.abs(model.scores(fresh) - exact).max() < 1e-9
