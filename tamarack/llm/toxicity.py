@@ -2,7 +2,8 @@
 
 A word enters as a hashed embedding of its letters' core joined with the mean of
 its hashed character trigrams, so that spellings the sample didn't have still say
-something. Two GRUs read windows of 32 words that overlap by half, attention pools
+something. Words over ``PIECE`` bytes, as in texts without spaces, enter as pieces of
+that size that overlap by half. Two GRUs read windows of 32 words that overlap by half, attention pools
 their states, and a logistic unit scores the window; a document's score is
 calibrated from its highest window. Network and training are numpy.
 
@@ -33,6 +34,8 @@ from .common import lower_words_of, map_frames, read, short_batches
 #: Labelled documents of each label that a fit takes at most.
 SAMPLE = 1500
 WINDOW, STRIDE = 32, 16
+#: Bytes of a word that enter as one input.
+PIECE = 60
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 8, 8, 8
 EPOCHS, BATCH, RATE = 10, 256, 0.01
 #: Steps that a small sample gets at least, in up to MOST_EPOCHS passes of smaller batches.
@@ -54,12 +57,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept_out, mo
     return [(r["text"] or "", int(r[label])) for r in sorted(rows, key=lambda r: (r["i"], r["text"] or "", r[label]))]
 
 
+def _inputs_of(text: str | None) -> list[bytes]:
+    """The words of a text, with overlapping pieces in place of very long ones."""
+    words = lower_words_of(text)
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= PIECE else [w[at : at + PIECE] for at in [*range(0, len(w) - PIECE, PIECE // 2), len(w) - PIECE]])]
+
+
 def _trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of ^word$ for each word, joined, and where each word's begin."""
-    data = np.frombuffer(b"".join(b"\x02" + w[:60] + b"\x03\x04" for w in words), np.uint8).astype(np.uint32)
+    data = np.frombuffer(b"".join(b"\x02" + w + b"\x03\x04" for w in words), np.uint8).astype(np.uint32)
     code = (data[:-2] * np.uint32(2654435761)) ^ (data[1:-1] * np.uint32(40503) + np.uint32(97)) * np.uint32(2246822519) ^ data[2:] * np.uint32(3266489917)
     code = ((code ^ (code >> np.uint32(15))) * np.uint32(2246822507)) >> np.uint32(20)
-    ends = np.cumsum([len(w[:60]) + 3 for w in words])
+    ends = np.cumsum([len(w) + 3 for w in words])
     starts = np.r_[0, ends[:-1]]
     keep = np.ones(len(data), bool)
     keep[ends - 1] = keep[ends - 2] = False  # trigrams over a border
@@ -212,7 +223,7 @@ class ToxicityModel:
                 continue
             if len(numbers) > 200_000:
                 numbers, gates = _Numbers(), None
-            lists = [lower_words_of(t if isinstance(t, str) else None) for t in texts]
+            lists = [_inputs_of(t if isinstance(t, str) else None) for t in texts]
             index, owner, held = [], [], 0
             out = np.full(len(texts), -np.inf)
             coded = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in lists]
@@ -234,7 +245,8 @@ class ToxicityModel:
             if index:
                 flat, who = np.concatenate(index), np.concatenate(owner)
                 np.maximum.at(out, who, self.net.forward(gates, flat))
-            yield np.where(np.isfinite(out), _sigmoid(self.slope * out + self.shift), self.share)
+            # sums of float32 differ in their last digits with a batch's size: equal texts shall not
+            yield np.where(np.isfinite(out), _sigmoid(self.slope * np.round(out, 4) + self.shift), self.share)
 
 
 def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> ToxicityModel:
@@ -242,7 +254,7 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
     numbers = _Numbers()
     coded, y = [], []
     for text, label in sample:
-        if words := lower_words_of(text):
+        if words := _inputs_of(text):
             coded.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             y.append(label)
     y = np.array(y, np.float32)

@@ -126,3 +126,12 @@ def test_quality_votes(spark, docs):
 def test_shapes():
     assert [shape(w) for w in ("the", "The", "THE", "12,5", "SE!!", "a$$$$$$", "Ünder.", "")] == ["a", "Aa", "A", "0,0", "A!!", "a$$$", "Aa.", ""]
     assert len(counter()(None)[0]) == 0
+
+
+def test_toxic_parts_of_words_without_spaces_are_found():
+    model = fit_toxicity(sample(1, 400))
+    model.net.p["word"][:] = 0  # what is left is what trigrams say, not the hash of a whole word
+    clean = prose(random.Random(5), 400).replace(" ", "_")
+    for at in (70, 900, len(clean)):
+        glued = clean[:at] + "_rotten_vile_nasty_" * 4 + clean[at:]
+        assert next(model.scores([[glued]]))[0] > next(model.scores([[clean]]))[0], at
