@@ -157,11 +157,11 @@ def per_sorted_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.Dat
     return df.repartition(*keys).sortWithinPartitions(*keys).transform(map_frames, run, schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, component (smallest reachable node) of undirected edges (src, dst), both bigint.
 
-    Alternates large-star and small-star steps until nothing changes; each round
-    is a written table. Sums of hashes, not rows, come to the driver.
+    Alternates large-star and small-star steps until nothing changes, or fails where
+    ``max_rounds`` are not enough; each round is a written table. Sums of hashes, not rows, come to the driver.
     """
     def min_of(directed: DataFrame) -> DataFrame:
         return directed.groupBy("u").agg(F.min("v").alias("m"))
@@ -171,7 +171,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     e = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     before = mark(e)
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"components still changed after {max_rounds} rounds")
+        rounds += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = min_of(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

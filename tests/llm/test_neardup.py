@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from tamarack.llm import neardup as N
 from tamarack.llm.common import connected_components
@@ -98,3 +99,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500)], "src bigint, dst bigint")
     out = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert out == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+
+
+def test_components_that_need_more_rounds_are_not_returned(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src bigint, dst bigint")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)
