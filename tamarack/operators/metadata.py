@@ -166,8 +166,8 @@ BASE_FIELDS = {"filename": "string", "relative_path": "string", "extension": "st
 
 
 def discovered_schema(files: DataFrame, profile: Profile | None = None) -> dict:
-    """The base fields, with the document types observed, and the profile's."""
-    types = sorted(r[0] for r in files.select(document_type(F.col("relative_path"))).distinct().limit(1000).collect())
+    """The base fields, with all document types observed, and the profile's."""
+    types = sorted(r[0] for r in files.select(document_type(F.col("relative_path"))).distinct().collect())
     fields = [{"name": n, "type": t} | ({"enum": types or ["other"]} if n == "document_type" else {}) for n, t in BASE_FIELDS.items()]
     return merged_schema({"fields": fields}, profile)[0] if profile else {"fields": fields}
 

@@ -168,3 +168,10 @@ def test_session_ends_once(spark):
     df = spark.createDataFrame([(s, i, i, k) for s, i, k in rows], "session_id int, event_id int, t int, type string").withColumn("ts", F.timestamp_seconds("t")).withColumn("data", F.lit("{}"))
     assert {r["session_id"]: r["state"] for r in events.final_states(df).collect()} == {1: "completed", 2: "awaiting_human", 3: "created"}
     assert [r["session_id"] for r in events.illegal_replies(df).collect()] == [1]
+
+
+def test_schema_has_all_document_types(spark):
+    types = [f"type{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(1500)]
+    files = spark.createDataFrame([(f"a/some_{t}.md",) for t in types], "relative_path string")
+    field = next(f for f in metadata.discovered_schema(files)["fields"] if f["name"] == "document_type")
+    assert field["enum"] == sorted(types)
