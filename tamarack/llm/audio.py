@@ -5,10 +5,10 @@ image of classes over time is smoothed and summed up into an integral image, on
 which sixteen filters compare the sums of rectangles. Each comparison gives two
 bits, so each place in time gives a packed 32-bit code.
 
-Alignment looks codes of query recordings up among all codes (by their leading 28
-bits), counts the hits at each offset between two recordings, takes the offset
-with most, and confirms it by the share of differing bits of the codes that
-overlap there. Recordings with equal codes are one class: classes are compared,
+Alignment looks codes of query recordings up among all codes (by each of several
+groups of 16 bits), counts the hits at each offset between two recordings, and
+confirms every offset with enough of them by the share of differing bits of the
+codes that overlap there; each that passes is reported. Recordings with equal codes are one class: classes are compared,
 and members are named with their class. Places where the sound is silent have no
 code to look up, so silence is no common key.
 
@@ -40,8 +40,8 @@ WIDTH = 16
 FILTERS = [(kind, first, classes, frames) for kind, first, classes, frames in zip([1, 2, 3, 4, 5, 1, 2, 3, 1, 2, 4, 5, 2, 1, 3, 2], [0, 0, 0, 0, 0, 4, 6, 2, 8, 3, 3, 6, 9, 2, 6, 0], [12, 12, 12, 12, 12, 8, 6, 8, 4, 3, 9, 6, 3, 4, 6, 6], [4, 8, 8, 6, 9, 8, 4, 4, 6, 6, 4, 12, 16, 12, 6, 12], strict=True)]
 #: Log ratios at which a comparison changes its two bits; Gray code, so that neighbours differ in one.
 EDGES, GRAY = np.array([-0.25, 0.0, 0.25], np.float32), np.array([0, 1, 3, 2], np.uint32)
-#: Leading bits that are looked up, hits that make a candidate, share of bits that may differ, codes that must overlap.
-LOOKUP_BITS, HITS, BIT_ERRORS, OVERLAP = 28, 2, 0.15, 8
+#: Groups of bits that are looked up, hits (of any group) that make a candidate, share of bits that may differ, codes that must overlap.
+LOOKUPS, HITS, BIT_ERRORS, OVERLAP = (0x0000FFFF, 0x0F0F0F0F, 0xAAAAAAAA), 2, 0.15, 8
 
 
 def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -156,11 +156,12 @@ def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False)
 def align(recordings: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
     """query, match, offset, hits, bit_errors: confirmed alignments of rows (id, codes, sounding), the query's start taken from the match's."""
     def keys(df: DataFrame, name: str) -> DataFrame:
-        entry = F.explode(F.filter(F.transform("codes", lambda c, i: F.struct(F.shiftrightunsigned(c, 32 - LOOKUP_BITS).alias("key"), i.alias("at"), F.element_at("sounding", i + 1).alias("on"))), lambda s: s["on"]))
+        found = lambda k, mask: F.filter(F.transform("codes", lambda c, i: F.struct((c.cast("bigint").bitwiseAND(F.lit(mask)) * len(LOOKUPS) + k).alias("key"), i.alias("at"), F.element_at("sounding", i + 1).alias("on"))), lambda s: s["on"])
+        entry = F.explode(F.concat(*(found(k, mask) for k, mask in enumerate(LOOKUPS))))
         return df.select(F.col(id_col).alias(name), entry.alias("e")).select(name, F.col("e.key").alias("key"), F.col("e.at").alias(f"{name}_at"))
 
     hits = keys(queries, "query").join(keys(recordings, "match"), "key").groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = hits.groupBy("query", "match").agg(F.max_by(F.struct("offset", "hits"), F.struct("hits", -F.abs("offset"), "offset")).alias("b")).select("query", "match", "b.offset", "b.hits").where(F.col("hits") >= HITS)
+    best = hits.where(F.col("hits") >= HITS)
     named = lambda df, name: df.select(F.col(id_col).alias(name), F.col("codes").alias(f"{name}_codes"))
     both = best.join(named(queries, "query"), "query").join(named(recordings, "match"), "match")
     start = F.greatest(F.lit(0), -F.col("offset"))

@@ -70,3 +70,26 @@ def test_query_names_classes(spark, tmp_path):
     assert "50" not in [m.split(":")[0] for m in out[50]["matches"].split(",")]  # 50 is in the class of 20
     assert out[20]["matches"].startswith("20:0:0.0")
     assert A.align(recordings(spark, []), recordings(spark, [])).where(F.lit(True)).count() == 0
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for q in range(20):
+        clean = rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32)
+        rows.append((q, clean))
+        for k, p in enumerate((0.05, 0.1, 0.12, 0.14)):
+            flips = (rng.random((60, 32)) < p) @ (1 << np.arange(32, dtype=np.uint64))
+            rows.append((100 * (k + 1) + q, clean ^ flips.astype(np.uint32)))
+    rows.append((900, np.concatenate([rows[0][1], rng.integers(0, 1 << 32, 30, dtype=np.uint64).astype(np.uint32), rows[0][1]])))
+    for q, a in [r for r in rows if r[0] < 20]:
+        for m, b in rows:
+            for off in range(-len(a) + A.OVERLAP, len(b) - A.OVERLAP + 1):
+                start = max(0, -off)
+                n = min(len(a) - start, len(b) - start - off)
+                if n >= A.OVERLAP and round(np.bitwise_count(a[start : start + n] ^ b[start + off : start + off + n]).sum() / (32 * n), 6) <= A.BIT_ERRORS:
+                    want.add((q, m, off))
+    df = spark.createDataFrame([(i, c.view(np.int32).tolist(), [True] * len(c)) for i, c in rows], "id bigint, codes array<int>, sounding array<boolean>")
+    got = {(r["query"], r["match"], r["offset"]) for r in A.align(df, df.where("id < 20")).collect()}
+    assert {(0, 900, 0), (0, 900, 90)} <= want & got
+    assert got <= want and len(got) >= 0.9 * len(want)
