@@ -4,7 +4,7 @@ import numpy as np
 
 from tamarack.llm.latent import inverse_frequencies, right_singular_vectors, times, transposed_times, weighted
 from tamarack.llm.quality import counter, fit_quality, score_quality, shape
-from tamarack.llm.toxicity import Network, _sigmoid, fit_toxicity, held_out, labelled_sample, score_toxicity, windows_of
+from tamarack.llm.toxicity import HIDDEN, Network, _sigmoid, coded, fit_toxicity, held_out, labelled_sample, score_toxicity, windows_of
 
 from .conftest import HUGE
 
@@ -23,6 +23,48 @@ def sample(seed, n):
     return [(prose(r, r.randrange(5, 200), bad=2 * y), y) for y in (r.randrange(2) for _ in range(n))]
 
 
+def plain_forward(net, words, index):
+    """Logits one window, direction and word at a time, from the formulas."""
+    x = net.inputs(coded(words))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    out = []
+    for row in index:
+        states = [[None] * len(row) for _ in (0, 1)]
+        for d, order in ((0, range(len(row))), (1, range(len(row) - 1, -1, -1))):
+            h = np.zeros(HIDDEN)
+            for s in order:
+                g = x[row[s] - 1] @ net.p["wx"][d] + net.p["b"][d][0] if row[s] else np.zeros(3 * HIDDEN)
+                hu = h @ net.p["u"][d]
+                z, r = sig(g[:HIDDEN] + hu[:HIDDEN]), sig(g[HIDDEN : 2 * HIDDEN] + hu[HIDDEN : 2 * HIDDEN])
+                c = np.tanh(g[2 * HIDDEN :] + r * hu[2 * HIDDEN :])
+                h = z * h + (1 - z) * c
+                states[d][s] = h
+        full = np.array([np.concatenate([states[0][s], states[1][s]]) for s in range(len(row))])
+        e = np.exp(np.tanh(full @ net.p["wa"] + net.p["ba"]) @ net.p["va"]) * (np.array(row) > 0)
+        out.append((e / e.sum()) @ full @ net.p["wo"] + net.p["bo"][0])
+    return np.array(out)
+
+
+def test_forward_pass_is_the_plain_one():
+    net, rng = Network(3), np.random.default_rng(4)
+    words = [f"word{i}".encode() for i in range(9)]
+    net.p["b"] = rng.standard_normal(net.p["b"].shape).astype(np.float32)
+    index = rng.integers(0, 10, (6, 7))
+    index[:, 2] = 1
+    assert np.allclose(net.forward(net.gates(net.inputs(coded(words))), index), plain_forward(net, words, index), atol=1e-4)
+    assert np.allclose(net.vocabulary_gates(words, part=4), net.gates(net.inputs(coded(words))))
+
+
+def test_scores_are_the_highest_window_of_the_plain_pass():
+    model = fit_toxicity(sample(1, 60), epochs=1)
+    texts = [prose(random.Random(i), n) for i, n in enumerate((3, 40, 90))]
+    for text, score in zip(texts, next(model.scores([texts])), strict=True):
+        words = text.split()
+        rows = [list(range(s + 1, min(s + 32, len(words)) + 1)) + [0] * (32 - len(words)) for s in windows_of(len(words))]
+        top = plain_forward(model.net, [w.encode() for w in words], rows).max()
+        assert abs(score - _sigmoid(model.slope * top + model.shift)) < 1e-3
+
+
 def test_gradients_are_those_of_the_loss():
     net, rng = Network(1), np.random.default_rng(2)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -31,15 +73,14 @@ def test_gradients_are_those_of_the_loss():
     index[:, 0] = 1
 
     def loss():
-        p = _sigmoid(net.forward(net.gates(net.inputs(words)), index))
+        p = _sigmoid(net.forward(net.gates(net.inputs(coded(words))), index))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
 
-    gates = net.gates(net.inputs(words))
-    logit, kept = net.forward(gates, index, keep=True)
-    grads, _ = net.backward(gates, index, kept, _sigmoid(logit) - y)
-    for name in ("wo", "bo", "va", "wa", "ba", "u"):
+    grads = net.gradients(coded(words), index, lambda logit: _sigmoid(logit) - y)
+    for name in net.p:
         flat = net.p[name].ravel()
-        for at in {0, flat.size // 2, flat.size - 1}:
+        used = np.flatnonzero(np.abs(grads[name].ravel()) > 1e-9)
+        for at in {int(used[0]), int(used[len(used) // 2]), int(used[-1])}:
             was = flat[at]
             flat[at] = was + 1e-3
             up = loss()
@@ -130,7 +171,7 @@ def test_shapes():
 
 def test_toxic_parts_of_words_without_spaces_are_found():
     model = fit_toxicity(sample(1, 400))
-    model.net.p["word"][:] = 0  # what is left is what trigrams say, not the hash of a whole word
+    model.net.p["word"][:] = 0  # what is left is what runs of bytes say, not the hash of a whole word
     clean = prose(random.Random(5), 400).replace(" ", "_")
     for at in (70, 900, len(clean)):
         glued = clean[:at] + "_rotten_vile_nasty_" * 4 + clean[at:]
