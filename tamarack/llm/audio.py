@@ -138,7 +138,7 @@ def codes_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False) -> DataFrame:
     """df with ``codes`` array<int> and ``sounding`` array<boolean> for a column of WAV files."""
-    short_batches(df.sparkSession, 32)
+    short_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in ("codes", "sounding") and (keep_audio or c != audio_col)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,9 +195,8 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Queries are the recordings whose id is divisible by 50, by their classes.
     """
-    short_batches(spark, 32)
-    found = materialize(fingerprint_column(sonified(read(spark, sf_dir, "embeddings")), "audio").withColumn("code_hash", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)), "codes")
     short_batches(spark)
+    found = materialize(fingerprint_column(sonified(read(spark, sf_dir, "embeddings")), "audio").withColumn("code_hash", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)), "codes")
     coded = found.where("id is not null and size(codes) > 0")
     classes = materialize(coded.groupBy("code_hash").agg(F.min("id").alias("id"), F.any_value("codes").alias("codes"), F.any_value("sounding").alias("sounding"), F.bool_or(F.col("id") % 50 == 0).alias("asked")), "classes")
     matched = align(classes, classes.where("asked"))

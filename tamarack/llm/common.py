@@ -1,13 +1,14 @@
 """What the training-data operators share: words, hashes, scratch tables, components.
 
 Scratch tables are Parquet in the folder that ``spark.checkpoint.dir`` names, so
-that they outlive any executor; where the setting is unset (tests), a temporary
-folder of this process is taken.
+that they outlive any executor; where the setting is unset and the master is local
+(tests), a temporary folder of this process is taken.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -23,8 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A-Z to a-z, on UTF-8 bytes; every other byte stays.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Rows of an Arrow batch: whole texts can be long, so batches are kept small.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch: whole texts can be long, so batches are kept small.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 M64 = (1 << 64) - 1
 
 
@@ -32,9 +33,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that cross to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def short_batches(spark: SparkSession) -> None:
+    """Bound the rows and, as texts can be very long, the bytes that cross to Python at once; the same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 @functools.cache
@@ -44,17 +46,56 @@ def _own_scratch() -> str:
     return f"file://{folder}"
 
 
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share, removed when this process ends."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or _own_scratch()).rstrip('/')}/tamarack-{uuid.uuid4().hex}"
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{(root or _own_scratch()).rstrip('/')}/tamarack-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget)
+    _made.add(folder)
+    return folder
+
+
+def _forget() -> None:
+    spark = SparkSession.getActiveSession()
+    for folder in _made if spark is not None else ():
+        with contextlib.suppress(Exception):  # the session may be gone already
+            discard(spark, folder)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage where a result is used twice."""
-    path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts the lineage where a result is used twice.
+
+    Shuffles that made the table are removed once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}"
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: str | None) -> list[bytes]:

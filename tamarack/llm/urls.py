@@ -205,7 +205,7 @@ def fit_urls(examples: DataFrame) -> UrlModel:
 
 def judge_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", examples: DataFrame | None = None) -> DataFrame:
     """df with host, path, rule, score (null where a rule decides) and verdict; ``examples`` (url, accepted) add to those of the rules."""
-    short_batches(df.sparkSession, 10_000)
+    short_batches(df.sparkSession)
     added = ("host", "path", "rule", "score", "verdict")
     rest = [c for c in df.columns if c not in added]
     # the row's own columns travel in one, so that no name of theirs meets one of ours
