@@ -6,10 +6,11 @@ which sixteen filters compare the sums of rectangles. Each comparison gives two
 bits, so each place in time gives a packed 32-bit code.
 
 Alignment looks codes of query recordings up among all codes (by each of several
-groups of 16 bits), counts the hits at each offset between two recordings, and
+groups of 24 bits, at the places where the group changes, so that a held sound is one
+key), counts the hits at each offset between two recordings, and
 confirms every offset with enough of them by the share of differing bits of the
-codes that overlap there; each that passes is reported. Recordings with equal codes are one class: classes are compared,
-and members are named with their class. Places where the sound is silent have no
+codes that overlap there; each that passes is reported. Recordings with equal codes
+are one class: classes are compared, and members are named with their class. Places where the sound is silent have no
 code to look up, so silence is no common key.
 
 Defined cases: null, empty or unreadable audio has no codes and matches nothing;
@@ -32,6 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import map_frames, materialize, read, short_batches
 
 RATE, FRAME, HOP = 11025, 4096, 1365
+#: Format tags of WAV, and the kinds of samples that are read.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+FORMATS = {(PCM, 8): "u1", (PCM, 16): "<i2", (PCM, 24): None, (PCM, 32): "<i4", (FLOAT, 32): "<f4", (FLOAT, 64): "<f8"}
 LOWEST, HIGHEST = 28.0, 3520.0
 SMOOTHING = np.array([0.25, 0.75, 1.0, 0.75, 0.25], np.float32)
 WIDTH = 16
@@ -41,7 +45,9 @@ FILTERS = [(kind, first, classes, frames) for kind, first, classes, frames in zi
 #: Log ratios at which a comparison changes its two bits; Gray code, so that neighbours differ in one.
 EDGES, GRAY = np.array([-0.25, 0.0, 0.25], np.float32), np.array([0, 1, 3, 2], np.uint32)
 #: Groups of bits that are looked up, hits (of any group) that make a candidate, share of bits that may differ, codes that must overlap.
-LOOKUPS, HITS, BIT_ERRORS, OVERLAP = (0x0000FFFF, 0x0F0F0F0F, 0xAAAAAAAA), 2, 0.15, 8
+LOOKUPS, HITS, BIT_ERRORS, OVERLAP = (0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00, 0xEEEEEEEE), 2, 0.15, 8
+#: Energy, as a share of the recording's loudest frame, below which a frame is silent.
+SILENCE = 1e-5
 
 
 def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -51,7 +57,7 @@ def wav_bytes(samples: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def read_wav(data) -> tuple[int, np.ndarray] | None:
-    """(rate, mono samples) of a PCM WAV of 8, 16 or 32 bits; None if it isn't one."""
+    """(rate, mono samples) of a WAV of whole numbers of 8, 16, 24 or 32 bits or floats of 32 or 64; None if it isn't one."""
     if not isinstance(data, (bytes, bytearray)) or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
     at, form = 12, None
@@ -60,13 +66,23 @@ def read_wav(data) -> tuple[int, np.ndarray] | None:
         body = data[at + 8 : at + 8 + size]
         if name == b"fmt " and len(body) >= 16:
             form = struct.unpack("<HHIIHH", body[:16])
+            if form[0] == EXTENSIBLE and len(body) >= 26:
+                form = struct.unpack("<H", body[24:26]) + form[1:]
         if name == b"data" and form:
-            _, channels, rate, _, _, bits = form
-            if bits not in (8, 16, 32) or not channels or not rate:
+            tag, channels, rate, _, _, bits = form
+            if (tag, bits) not in FORMATS or not channels or not rate:
                 return None
-            width = bits // 8 * channels
-            x = np.frombuffer(body[: len(body) // width * width], {8: "u1", 16: "<i2", 32: "<i4"}[bits]).astype(np.float32)
-            x = (x - 128) / 128 if bits == 8 else x / float(1 << (bits - 1))
+            body = body[: len(body) // (bits // 8 * channels) * (bits // 8 * channels)]
+            if bits == 24:  # as the upper bytes of 32 bits
+                wide = np.zeros((len(body) // 3, 4), np.uint8)
+                wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+                x = wide.view("<i4")[:, 0]
+            else:
+                x = np.frombuffer(body, FORMATS[tag, bits])
+            if tag == FLOAT:
+                x = np.nan_to_num(x.astype(np.float32), nan=0.0, posinf=0.0, neginf=0.0)
+            else:
+                x = (x.astype(np.float32) - 128) / 128 if bits == 8 else x.astype(np.float32) / float(1 << (15 if bits == 16 else 31))
             return rate, x.reshape(-1, channels).mean(axis=1)
         at += 8 + size + size % 2
     return None
@@ -101,7 +117,7 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
         return np.zeros((0, 12), np.float32)
     smooth = sum(c * out[k : len(out) - len(SMOOTHING) + 1 + k] for k, c in enumerate(SMOOTHING))
     norm = np.linalg.norm(smooth, axis=1, keepdims=True)
-    return np.where(norm > 1e-2, smooth / np.maximum(norm, 1e-9), 0).astype(np.float32)
+    return np.where(norm > SILENCE * norm.max(initial=0), smooth / np.maximum(norm, 1e-30), 0).astype(np.float32)
 
 
 def codes_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +172,11 @@ def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False)
 def align(recordings: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
     """query, match, offset, hits, bit_errors: confirmed alignments of rows (id, codes, sounding), the query's start taken from the match's."""
     def keys(df: DataFrame, name: str) -> DataFrame:
-        found = lambda k, mask: F.filter(F.transform("codes", lambda c, i: F.struct((c.cast("bigint").bitwiseAND(F.lit(mask)) * len(LOOKUPS) + k).alias("key"), i.alias("at"), F.element_at("sounding", i + 1).alias("on"))), lambda s: s["on"])
+        def found(k: int, mask: int):
+            group = F.transform("codes", lambda c: c.bitwiseAND(F.lit(mask if mask < 1 << 31 else mask - (1 << 32))))
+            fresh = lambda g: F.transform(g, lambda c, i: F.struct(F.shiftleft(c.cast("bigint"), 3).bitwiseOR(F.lit(k)).alias("key"), i.alias("at"), (F.element_at("sounding", i + 1) & ((i == 0) | (c != F.get(g, i - 1)) | ~F.get("sounding", i - 1))).alias("on")))
+            return F.filter(F.element_at(F.transform(F.array(group), fresh), 1), lambda s: s["on"])
+
         entry = F.explode(F.concat(*(found(k, mask) for k, mask in enumerate(LOOKUPS))))
         return df.select(F.col(id_col).alias(name), entry.alias("e")).select(name, F.col("e.key").alias("key"), F.col("e.at").alias(f"{name}_at"))
 
@@ -191,7 +211,7 @@ def sonified(vectors: DataFrame) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every recording: its codes, its class of equal ones, and, on the class's smallest id, the queries it aligns with.
+    """Every recording with its codes' hash and its class of equal ones; the class's smallest id has a row for each alignment with a query.
 
     Queries are the recordings whose id is divisible by 50, by their classes.
     """
@@ -199,7 +219,6 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(fingerprint_column(sonified(read(spark, sf_dir, "embeddings")), "audio").withColumn("code_hash", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)), "codes")
     coded = found.where("id is not null and size(codes) > 0")
     classes = materialize(coded.groupBy("code_hash").agg(F.min("id").alias("id"), F.any_value("codes").alias("codes"), F.any_value("sounding").alias("sounding"), F.bool_or(F.col("id") % 50 == 0).alias("asked")), "classes")
-    matched = align(classes, classes.where("asked"))
-    listed = matched.groupBy(F.col("match").alias("id")).agg(F.count("*").alias("n_matches"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("query", "offset", "bit_errors"))), lambda m: F.concat_ws(":", m["query"].cast("string"), m["offset"].cast("string"), m["bit_errors"].cast("string"))), ",").alias("matches"))
-    named = found.join(classes.select("code_hash", F.col("id").alias("class_id")), "code_hash", "left").join(listed, "id", "left")
-    return named.select(F.col("id").alias("vec_id"), F.size("codes").cast("bigint").alias("n_codes"), "code_hash", F.when(F.size("codes") > 0, F.col("class_id")).alias("class_id"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("matches", F.lit("")).alias("matches"))
+    matched = align(classes, classes.where("asked")).select(F.col("match").alias("id"), F.col("query").alias("query_class"), "offset", "bit_errors")
+    named = found.join(classes.select("code_hash", F.col("id").alias("class_id")), "code_hash", "left").join(matched, "id", "left")
+    return named.select(F.col("id").alias("vec_id"), F.size("codes").cast("bigint").alias("n_codes"), "code_hash", F.when(F.size("codes") > 0, F.col("class_id")).alias("class_id"), "query_class", "offset", "bit_errors")
