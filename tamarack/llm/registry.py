@@ -26,9 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_chroma_fingerprints": audio.op2_chroma_fingerprints,
         "op3_setsketch_near_duplicates": neardup.OP3_SQL,
         "op6_pii_spans": pii.op6_sql(),
-        "op9_url_language_models": urls.op9_url_language_models,
         "op10_fingerprint_index_repeats": substrings.OP10_SQL,
     }
