@@ -86,6 +86,15 @@ def test_ranges_are_the_units(spark, numbers):
     assert all(b + 1 < c for (_, b), (c, _) in zip(out, out[1:]))
 
 
+def within(t, cap, kind):
+    """A text's head and tail in a cap, or for ring2 its head and eight of the lines that name units."""
+    ends = t[: int(cap * 0.6)] + budget.SHORTENED + t[len(t) - (cap - int(cap * 0.6) - 30) :]
+    marks = "\n".join([l for l in (x.strip() for x in t.splitlines()) if l[:6] == "[UNIT " or l[:1] == "#"][:8])
+    named = (t[: cap // 3] + budget.RING + marks).strip()
+    named = named[: cap - 20] + budget.CUT if len(named) > cap else named
+    return t if len(t) <= cap else {"ring2": named}.get(kind, ends)
+
+
 def plain_compaction(rows, limit, anchor):
     """The same, one message after another."""
     import re
@@ -102,7 +111,7 @@ def plain_compaction(rows, limit, anchor):
 
     def cap(which):
         for m in live:
-            m[1] = budget._shrunk(m[1], budget.CAPS[which][m[2]], m[2])
+            m[1] = within(m[1], budget.CAPS[which][m[2]], m[2])
 
     cap(0)
     if total() > limit:
@@ -119,7 +128,7 @@ def plain_compaction(rows, limit, anchor):
             break
         m = min(live, key=lambda m: (m[3], m[0]))
         if len(m[1]) > 140:
-            m[1] = budget._shrunk(m[1], max(120, int(len(m[1]) * 0.65)), m[2])
+            m[1] = within(m[1], max(120, int(len(m[1]) * 0.65)), m[2])
         else:
             live.remove(m)
     return sorted((m[0], m[1]) for m in live)
