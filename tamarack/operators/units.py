@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrow import rows_of_texts
 from ..functions.scoring import unit_score
 from ..functions.text import SPACE, derive_heading, normalize_markdown, strip
 
@@ -22,35 +24,28 @@ def _heading(block: str) -> str | None:
     return first if 1 <= len(first) <= 90 else None
 
 
-class _Units:
-    """Gathers blocks until a heading or the size says that a unit is full."""
-
-    def eval(self, text: str):  # noqa: A003
-        blocks = [b for b in (text or "").split("\n\n") if b]
-        number, held, size = 0, [], 0
-
-        def unit():
-            body = "\n\n".join(held)
-            heading = next((h for h in map(_heading, held) if h), None)
-            return number, body, hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), heading, f"unit-{number}"
-
-        for block in blocks:
-            full = size + len(block) + 2 > TARGET and size >= LEAST
-            if held and (full or block.startswith("#")):
-                number += 1
-                yield unit()
-                held, size = [], 0
-            size += len(block) + (2 if held else 0)
-            held.append(block)
-        if held:
-            number += 1
-            yield unit()
+def unit_rows(text: str) -> Iterator[tuple[int, str, str, str | None, str]]:
+    """The units of a normalised text: blocks gathered until a heading or the size says that one is full."""
+    held: list[str] = []
+    size, units = 0, []
+    for block in filter(None, text.split("\n\n")):
+        full = size + len(block) + 2 > TARGET and size >= LEAST
+        if held and (full or block.startswith("#")):
+            units.append(held)
+            held, size = [], 0
+        size += len(block) + (2 if held else 0)
+        held.append(block)
+    for number, blocks in enumerate([*units, held] if held else units, 1):
+        body = "\n\n".join(blocks)
+        heading = next((h for h in map(_heading, blocks) if h), None)
+        yield number, body, hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), heading, f"unit-{number}"
 
 
 def logical_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, unit_no, markdown, content_hash, heading, source_locator; none for blank texts."""
-    split = F.udtf(_Units, returnType="unit_no int, markdown string, content_hash string, heading string, source_locator string")
-    return docs.select(id_col, normalize_markdown(F.col(text_col)).alias("_text")).lateralJoin(split(F.col("_text").outer())).drop("_text")
+    named = docs.select(F.col(id_col).alias("id"), normalize_markdown(F.col(text_col)).alias("body"))
+    made = rows_of_texts(named, "body", unit_rows, "unit_no int, markdown string, content_hash string, heading string, source_locator string", 1)
+    return made.withColumnRenamed("id", id_col)
 
 
 def whole_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
