@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import ids
+
 UNIT_ATTRIBUTES = ["markdown", "content_hash", "heading", "source_locator", "images_json"]
 PAGE_ATTRIBUTES = ["object_key", "heading", "char_count", "is_synthetic", "content_hash", "source_locator"]
 #: What a failed parse says first.
@@ -117,3 +119,26 @@ def cache_probe(requests: DataFrame, cached: DataFrame) -> DataFrame:
 
 def is_parse_error(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(text, F.lit("")).startswith(p) for p in PARSE_ERRORS))
+
+
+def get_or_create_corpus(corpora: DataFrame, root: str, now: Column) -> DataFrame:
+    """corpora with one for the root path; a known one stays as it is."""
+    spark = corpora.sparkSession
+    row = spark.range(1).select(ids.corpus_id(F.lit(root)).alias("corpus_id"), F.lit(root).alias("root_path"), now.cast("timestamp").alias("created_at"))
+    return corpora.unionByName(row.join(corpora, "corpus_id", "left_anti"))
+
+
+def stub(known: DataFrame, key: DataFrame, corpus: str, relative_path: str, absolute_path: str, original_filename: str, object_key: str | None, size: int) -> DataFrame:
+    """The row of a document before it is parsed. What is known of it stays, but for the upload's name, key, size and status; it is active again."""
+    given = {"corpus_id": F.lit(corpus), "relative_path": F.lit(relative_path), "absolute_path": F.lit(absolute_path), "original_filename": F.lit(original_filename), "object_key": F.lit(object_key).cast("string"), "file_size": F.lit(size).cast("bigint"), "upload_status": F.lit("uploaded"), "is_deleted": F.lit(False)}
+    fresh = {"content": F.lit(""), "metadata_json": F.lit("{}"), "content_hash": F.lit(""), "parsed_is_complete": F.lit(False), "file_mtime": F.lit(0.0)}
+    both = key.join(known, "doc_id", "left")
+    return both.select(*(given[c].alias(c) if c in given else F.coalesce(c, fresh[c]).alias(c) if c in fresh else F.col(c) for c in known.columns))
+
+
+def set_attributes(documents: DataFrame, **values) -> DataFrame:
+    """documents with these columns set; a value is a column or a literal."""
+    settable = {"metadata_json", "relative_path", "absolute_path", "upload_status", "is_deleted"}
+    if unknown := set(values) - settable:
+        raise ValueError(f"can't set {sorted(unknown)}")
+    return documents.withColumns({c: (v if isinstance(v, Column) else F.lit(v)).cast(documents.schema[c].dataType) for c, v in values.items()})

@@ -11,7 +11,7 @@ from ..functions import ids
 from ..operators import catalog, chunking, metadata, pages, scope, search, sync, units
 from ..operators.filters import parse_filters
 from ..sources import files
-from ..sources.store import SnapshotStore
+from ..sources.store import KEYS, SnapshotStore
 
 PARSER_VERSION = "1"
 
@@ -66,23 +66,26 @@ class Engine:
         pieces = pieces.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), F.col("position"), F.col("start_char"), F.col("end_char"))).cache()
         numbered = pages.page_manifest(made, rows)
 
-        everyone = self.store.read("documents")
-        documents = everyone.where(F.col("corpus_id") != self.corpus).unionByName(sync.mark_missing(sync.upsert(old, rows, ["doc_id"]), found.select("relative_path"))[0])
-        gone = sync.mark_missing(old, found.select("relative_path"))[1].count()
-        tables = {
-            "documents": documents,
-            "chunks": sync.replace_children(self.chunks, pieces, good, "doc_id"),
-            "parsed_units": sync.sync(self.store.read("parsed_units"), made, ["doc_id", "unit_no"], ["doc_id"], ["parser_version"]),
-            "document_pages": self.store.read("document_pages").join(good.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti").unionByName(numbered.select(self.store.read("document_pages").columns)),
+        # only what has changed is written: the documents that are new, different or gone, and what hangs on them
+        active = sync.mark_missing(old, found.select("relative_path"))[1].cache()
+        gone = active.count()
+        mine = good.select("doc_id").cache()
+        changes = {
+            "documents": (mine.unionByName(active.select("doc_id")), rows.unionByName(active.withColumn("is_deleted", F.lit(True)).join(mine, "doc_id", "left_anti"))),
+            "chunks": (mine, pieces),
+            "parsed_units": (mine, made),
+            "document_pages": (mine.withColumnRenamed("doc_id", "document_id"), numbered),
         }
         n_embedded = 0
         if self.embed:
             fresh = metadata.embed_texts(pieces.select("chunk_id", "doc_id", "position", "text"), self.embed).drop("text")
-            tables["chunk_embeddings"] = self.store.read("chunk_embeddings").join(good.select("doc_id"), "doc_id", "left_anti").unionByName(fresh.select("chunk_id", "doc_id", "position", "embedding"))
+            changes["chunk_embeddings"] = (mine, fresh)
             n_embedded = pieces.count()
         counts = IndexResult(good.count(), found.count() - changed.count(), parsed.where("error is not null").count(), gone, pieces.count(), n_embedded)
-        self.store.commit(**tables)
-        for df in (good, made, pieces):
+        corpora = self.store.read("corpora")
+        known = not corpora.where(F.col("corpus_id") == self.corpus).isEmpty()
+        self.store.commit(changes, **({} if known else {"corpora": sync.get_or_create_corpus(corpora, self.root, F.current_timestamp())}))
+        for df in (good, made, pieces, active, mine):
             df.unpersist()
         return counts
 
@@ -118,20 +121,53 @@ class Engine:
     def resolve_scope(self, collection_id: str | None = None, document_ids: DataFrame | None = None) -> DataFrame:
         return scope.resolve_scope(self.documents, self.store.read("collection_documents"), self.store.read("collections"), collection_id, document_ids)
 
+    def schema(self) -> DataFrame:
+        """The active schema of the corpus."""
+        return self._mine("schemas").where("is_active")
+
+    def save_schema(self, name: str, schema_def: str, active: bool = True, now: str | None = None) -> None:
+        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        row = self.spark.range(1).select(ids.schema_id(F.lit(self.corpus), F.lit(name)).alias("schema_id"), F.lit(self.corpus).alias("corpus_id"), F.lit(name).alias("name"), F.lit(schema_def).alias("schema_def"), F.lit(active).alias("is_active"), at.alias("created_at"))
+        self.store.commit(schemas=sync.save_schema(self.store.read("schemas"), row))
+
     def create_collection(self, name: str, now) -> str:
         row = self.spark.range(1).select(ids.collection_id(F.lit(name), F.lit(str(now))).alias("collection_id"), F.lit(name).alias("name"), F.lit(now).cast("timestamp").alias("created_at"), F.lit(now).cast("timestamp").alias("updated_at"), F.lit(False).alias("is_deleted"))
         self.store.commit(collections=self.store.read("collections").unionByName(row))
         return row.first()["collection_id"]
 
+    def rename_collection(self, collection_id: str, name: str, now) -> None:
+        self.store.commit(collections=scope.change_collection(self.store.read("collections"), collection_id, now, name=name))
+
+    def delete_collection(self, collection_id: str, now) -> None:
+        self.store.commit(collections=scope.change_collection(self.store.read("collections"), collection_id, now, deleted=True))
+
     def attach(self, collection_id: str, document_ids: DataFrame) -> None:
-        self.store.commit(collection_documents=scope.attach(self.store.read("collection_documents"), collection_id, document_ids)[0])
+        """Put documents into a collection; those of their rows that are there already stay."""
+        known = self.store.read("collection_documents").join(document_ids.select("doc_id"), "doc_id", "left_semi")
+        self.store.commit({"collection_documents": (document_ids, scope.attach(known, collection_id, document_ids)[0])})
+
+    def detach(self, collection_id: str, document_ids: DataFrame) -> None:
+        known = self.store.read("collection_documents").join(document_ids.select("doc_id"), "doc_id", "left_semi")
+        self.store.commit({"collection_documents": (document_ids, scope.detach(known, collection_id))})
+
+    def upsert_stub(self, relative_path: str, original_filename: str, object_key: str | None = None, size: int = 0) -> str:
+        """A document that is uploaded but not parsed yet; a known one keeps its content."""
+        key = self.spark.range(1).select(ids.document_id(F.lit(self.corpus), F.lit(relative_path)).alias("doc_id"))
+        known = self.store.read("documents").join(key, "doc_id", "left_semi")
+        row = sync.stub(known, key, self.corpus, relative_path, f"{self.root}/{relative_path}", original_filename, object_key, size)
+        self.store.commit({"documents": (key, row)})
+        return key.first()["doc_id"]
+
+    def set_attributes(self, document_ids: DataFrame, **values) -> None:
+        """Set columns of documents: metadata_json, relative_path, absolute_path, upload_status or is_deleted."""
+        hit = self.store.read("documents").join(document_ids.select("doc_id"), "doc_id", "left_semi")
+        self.store.commit({"documents": (document_ids, sync.set_attributes(hit, **values))})
 
     def delete(self, document_ids: DataFrame, physically: bool = False) -> None:
         """Mark documents as deleted, or remove them with all that hangs on them."""
         if physically:
-            names = ["documents", "chunks", "parsed_units", "collection_documents", "chunk_embeddings"]
-            self.store.commit(**sync.delete_cascade({n: self.store.read(n) for n in names}, document_ids))
+            tables = ["documents", "chunks", "parsed_units", "document_pages", "collection_documents", "chunk_embeddings"]
+            named = {n: document_ids.select(F.col("doc_id").alias(KEYS[n])) for n in tables}
+            self.store.commit({n: (keys, self.store.read(n).limit(0)) for n, keys in named.items()})
         else:
-            docs = self.store.read("documents")
-            hit = docs.join(document_ids.select("doc_id").withColumn("_hit", F.lit(True)), "doc_id", "left")
-            self.store.commit(documents=hit.withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_hit", F.lit(False))).select(docs.columns))
+            self.set_attributes(document_ids, is_deleted=True)

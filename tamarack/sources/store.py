@@ -2,7 +2,7 @@
 
 A write makes a new snapshot of every table that changes and moves the pointer
 last, so readers see all of it or nothing, and no path is overwritten that a plan
-still reads. One writer at a time.
+still reads. Of two writers that begin at the same commit the second fails.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _S, _L, _I, _D, _B, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
@@ -34,11 +34,20 @@ SCHEMAS = {
 }
 
 
+#: The column by whose hash a table's rows are dealt to buckets; other tables are small and have one.
+KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id"}
+BUCKETS = 256
+
+
 class SnapshotStore:
-    """The current snapshots of named tables below a root that Spark can write to."""
+    """The current snapshots of named tables below a root that Spark can write to.
+
+    A large table is ``buckets`` folders by the hash of its key; a change of some
+    documents rewrites only the buckets that they are in.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,31 +56,58 @@ class SnapshotStore:
         folder = self._path(f"{self.root}/_current")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
-    def current(self) -> dict[str, str]:
-        """table -> folder of its snapshot."""
+    def current(self) -> tuple[int, dict[str, dict[str, str]]]:
+        """(number of the commit, table -> bucket -> folder)."""
         names = self._pointers()
         if not names:
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_current/{names[-1]}", wholetext=True).collect()))
+            return -1, {}
+        return int(names[-1].split(".")[0]), json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_current/{names[-1]}", wholetext=True).collect()))
 
-    def read(self, name: str) -> DataFrame:
-        found = self.current().get(name)
-        schema = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(found) if found else self.spark.createDataFrame([], schema)
+    def _of(self, name: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write new snapshots of these tables and make all of them current at once."""
-        now = self.current()
+    def read(self, name: str) -> DataFrame:
+        return self._of(name, sorted(self.current()[1].get(name, {}).values()))
+
+    def _bucket(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _written(self, name: str, df: DataFrame) -> dict[str, str]:
+        """bucket -> folder of the rows, written."""
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        rows = df.select([df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+        if name not in KEYS:
+            rows.write.parquet(path)
+            return {"0": path}
+        # partitions of one bucket each, large buckets in several
+        rows.withColumn("bucket", self._bucket(KEYS[name])).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        folders = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        return {f.removeprefix("bucket="): f"{path}/{f}" for f in folders if f.startswith("bucket=")}
+
+    def commit(self, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, **tables: DataFrame) -> None:
+        """Make new contents current, all at once: of whole ``tables``, and in ``changes`` of the rows that some keys have.
+
+        A change is (keys, rows): rows take the place of all rows with these keys, a column of
+        the table's key name; buckets without any of them stay as they are. Fails if another writer
+        has committed since this one began.
+        """
+        number, now = self.current()
         for name, df in tables.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.select([df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]).write.parquet(path)
-            now[name] = path
-        number = int(self._pointers()[-1].split(".")[0]) + 1 if self._pointers() else 0
+            now[name] = self._written(name, df)
+        for name, (keys, rows) in (changes or {}).items():
+            key, old = KEYS[name], now.get(name, {})
+            keys = keys.select(key).distinct()
+            # at most as many numbers as there are buckets
+            touched = {str(r[0]) for r in keys.select(self._bucket(key)).unionByName(rows.select(self._bucket(key))).distinct().collect()}
+            rest = self._of(name, [old[b] for b in sorted(touched & old.keys())]).join(keys, key, "left_anti")
+            now[name] = {b: f for b, f in old.items() if b not in touched} | self._written(name, rest.unionByName(rows.select(rest.columns)))
         # written under another name first: a rename is all or nothing
         draft = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
         self._fs.mkdirs(self._path(f"{self.root}/_current"))
-        if not self._fs.rename(draft, self._path(f"{self.root}/_current/{number:010d}.json")):
+        place = self._path(f"{self.root}/_current/{number + 1:010d}.json")
+        if self._fs.exists(place) or not self._fs.rename(draft, place):
+            self._fs.delete(draft, False)
             raise OSError("another writer was first")

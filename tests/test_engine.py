@@ -2,12 +2,14 @@
 
 import os
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tamarack.operators import events as batch
 from tamarack.plans import queries as core
 from tamarack.plans.engine import Engine
 from tamarack.sources import files
+from tamarack.sources.store import SnapshotStore
 from tamarack.streaming import sessions
 
 
@@ -60,6 +62,58 @@ def test_index_search_change_and_forget(spark, tmp_path):
     assert engine.documents.where("relative_path = 'c.md'").count() == 0 and {r["value"] for r in engine.facets(["extension"]).collect()} == {".md"}
 
 
+def test_facade_changes(spark, tmp_path):
+    root = f"{tmp_path}/in"
+    write(root, a_md="# One\n\nalpha", b_md="# Two\n\nbeta")
+    engine = Engine(spark, f"{tmp_path}/store", root)
+    engine.index()
+    assert engine.store.read("corpora").count() == 1 and engine.store.read("document_pages").count() == 2
+    folders = engine.store.current()[1]["documents"]
+    write(root, a_md="# One\n\nanother")
+    engine.index()
+    after = engine.store.current()[1]["documents"]
+    a, b = (engine.documents.where(F.col("relative_path") == f"{n}.md").select("doc_id") for n in "ab")
+    assert engine.store.read("corpora").count() == 1 and sum(after[k] != folders.get(k) for k in after) == 1  # one bucket of two
+    engine.save_schema("first", "{}", now="2024-01-01")
+    engine.save_schema("second", "{}", now="2024-01-02")
+    assert [r["name"] for r in engine.schema().collect()] == ["second"]
+    c = engine.create_collection("mine", "2024-01-01")
+    engine.attach(c, a.unionByName(b))
+    engine.detach(c, b)
+    assert [r[0] for r in engine.resolve_scope(c).collect()] == [a.first()[0]]
+    engine.rename_collection(c, "ours", "2024-01-03")
+    engine.delete_collection(c, "2024-01-04")
+    assert tuple(engine.store.read("collections").select("name", "is_deleted").first()) == ("ours", True)
+    stub = engine.upsert_stub("up/new.md", "new.md", "key", 3)
+    again = engine.upsert_stub("a.md", "renamed.md")
+    rows = {r["doc_id"]: r for r in engine.documents.collect()}
+    assert len(rows) == 3 and rows[stub]["content"] == "" and rows[stub]["parsed_is_complete"] is False
+    assert again == a.first()[0] and "another" in rows[again]["content"] and rows[again]["original_filename"] == "renamed.md"
+    engine.set_attributes(b, metadata_json='{"x":1}', is_deleted=True)
+    assert engine.documents.where("relative_path = 'b.md'").select("metadata_json", "is_deleted").first() == ('{"x":1}', True)
+    with pytest.raises(ValueError):
+        engine.set_attributes(b, doc_id="x")
+    engine.delete(a, physically=True)
+    for table, key in (("documents", "doc_id"), ("chunks", "doc_id"), ("parsed_units", "doc_id"), ("document_pages", "document_id")):
+        assert engine.store.read(table).where(F.col(key) == again).count() == 0, table
+
+
+def test_second_writer_fails(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/s")
+    rows = spark.createDataFrame([("c", "d")], "collection_id string, doc_id string")
+    store.commit(collection_documents=rows)
+
+    class Late(SnapshotStore):
+        def _written(self, name, df):
+            out = super()._written(name, df)
+            store.commit(collection_documents=rows)  # someone commits while this one writes
+            return out
+
+    with pytest.raises(OSError):
+        Late(spark, f"{tmp_path}/s").commit(collection_documents=rows.limit(0))
+    assert store.read("collection_documents").count() == 1
+
+
 def test_streams_say_what_batches_say(spark, tmp_path):
     if not os.path.isdir("/root/testdata/sf0.001"):
         return
