@@ -105,6 +105,13 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(codes, axis=1)[fits], np.r_[0, np.cumsum(lengths)[:-1]]
 
 
+def _all_grams(words: list[bytes], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """_grams of very many words, a part of them at a time."""
+    found = [_grams(words[at : at + part]) for at in range(0, len(words), part)]
+    before = np.cumsum([0] + [len(codes) for codes, _ in found])
+    return np.concatenate([codes for codes, _ in found]), np.concatenate([starts + n for (_, starts), n in zip(found, before[:-1], strict=True)])
+
+
 def _word_codes(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w.strip(_EDGES) or w) % WORDS for w in words], np.int64)
 
@@ -332,7 +339,7 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
         return ToxicityModel()
     share = float(y.mean()) if share is None else share
     vocabulary = numbers.new
-    codes, (grams, starts) = _word_codes(vocabulary), _grams(vocabulary)
+    codes, (grams, starts) = _word_codes(vocabulary), _all_grams(vocabulary)
     lengths = np.diff(np.r_[starts, len(grams)])
     # a part of either label is not trained on: the score is calibrated by what the network doesn't know
     apart = np.zeros(len(y), bool)
