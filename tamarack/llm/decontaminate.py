@@ -18,8 +18,9 @@ most ``TINY`` words are also candidates, whatever the cosine, where a passage ho
 PARAPHRASE of their words; what only this finds must stand together, in a run of
 words that is longer than the item by at most a quarter.
 
-A region of passages above the cosine's threshold is confirmed by the longest
-common subsequence of its words and the item's. A share of ``COPY`` of the item's
+A region of passages above the cosine's threshold, in runs of at most thrice the
+item's words and a passage, is confirmed by the longest common subsequence of its
+words and the item's. A share of ``COPY`` of the item's
 words is a copy; a share of ``PARAPHRASE`` counts if also the item's answer (its
 last sentence) is found, by a share of ``ANSWER`` of its words in order.
 
@@ -49,6 +50,8 @@ FEATURES = 1 << FEATURE_BITS
 STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM, PIECE, TINY = 16, 2, 3, 24, 32, 16
 COSINE, COPY, PARAPHRASE, ANSWER, SHARED = 0.4, 0.8, 0.5, 0.8, 0.25
 ITEMS = 4096
+#: Singular values, as a share of the largest, below which a direction is taken for rounding.
+LEAST_VALUE = 3e-3
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
 
 
@@ -194,8 +197,9 @@ def latent_space(table: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     half = vectors / np.sqrt(np.maximum(values, nudge))
     u, s, _ = np.linalg.svd(shifted @ half @ vectors.T, full_matrices=False)
-    scale = np.maximum(s[:rank], 1e-9 * max(s[0], 1e-12))
-    return (u[:, :rank] / scale).astype(np.float32)
+    # directions that a small table doesn't have are rounding errors: scaled up they would drown the rest
+    real = s[:rank] > LEAST_VALUE * max(s[0], 1e-12)
+    return np.where(real, u[:, :rank] / np.where(real, s[:rank], 1), 0).astype(np.float32)
 
 
 def answer_of(text: str) -> str:
@@ -234,7 +238,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], to_latent: np.ndarray, idf: np.ndarray):
         cores = Cores()
-        self.ids, self.words, self.answers, vectors, shares, owner = [], [], [], [], [], []
+        self.ids, self.words, self.answers, vectors, cells, shares, owner = [], [], [], [], [], [], []
         for key, text in rows:
             h = cores.of_text(text)
             if not len(h):
@@ -242,9 +246,9 @@ class Items:
             for a, b in _pieces(len(h)):
                 f = _feature(h[a:b])
                 x = to_latent[f].sum(axis=0)
-                part = np.zeros(FEATURES + 1, np.float32)
-                part[f] = idf[f]
-                shares.append(part / part.sum())
+                held = np.unique(f)
+                cells.append(len(vectors) * (FEATURES + 1) + held)
+                shares.append(idf[held] / idf[held].sum())
                 vectors.append(x / max(np.linalg.norm(x), 1e-12))
                 owner.append(len(self.ids))
             self.ids.append(key)
@@ -257,8 +261,9 @@ class Items:
         lengths = np.array([n for _, n in self.words], np.int64)[self.owner]
         self.groups = [(SHORT_BLOCKS, np.flatnonzero(lengths <= SHORT_ITEM)), (LONG_BLOCKS, np.flatnonzero(lengths > SHORT_ITEM))]
         self.vectors = np.array(vectors, np.float32).reshape(-1, to_latent.shape[1])
-        #: What each feature is of a piece's weight.
-        self.shares = np.array(shares, np.float32).reshape(-1, FEATURES + 1)
+        #: What each feature is of a piece's weight, by piece and feature; only those that a piece has.
+        self.cells = np.concatenate([np.empty(0, np.int64), *cells, [np.iinfo(np.int64).max]])
+        self.shares = np.concatenate([np.empty(0, np.float32), *shares, [0]]).astype(np.float32)
         #: Lowest cosine of a passage that counts, for each piece.
         pieces = np.array([b - a for _, n in self.words for a, b in _pieces(n)], np.float64)
         blocks = np.where(lengths <= SHORT_ITEM, SHORT_BLOCKS, LONG_BLOCKS)
@@ -269,13 +274,20 @@ class Items:
         f, k, one = np.array(rows, np.int64).reshape(-1, 3).T
         order = np.argsort(f, kind="stable")
         self.posted, self.posting = np.searchsorted(f[order], np.arange(FEATURES + 2)), k[order]
+        self.of_tiny = np.append(np.diff(self.posted)[:FEATURES] > 0, False)
+        #: How often a feature is in one tiny item at most.
+        self.most = np.zeros(FEATURES + 1, np.int64)
+        pairs, times = np.unique(f * max(1, len(self.tiny)) + k, return_counts=True)
+        np.maximum.at(self.most, pairs // max(1, len(self.tiny)), times)
 
     def candidates(self, grid: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(block, item, cosine) of passages, named by their first block, that are close to a piece of an item and share words with it.
 
-        No piece is longer than a passage, so one passage can hold all or most of its
-        weight; of the pieces of an item that a text holds PARAPHRASE of, one at least
-        has as large a part of its words there.
+        No piece is longer than a passage, so one passage can hold all or most of it; of
+        the pieces of an item that a text holds PARAPHRASE of, one at least has as large a
+        part of its words there. Those words are lost to the search if they weigh less than
+        SHARED of the piece (very frequent ones only) or stand so far apart that each passage
+        has less; tests hold what is found against a comparison of everything.
         """
         found = []
         for many, which in self.groups:
@@ -295,7 +307,9 @@ class Items:
                     words = np.sort(np.concatenate([grid[b + k] for k in range(many)], axis=1), axis=1)
                     fresh = np.ones(words.shape, bool)
                     fresh[:, 1:] = words[:, 1:] != words[:, :-1]
-                    keep = (self.shares[it[:, None], words] * fresh).sum(axis=1) >= SHARED
+                    wanted = it[:, None] * (FEATURES + 1) + words.astype(np.int64)
+                    at_cell = np.searchsorted(self.cells, wanted)
+                    keep = (self.shares[at_cell] * (fresh & (self.cells[at_cell] == wanted))).sum(axis=1) >= SHARED
                     found.append((b[keep], self.owner[it[keep]], c.ravel()[hit[a : a + 16_384]][keep]))
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))  # type: ignore[return-value]
 
@@ -309,17 +323,28 @@ class Items:
         for at in range(0, len(starts), 1024):
             first = starts[at : at + 1024]
             words = np.sort(np.concatenate([grid[first + k] for k in range(SHORT_BLOCKS)], axis=1), axis=1)
-            fresh = np.ones(words.shape, bool)
-            fresh[:, 1:] = words[:, 1:] != words[:, :-1]
+            # only words of tiny items, and only passages with as many of them as the shortest needs
+            fresh = self.of_tiny[words]
+            fresh[:, 1:] &= words[:, 1:] != words[:, :-1]
+            enough = np.flatnonzero((fresh * self.most[words]).sum(axis=1) >= need.min())
+            first, words, fresh = first[enough], words[enough], fresh[enough]
             i, w = np.nonzero(fresh)[0], words[fresh].astype(np.int64)
             n = self.posted[w + 1] - self.posted[w]
             item = self.posting[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.posted[w], n)]
-            held = np.bincount(np.repeat(i, n) * len(need) + item, minlength=len(first) * len(need)).reshape(len(first), -1)
+            held = np.bincount(np.repeat(i, n) * len(need) + item, minlength=len(first) * len(need)).reshape(len(first), len(need))
             i, k = np.nonzero(held >= need)
             found.append((first[i], self.tiny[k]))
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))  # type: ignore[return-value]
 
 
+def regions(words: np.ndarray, start: int, stop: int, length: int) -> Iterator[list[int]]:
+    """Runs of words between two places that are no longer than thrice the item and a passage; what is within twice the item's words and a passage lies within one."""
+    span = 3 * length + LONG_BLOCKS * STEP
+    stop = min(stop, len(words))
+    for at in range(start, max(stop - span + length, start + 1), length):
+        yield words[at : min(at + span, stop)].tolist()
+
+
 def together(masks: dict[int, int], length: int, words: list[int]) -> tuple[int, int]:
     """Most of the item's words in order in a run of at most a quarter more words than it has, and the run's start."""
     span = length + length // 4
@@ -365,17 +390,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
                     last = (int(where[b - 1]) - int(begin[d]) + LONG_BLOCKS) * STEP
                     if d not in hashes:  # words are needed of few texts
                         hashes[d] = cores.of_text(texts[d])
-                    region = hashes[d][max(0, first - length) : last + length].tolist()
-                    if sum(w in masks for w in region) < PARAPHRASE * length:
-                        continue
-                    common = common_subsequence(masks, length, region)
-                    if common < PARAPHRASE * length:
-                        continue
-                    answer, size = block.answers[j]
-                    answered = common_subsequence(answer, size, region) / size if size else 0.0
-                    if common >= COPY * length or answered >= ANSWER:
-                        row = (common, float(cosine[a:b].max()), answered)
-                        best[d, j] = max(best.get((d, j), row), row)
+                    for region in regions(hashes[d], max(0, first - length), last + length, length):
+                        if sum(w in masks for w in region) < PARAPHRASE * length:
+                            continue
+                        common = common_subsequence(masks, length, region)
+                        if common < PARAPHRASE * length:
+                            continue
+                        answer, size = block.answers[j]
+                        answered = common_subsequence(answer, size, region) / size if size else 0.0
+                        if common >= COPY * length or answered >= ANSWER:
+                            row = (common, float(cosine[a:b].max()), answered)
+                            best[d, j] = max(best.get((d, j), row), row)
                 where, item = block.tiny_candidates(grid, begin)
                 doc = np.searchsorted(begin, where, "right") - 1
                 for w, j, d in zip(where.tolist(), item.tolist(), doc.tolist(), strict=True):

@@ -112,3 +112,63 @@ def test_items_of_a_few_words(spark, docs):
     lengths = (3, 4, 5, 6, 8, 12, 16)
     assert set(planted(spark, docs, 7, lengths, 1).values()) == {1.0}
     assert np.mean(list(planted(spark, docs, 8, (24, 32, 48), 0.6, 20).values())) >= 0.9
+
+
+def test_tables_without_candidates(spark, docs):
+    r = random.Random(12)
+    bench = spark.createDataFrame([(0, text(r, 30)), (1, "zork quux")], "item_id bigint, text string")
+    clean = [(i, " ".join(f"q{i}x{k}" for k in range(60))) for i in range(40)]
+    blank = [(100 + i, t) for i, t in enumerate([None, "", "  \n ", None])]
+    for rows in (clean, blank, clean + blank):
+        df = docs(rows).repartition(3)
+        assert D.matches(df, bench).count() == 0 and D.decontaminate(df, bench).count() == len(rows)
+    hit = docs([*clean, (7000, "a b zork quux c")]).repartition(3)
+    assert [(x["doc_id"], x["item_id"]) for x in D.matches(hit, bench).collect()] == [(7000, 1)]
+
+
+def test_equal_texts_match_alike(spark, docs):
+    r = random.Random(13)
+    item = text(r, 40)
+    body = text(r, 50) + " " + item + " " + text(r, 50)
+    rows = [(i, body) for i in range(9)] + [(50 + i, text(r, 90)) for i in range(9)]
+    found = D.matches(docs(rows).repartition(4), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert {x["doc_id"] for x in found} == set(range(9)) and len({tuple(x)[1:] for x in found}) == 1
+
+
+def test_regions_are_bounded_and_cover():
+    words = np.arange(5000, dtype=np.uint64)
+    for start, stop, length in ((0, 5000, 20), (17, 4000, 100), (0, 60, 40), (10, 5001, 1000), (4990, 6000, 30)):
+        found = list(D.regions(words, start, stop, length))
+        assert max(map(len, found)) <= 3 * length + 48
+        for at in range(start, min(stop, 5000) - 1, 7):  # a stretched item is whole in one of them
+            end = min(at + 2 * length + 48, stop, 5000)
+            assert any(f and f[0] <= at and f[-1] >= end - 1 for f in found), (start, stop, length, at)
+
+
+def test_matches_against_a_comparison_of_everything(spark, docs):
+    """All items with all places of all documents, by the longest common subsequence alone."""
+    r = random.Random(14)
+    items = [text(r, n - 8) + ". " + text(r, 8) + "." for n in (14, 20, 30, 45, 60, 90)]
+    rows = []
+    for i in range(150):
+        words, item = text(r, r.choice((40, 150, 500))).split(), items[i % 6].split()
+        for at in r.sample(range(len(item) - 8), int((len(item) - 8) * r.choice((0, 0.1, 0.3, 0.4, 0.8)))):
+            item[at] = f"new{r.randrange(10**6)}"
+        at = r.randrange(len(words) + 1)
+        words[at:at] = item if i % 5 else []
+        rows.append((i, " ".join(words)))
+    cores = D.Cores()
+    want = set()
+    for k, t in enumerate(items):
+        h, a = cores.of_text(t), cores.of_text(D.answer_of(t))
+        masks, answer, n = D._masks(h), D._masks(a), len(h)
+        for i, body in rows:
+            w = cores.of_text(body).tolist()
+            for at in range(0, max(1, len(w) - 2 * n), max(1, n // 4)):
+                part = w[at : at + 2 * n]
+                common = D.common_subsequence(masks, n, part)
+                if common >= D.COPY * n or (common >= D.PARAPHRASE * n and D.common_subsequence(answer, len(a), part) >= D.ANSWER * len(a)):
+                    want.add((i, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in D.matches(docs(rows), bench).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
