@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: A-Z to a-z, on UTF-8 bytes; every other byte stays.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows and bytes of an Arrow batch: whole texts can be long, so batches are kept small.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 M64 = (1 << 64) - 1
 
 

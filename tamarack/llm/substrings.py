@@ -40,7 +40,9 @@ WINDOW = 13
 #: Windows of one interval of a run, about, and the bits of an interval's number at most.
 INTERVAL_WINDOWS, MOST_BITS = 400_000, 20
 #: Windows that a task gathers before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Characters whose words are made at once.
+SLICE = 1 << 19
 #: Runs of a level that are merged; batches of the query.
 FAN_IN, BATCHES = 3, 4
 SECOND = 0xD6E8FEB86659FD93
@@ -64,6 +66,16 @@ def _unpack(data: bytes | None) -> np.ndarray:
     return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
 
 
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about SLICE characters: words take many times the memory of their text."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= SLICE or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+
+
 def windows_of(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, checks and the text's number of all windows of all texts."""
     lists = [words_of(t) for t in texts]
@@ -190,12 +202,14 @@ class FingerprintIndex:
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, held, many = WordHashes(), [], 0
             for pdf in batches:
-                keys, checks, owner = windows_of(pdf.text.tolist(), hashes)
-                held.append((keys, checks, pdf.doc_id.to_numpy(np.int64)[owner]))
-                many += len(keys)
-                if many >= FLUSH:
-                    yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
-                    held, many = [], 0
+                texts, ids = pdf.text.tolist(), pdf.doc_id.to_numpy(np.int64)
+                for a, b in slices(texts):
+                    keys, checks, owner = windows_of(texts[a:b], hashes)
+                    held.append((keys, checks, ids[a:b][owner]))
+                    many += len(keys)
+                    if many >= FLUSH:
+                        yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                        held, many = [], 0
             if many:
                 yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
