@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -130,14 +131,17 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, order: tuple[str, ...]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_plan(counts, max_tokens)
     salts = max(1, -(-max(counts.values(), default=0) // SALT_ROWS))
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<length:bigint,lo:bigint,hi:bigint,each:bigint,base:bigint,at:bigint>>")).alias("p")).select("p.*")
+    by_length = [{"length": length, "places": list(rows)} for length, rows in itertools.groupby(plan, lambda p: p["length"])]
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(by_length)), "array<struct<length:bigint,places:array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint,at:bigint>>>>")).alias("p")).select("p.*")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    placed = ranked.join(F.broadcast(table) if len(plan) <= PLAN_ROWS else table, "length").where("_rank >= lo and _rank < hi")
-    step = F.col("_rank") - F.col("lo")
-    return placed.select(*pieces.columns, (F.col("base") + F.floor(step / F.col("each"))).cast("bigint").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).alias("offset"))
+    # a row for each length: a piece meets its length's intervals as an array, not as rows
+    placed = ranked.join(F.broadcast(table) if len(plan) <= PLAN_ROWS else table, "length")
+    placed = placed.withColumn("_place", F.get(F.filter("places", lambda p: (F.col("_rank") >= p["lo"]) & (F.col("_rank") < p["hi"])), F.lit(0)))
+    step, each = F.col("_rank") - F.col("_place.lo"), F.col("_place.each")
+    return placed.select(*pieces.columns, (F.col("_place.base") + F.floor(step / each)).cast("bigint").alias("sequence_id"), (F.col("_place.at") + step % each * F.col("length")).alias("offset"))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tamarack.llm.latent import inverse_frequencies, right_singular_vectors, times, transposed_times, weighted
-from tamarack.llm.quality import counter, fit_quality, score_quality, shape
-from tamarack.llm.toxicity import HIDDEN, Network, _sigmoid, coded, fit_toxicity, held_out, labelled_sample, score_toxicity, windows_of
+from tamarack.llm.quality import NEIGHBOURS, SHARPNESS, counter, fit_quality, op5_latent_neighbour_quality, score_quality, shape
+from tamarack.llm.toxicity import HIDDEN, Network, _sigmoid, coded, fit_toxicity, held_out, labelled_sample, op4_recurrent_toxicity, score_toxicity, windows_of
 
 from .conftest import HUGE
 
@@ -119,8 +120,6 @@ def test_one_label_gives_zero():
 
 
 def test_sample_keeps_out_and_is_bounded(spark, docs):
-    from pyspark.sql import functions as F
-
     df = docs([(i, f"t{i}") for i in range(100)])
     labels = spark.createDataFrame([(i, i % 3, i % 2) for i in range(100)] + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
     rows = labelled_sample(df, labels, "toxic", held_out(F.col("doc_id")), 20)
@@ -153,8 +152,6 @@ def test_quality_votes(spark, docs):
     texts = [t for pair in zip(good, junk) for t in pair] + ["", None, good[0], good[0]]
     df = docs(list(enumerate(texts)) + [(HUGE, good[1]), (None, good[1])])
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(0, 80)], "doc_id bigint, quality int")
-    from pyspark.sql import functions as F
-
     model = fit_quality(df, labels, "quality", F.lit(False))
     out = {r["doc_id"]: r["score"] for r in score_quality(df, model).collect()}
     assert all((out[i] >= 0.5) == (i % 2 == 0) for i in range(120))
@@ -176,3 +173,54 @@ def test_toxic_parts_of_words_without_spaces_are_found():
     for at in (70, 900, len(clean)):
         glued = clean[:at] + "_rotten_vile_nasty_" * 4 + clean[at:]
         assert next(model.scores([[glued]]))[0] > next(model.scores([[clean]]))[0], at
+
+
+def test_votes_are_those_of_all_cosines(spark, docs):
+    r = random.Random(8)
+    texts = [prose(r, r.randrange(5, 80)) if i % 2 else prose(r, r.randrange(5, 80)).upper() + "!!" for i in range(260)]
+    df = docs(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    model = fit_quality(df, labels, "quality", F.lit(False), most=120)
+    # one document and one sample vector at a time, from the weights and the basis
+    count = counter()
+    for i in range(200, 260):
+        features, n = count(texts[i])
+        x = np.zeros(len(model.idf))
+        x[features] = (1 + np.log(n)) * model.idf[features]
+        z = (x / np.linalg.norm(x)) @ model.basis
+        cosine = np.array([z @ v / np.linalg.norm(z) for v in model.vectors])
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[:NEIGHBOURS]
+        weight = [max(cosine[k], 1e-3) ** SHARPNESS for k in near]
+        want = sum(w * model.labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(model.scores([count(texts[i])])[0] - want) < 1e-3
+    by = {x["doc_id"]: x["score"] for x in score_quality(df, model).collect()}
+    assert all(abs(by[i] - model.scores([count(texts[i])])[0]) < 1e-6 for i in range(260))
+    long = docs([(1, texts[0] + " " + prose(r, 60_000)), (2, None)])
+    assert all(0 <= x["score"] <= 1 for x in score_quality(long, model).collect())
+
+
+def test_queries_hold_out_and_predict(spark, docs, tmp_path):
+    r = random.Random(9)
+    rows = [(i, prose(r, 40, bad=2 * (i % 3 == 0))) for i in range(300)] + [(900, None), (901, ""), (HUGE, prose(r, 40, bad=3)), (None, "x"), (7, "again"), (7, "again")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(300)] + [(0, 0, 1), (8, 0, 1), (8, 1, 0), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    import zlib
+
+    for query, folds, fold, label in ((op4_recurrent_toxicity, 5, 0, lambda i: i % 3 == 0), (op5_latent_neighbour_quality, 3, 1, lambda i: i % 3 != 0)):
+        out = query(spark, str(tmp_path)).collect()
+        assert sorted((str(x["doc_id"]) for x in out)) == sorted(str(i) for i, _ in rows)
+        assert all(x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % folds == fold) for x in out)
+        assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.5) for x in out)
+        if query is op4_recurrent_toxicity:
+            held = [x for x in out if x["held_out"] and (x["doc_id"] or 0) < 300 and x["doc_id"] not in (None, 7)]
+            assert np.mean([x["predicted"] == label(x["doc_id"]) for x in held]) > 0.9
+
+
+def test_sample_is_bounded_in_bytes_and_conflicts_have_no_label(spark, docs):
+    df = docs([(i, "x" * 1000) for i in range(40)] + [(50, "y" * 5000), (51, "z"), (51, "a"), (52, "both")])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(50, 1), (51, 0), (52, 0), (52, 1)], "doc_id bigint, toxic int")
+    rows = labelled_sample(df, labels, "toxic", F.lit(False), 100, most_bytes=64 * 1000)
+    assert ("a", 0) in rows and not {"z", "both", "y" * 5000} & {t for t, _ in rows} and len(rows) == 41
+    assert len(labelled_sample(df, labels.where("doc_id < 40"), "toxic", F.lit(False), 100, most_bytes=64 * 1000)) == 40
+    assert len(labelled_sample(df.withColumn("text", F.repeat("text", 1)), labels.where("doc_id < 40"), "toxic", F.lit(False), 10, most_bytes=64 * 1000)) == 10

@@ -1,3 +1,4 @@
+import functools
 import struct
 import zlib
 
@@ -46,6 +47,20 @@ def test_ids_are_those_of_tokenizers():
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids
 
 
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aA1 \n\t.'é日\u200b\u00a0")), max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_those_of_tokenizers_for_any_text(text):
+    public = pytest.importorskip("public_tokenizers")
+    assert tokenizer("byte_bpe_50k")(text) == slow_tokenizer(public.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def slow_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def test_pieces_and_places(spark, docs):
     long = " ".join(f"w{i}" for i in range(4000))
     df = docs([(1, None), (2, ""), (HUGE, "hello world"), (None, "hello world"), (3, long), (3, long), (4, "x")])

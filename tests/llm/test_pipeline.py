@@ -59,3 +59,23 @@ def test_stages_on_planted_cases(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_empty_and_repeated_rows_and_further_columns(spark, tmp_path):
+    r = random.Random(2)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text(r, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = spark.createDataFrame([], schema)
+    a, b = text(r, 50), text(r, 50)
+    rows = spark.createDataFrame([(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a, "de", "t", 1), (3, b, None, None, None), (3, text(r, 40), "x", "y", 2), (None, None, None, None, None), (None, a, "en", "s", 1)], schema)
+    wide = rows.selectExpr("*", "1 as score", "'k' as kept", "2 as length", "3 as row", "array(1) as spans")
+    for df, ids in ((none, []), (rows, [1, 3, None, None]), (wide, [1, 3, None, None])):
+        for name, stage in P.STAGES:
+            df = stage(spark, df, str(tmp_path))
+            if name != "packing":
+                assert df.columns == P.COLUMNS
+            if name == "near_duplicates":
+                assert sorted((x["doc_id"] for x in df.collect()), key=str) == ids
+        got = [x["doc_id"] for x in df.collect()]
+        assert sorted(got, key=str) == ids

@@ -1,7 +1,10 @@
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tamarack.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
+from tamarack.llm.sharding import communication_matrix, hypergeometric, op7_hypergeometric_shards, shuffle_into_shards
 
 from .conftest import HUGE
 
@@ -49,3 +52,20 @@ def test_shuffle_is_uniform_and_repeatable(docs):
 
 def test_empty_table(docs):
     assert len(placed(docs([]), 5)) == 0
+
+
+def test_query_columns_are_those_of_the_texts(spark, docs, tmp_path):
+    long = "é long " * 60_000
+    rows = [(i, f"text {i % 40}") for i in range(500)] + [(600, None), (601, ""), (602, "日本🙂"), (603, long), (None, "x"), (HUGE, "y"), (5, "text 5"), (5, "text 5")]
+    df = docs(rows).withColumn("shard", F.lit(99)).withColumn("slot", F.lit("s")).withColumn("block", F.lit(1)).withColumn("first", F.lit(2))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op7_hypergeometric_shards(spark, str(tmp_path)).collect()
+    data = {(i, t): (t or "").encode() for i, t in rows}
+    want = sorted(((i, len(data[i, t]) + 8, zlib.crc32(data[i, t])) for i, t in rows), key=str)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=str) == want
+    assert {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
+    slots = {s: sorted(r["slot"] for r in out if r["shard"] == s) for s in range(24)}
+    assert sum(map(len, slots.values())) == len(rows) and all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    carried = shuffle_into_shards(df, 3, ["doc_id", "text"]).collect()
+    assert {r["shard"] for r in carried} == {0, 1, 2} and {(r["block"], r["first"], r["row"]) for r in carried} == {(1, 2, "x")}
