@@ -6,14 +6,15 @@ columns of ``documents``.
 
 Defined cases: rows that a filtering stage can't judge (no text, no id) are clean
 and stay; equal rows are judged alike, except that one of a group of near
-duplicates stays; an empty table passes through.
+duplicates stays, and of rows that share an id; an empty table passes through;
+further columns are dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import read, scratch, short_batches
+from tamarack.llm.common import materialize, read, scratch, short_batches
 from tamarack.llm.decontaminate import decontaminate
 from tamarack.llm.neardup import near_duplicates
 from tamarack.llm.packing import packed_documents
@@ -32,10 +33,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near duplicates (5-word shingles, 0.8)."""
-    found = near_duplicates(docs, k=5, num=80, den=100)
+    """One document, that with the smallest id, of each component of near duplicates (5-word shingles, 0.8).
+
+    Rows that share an id are one document; that with the least text stays.
+    """
+    found = materialize(near_duplicates(docs, k=5, num=80, den=100).select("doc_id", "kept"), "kept")
     dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    kept = docs.select(COLUMNS).join(dropped, "doc_id", "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
