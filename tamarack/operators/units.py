@@ -85,6 +85,19 @@ def select_units(units: DataFrame, id_col: str = "doc_id", unit_nos: list[int] |
     return flagged.select(units.columns)
 
 
+#: Windows that are tried after the one asked for.
+WIDER = (2, 4, 8)
+
+
+def focused_units(units: DataFrame, anchor: int, window: int, id_col: str = "doc_id") -> DataFrame:
+    """Units near the anchor, in the first of ``window`` and WIDER that has any of the document; the whole document where none has."""
+    distance = F.abs(F.col("unit_no") - anchor)
+    nearest = F.min(distance).over(Window.partitionBy(id_col))
+    within = F.get(F.filter(F.array(*(F.lit(w) for w in (max(window, 0), *WIDER))), lambda w: w >= F.col("_nearest")), F.lit(0))
+    chosen = units.withColumn("_nearest", nearest).withColumn("_within", within)
+    return chosen.where(F.col("_within").isNull() | (distance <= F.col("_within"))).select(units.columns)
+
+
 def strip_headers_and_footers(pages: DataFrame, id_col: str, text_col: str = "markdown") -> DataFrame:
     """pages (id, page_no, text) with first and last lines blanked that two pages of the document share, then page numbers at the end."""
     lines = F.transform(F.split(F.col(text_col), "\r\n|\n|\r"), lambda x: F.rtrim(x, F.lit(SPACE)))

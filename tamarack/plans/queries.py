@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, text as T
-from ..operators import budget, catalog, chunking, coverage, events, filters, metadata, pages, scope, search, sync, units
+from ..operators import budget, catalog, chunking, context, coverage, events, filters, metadata, pages, scope, search, sync, units
+from ..sources import files
+from ..sources.store import SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -803,7 +805,30 @@ def _(spark, sf_dir):
     return budget.drop_oldest(budget.classify(messages_of(spark, sf_dir), 3), "history", 900, 3).select("conv_id", "idx", "tokens")
 
 
-@query("budget_compaction")
+def cap_sql(which: int) -> str:
+    """What a text becomes within the caps of a pass."""
+    cap = "CASE bucket " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in budget.CAPS[which].items()) + " END"
+    named = _NAMED.replace("cap //", f"({cap}) //")
+    return f"""CASE WHEN length(text) <= {cap} THEN text WHEN bucket = 'ring2' THEN CASE WHEN length({named}) > {cap} THEN ({named})[1 : {cap} - 20] || chr(10) || '...[truncated]...' ELSE {named} END
+ELSE text[1 : floor(({cap}) * 0.6)::INT] || chr(10) || '...[compressed]...' || chr(10) || right(text, {cap} - floor(({cap}) * 0.6)::INT - 30) END"""
+
+
+def drop_sql(name: str, of: str, bucket: str, keep: int, most: int) -> str:
+    before = "OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name}_s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) AS total, count(*) OVER (PARTITION BY conv_id) AS alive, coalesce(sum(CASE WHEN bucket = '{bucket}' THEN tokens ELSE 0 END) {before}, 0) AS gone, coalesce(sum((bucket = '{bucket}')::INT) {before}, 0) AS rk FROM {of}),
+{name} AS (SELECT conv_id, idx, role, text, bucket, priority, tokens FROM {name}_s WHERE NOT (bucket = '{bucket}' AND total - gone > {most} AND alive - rk > {keep}))"""
+
+
+def recap_sql(name: str, of: str, which: int, most: int) -> str:
+    return f"""{name}_o AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) > {most} AS is_over FROM {of}), {name}_t AS (SELECT conv_id, idx, role, CASE WHEN is_over THEN {cap_sql(which)} ELSE text END AS text, bucket, priority FROM {name}_o),
+{name} AS (SELECT *, {_TOKENS.format('text')} AS tokens FROM {name}_t)"""
+
+
+# a capped message has 225 tokens at most, so that none is left to shrink below 600
+@query("budget_compaction", f"""WITH {CLASSIFIED}, c0 AS (SELECT conv_id, idx, role, {cap_sql(0)} AS text, bucket, priority FROM cl), c0t AS (SELECT *, {_TOKENS.format('text')} AS tokens FROM c0), {recap_sql('c1', 'c0t', 1, 600)},
+{drop_sql('h', 'c1', 'history', 6, 600)}, {drop_sql('r2', 'h', 'ring2', 3, 600)}, {drop_sql('r1', 'r2', 'ring1', 2, 600)}, {recap_sql('c2', 'r1', 2, 600)},
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) - coalesce(sum(tokens) OVER w, 0) AS kept, count(*) OVER (PARTITION BY conv_id) - count(*) OVER w AS behind FROM c2 WINDOW w AS (PARTITION BY conv_id ORDER BY priority, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, idx, role, text, bucket, priority::INT AS priority FROM p WHERE NOT (kept > 600 AND behind > 1)""")
 def _(spark, sf_dir):
     return budget.compact(messages_of(spark, sf_dir), budget=600, anchor=3)
 
@@ -883,3 +908,117 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     answer = F.concat(F.lit("As [Source: src"), (F.col("doc_id") % 20).cast("string"), F.lit(".pdf, Section 2] and [Source: b.pdf] say, [Source:  src"), (F.col("doc_id") % 20).cast("string"), F.lit(".pdf ] too."))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.cited_sources(answer), "|").alias("sources"))
+
+
+# --- plans of a session, focus, and choices ------------------------------------------
+
+OPERATIONS = (*context.SCOPING, context.PROMOTE, context.SUMMARIZE, context.STOP, "dance")
+_OPS = "[" + ", ".join(f"'{o}'" for o in OPERATIONS) + "]"
+PLANS = f"""pl AS (SELECT conv_id AS session_id, turn, ({_OPS})[((turn * 5 + length(text)) % 8)::INT + 1] AS operation, CASE WHEN turn % 3 = 0 THEN 'd' || (length(text) % 4) END AS document_id,
+  CASE WHEN turn % 2 = 0 THEN turn::INT % 5 END AS range_start, [turn - 1, turn + 3] AS evidence_ids, CASE WHEN turn % 4 = 1 THEN role ELSE ' ' END AS note FROM conversations),
+ok AS (SELECT *, coalesce(document_id = 'd3', false) AS out_of FROM pl),
+sc AS (SELECT *, last_value(CASE WHEN operation IN ('keep_ranges', 'expand_range', 'narrow_to_range', 'switch_document') AND NOT out_of THEN document_id END IGNORE NULLS) OVER w AS active_document_id,
+  last_value(CASE WHEN operation IN ('keep_ranges', 'expand_range', 'narrow_to_range', 'switch_document') AND NOT out_of THEN range_start END IGNORE NULLS) OVER w AS active_start FROM ok WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+jd AS (SELECT *, CASE WHEN out_of THEN '{context.OUTSIDE}' WHEN operation = '{context.SUMMARIZE}' AND coalesce(document_id, active_document_id) IS NULL THEN '{context.NO_DOCUMENT}' WHEN operation = 'dance' THEN '{context.UNSUPPORTED}' END AS error FROM sc)"""
+
+
+def plans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans made from conversations; document d3 is never selected."""
+    t, n = F.col("turn"), F.length("text")
+    rows = read(spark, sf_dir, "conversations")
+    span = F.when(t % 2 == 0, F.array(F.struct((t % 5).cast("int").alias("start_unit"), (t % 5 + 2).cast("int").alias("end_unit")))).otherwise(F.array().cast("array<struct<start_unit:int,end_unit:int>>"))
+    plans = rows.select(F.col("conv_id").alias("session_id"), "turn", F.get(F.array(*(F.lit(o) for o in OPERATIONS)), ((t * 5 + n) % 8).cast("int")).alias("operation"), F.when(t % 3 == 0, F.concat(F.lit("d"), (n % 4).cast("string"))).alias("document_id"), F.lit("").alias("file_path"), span.alias("ranges"), F.array(t - 1, t + 3).alias("evidence_ids"), F.when(t % 4 == 1, F.col("role")).otherwise(" ").alias("note"))
+    selected = plans.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit("d0"), F.lit("d1"), F.lit("d2"))).alias("document_id"))
+    return context.judged_plans(plans, selected)
+
+
+@query("context_plans", f"WITH {PLANS} SELECT session_id, turn, operation, error, error IS NULL AS applied, active_document_id, active_start FROM jd")
+def _(spark, sf_dir):
+    return plans_of(spark, sf_dir).select("session_id", "turn", "operation", "error", "applied", "active_document_id", F.col("active_ranges")[0]["start_unit"].alias("active_start"))
+
+
+@query("promoted_evidence", f"WITH {PLANS}, e AS (SELECT session_id, turn, unnest(evidence_ids) AS evidence_id FROM jd WHERE operation = '{context.PROMOTE}' AND error IS NULL) SELECT session_id, evidence_id, min(turn) AS turn FROM e WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = e.session_id AND c.turn = e.evidence_id) GROUP BY session_id, evidence_id")
+def _(spark, sf_dir):
+    return context.promoted_evidence(plans_of(spark, sf_dir), read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("evidence_id")))
+
+
+@query("summarized_ranges", f"WITH {PLANS}, cv AS (SELECT s.session_id, d.document_id, r.range_start, (r.range_start + 2)::INT AS range_end FROM (SELECT DISTINCT session_id FROM pl) s, (VALUES ('d0'), ('d1'), ('d2')) d(document_id), (VALUES (0), (2), (4)) r(range_start)), q AS (SELECT session_id, turn, coalesce(document_id, active_document_id) AS document_id, active_document_id, active_start FROM jd WHERE operation = '{context.SUMMARIZE}' AND error IS NULL) SELECT session_id, turn, document_id, range_start, range_end FROM q JOIN cv USING (session_id, document_id) WHERE NOT coalesce(active_document_id = document_id AND active_start = range_start, false)")
+def _(spark, sf_dir):
+    judged = plans_of(spark, sf_dir)
+    spans = F.explode(F.array(*(F.struct(F.lit(d).alias("document_id"), F.lit(a).alias("range_start"), F.lit(a + 2).alias("range_end")) for d in ("d0", "d1", "d2") for a in (0, 2, 4))))
+    covered = judged.select("session_id").distinct().select("session_id", spans.alias("s")).select("session_id", "s.*")
+    return context.summarized_ranges(judged, covered)
+
+
+@query("context_gaps", f"WITH {PLANS} SELECT session_id, turn, CASE WHEN trim(note) = '' THEN '{context.INSUFFICIENT}' ELSE note END AS message FROM jd WHERE operation = '{context.STOP}' AND error IS NULL")
+def _(spark, sf_dir):
+    return context.gaps(plans_of(spark, sf_dir))
+
+
+@query("focused_units", f"WITH RECURSIVE {UNITS}, f AS (SELECT *, min(abs(unit_no - 9)) OVER (PARTITION BY doc_id) AS nearest FROM g) SELECT doc_id, unit_no FROM f WHERE abs(unit_no - 9) <= CASE WHEN nearest <= 1 THEN 1 WHEN nearest <= 2 THEN 2 WHEN nearest <= 4 THEN 4 WHEN nearest <= 8 THEN 8 ELSE 1000000 END")
+def _(spark, sf_dir):
+    return units.focused_units(units_of(spark, sf_dir), 9, 1).select("doc_id", "unit_no")
+
+
+@query("semantic_or_keywords", "SELECT 'some' AS branch, vec_id AS id, 1.0 AS score FROM embeddings WHERE vec_id < 5 UNION ALL SELECT 'none', doc_id, 2.0 FROM documents WHERE doc_id < 7")
+def _(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("id"), F.lit(1.0).alias("score"))
+    words = read(spark, sf_dir, "documents").where("doc_id < 7").select(F.col("doc_id").alias("id"), F.lit(2.0).alias("score"))
+    some, none = search.semantic_or_keywords(vectors, words), search.semantic_or_keywords(vectors.where("id < 0"), words)
+    return some.select(F.lit("some").alias("branch"), "id", "score").unionByName(none.select(F.lit("none").alias("branch"), "id", "score"))
+
+
+@query("evidence_upsert", f"WITH {READS} SELECT session_id, turn AS evidence_id, doc_id, unit_no, CASE WHEN turn % 3 = 0 THEN 'new' ELSE 'old' END AS snippet FROM rd WHERE turn % 3 = 0 OR turn % 2 = 0")
+def _(spark, sf_dir):
+    rows = reads_of(spark, sf_dir).withColumnRenamed("turn", "evidence_id")
+    old, new = rows.where("evidence_id % 2 = 0").withColumn("snippet", F.lit("old")), rows.where("evidence_id % 3 = 0").withColumn("snippet", F.lit("new"))
+    return coverage.upsert_evidence(old, new)
+
+
+_PACK = "concat_ws(chr(10), 'Active evidence:', array_to_string({a}, chr(10)), 'Supporting evidence:', array_to_string({s}, chr(10)), 'Notes:', array_to_string(notes, chr(10)))"
+_SHORT = "list_transform(active, lambda t: t[1 : {n}])"
+
+
+@query("context_pack", f"""WITH e AS (SELECT conv_id AS session_id, list(text ORDER BY turn) FILTER (turn % 2 = 0) AS a, list(text[1 : 80] ORDER BY turn) FILTER (turn % 2 = 1) AS s, list(role || turn ORDER BY turn) AS notes FROM conversations GROUP BY conv_id),
+k AS (SELECT session_id, coalesce(a, [])[1 : 8] AS active, coalesce(s, [])[1 : 8] AS supporting, notes FROM e),
+z AS (SELECT session_id, active, supporting, notes, list_concat(['Active evidence:'], active, ['Supporting evidence:'], supporting, ['Notes:'], notes) AS l0, list_concat(['Active evidence:'], {_SHORT.format(n=1200)}, ['Supporting evidence:'], supporting[1 : 4], ['Notes:'], notes) AS l1, list_concat(['Active evidence:'], {_SHORT.format(n=500)}, ['Supporting evidence:'], ['Notes:'], notes) AS l2 FROM k)
+SELECT session_id, CASE WHEN length(array_to_string(l0, chr(10))) <= 1500 THEN array_to_string(l0, chr(10)) WHEN length(array_to_string(l1, chr(10))) <= 1500 THEN array_to_string(l1, chr(10)) ELSE array_to_string(l2, chr(10))[1 : 1500] END AS pack FROM z""")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    evidence = rows.select("session_id", F.col("turn").alias("rank"), (F.col("turn") % 2 == 0).alias("is_active"), "text", F.substring("text", 1, 80).alias("snippet"))
+    notes = rows.select("session_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("text"))
+    return budget.context_pack(evidence, notes, 1500)
+
+
+@query("parse_errors", "SELECT doc_id, doc_id % 4 < 3 AS failed FROM documents")
+def _(spark, sf_dir):
+    said = F.get(F.array(F.lit("Error parsing "), F.lit("Unsupported file extension"), F.lit("No such file:"), F.lit("")), (F.col("doc_id") % 4).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", sync.is_parse_error(F.concat(said, F.coalesce("text", F.lit("")))).alias("failed"))
+
+
+@query("decoded_texts", "SELECT doc_id, md5(text) AS any_digest, md5(text || 'x') AS utf8_digest FROM documents")
+def _(spark, sf_dir):
+    data = F.encode("text", "UTF-8")
+    spoilt = F.concat(data, F.unhex(F.lit("FF78")))  # a byte that is no UTF-8, then x
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(files.decode_any(data)).alias("any_digest"), F.md5(files.decode_utf8(spoilt)).alias("utf8_digest"))
+
+
+@query("embeddings_upsert", "SELECT vec_id, label, vec_id % 5 = 0 AS renewed FROM embeddings")
+def _(spark, sf_dir):
+    old = read(spark, sf_dir, "embeddings").withColumn("renewed", F.lit(False))
+    return sync.upsert(old, old.where("vec_id % 5 = 0").withColumn("renewed", F.lit(True)), ["vec_id"]).select("vec_id", "label", "renewed")
+
+
+@query("corpora_known", "SELECT count(*) AS corpora, bool_and(created_at = TIMESTAMP '2024-01-01') AS kept FROM (VALUES (TIMESTAMP '2024-01-01')) t(created_at)")
+def _(spark, sf_dir):
+    none = spark.createDataFrame([], SCHEMAS["corpora"])
+    first = sync.get_or_create_corpus(none, "/data", F.lit("2024-01-01").cast("timestamp"))
+    again = sync.get_or_create_corpus(first, "/data", F.lit("2025-01-01").cast("timestamp"))
+    return again.agg(F.count("*").alias("corpora"), F.bool_and(F.col("created_at") == F.lit("2024-01-01").cast("timestamp")).alias("kept"))
+
+
+@query("document_attributes", "SELECT doc_id, doc_id % 2 = 0 AS is_deleted, CASE WHEN doc_id % 2 = 0 THEN '{\"x\":1}' ELSE 'old' END AS metadata_json FROM documents")
+def _(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit(False).alias("is_deleted"), F.lit("old").alias("metadata_json"))
+    even = F.col("doc_id") % 2 == 0
+    return sync.set_attributes(docs, is_deleted=even, metadata_json=F.when(even, '{"x":1}').otherwise(F.col("metadata_json")))
