@@ -295,11 +295,12 @@ def _(spark, sf_dir):
     return pages.page_summary(manifest_of(spark, sf_dir))
 
 
-@query("load_pages", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT document_id, page_no, char_count FROM man WHERE document_id % 2 = 0")
+@query("load_pages", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT document_id, page_no, char_count, content_hash AS digest FROM man")
 def _(spark, sf_dir):
     m = manifest_of(spark, sf_dir)
-    bodies = m.where("document_id % 2 = 0").select("object_key", F.lit("x").alias("body"))
-    return pages.load_pages(m, bodies).select("document_id", "page_no", "char_count")
+    texts = units_of(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("unit_no").alias("page_no"), T.page_body(F.col("markdown")).alias("body"))
+    bodies = m.select("document_id", "page_no", "object_key").join(texts, ["document_id", "page_no"]).select("object_key", "body")
+    return pages.load_pages(m, bodies).select("document_id", "page_no", "char_count", F.sha2("markdown", 256).alias("digest"))
 
 
 @query("page_by_path", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT document_id, page_no FROM man WHERE document_id = 7 AND page_no = 1")
@@ -449,9 +450,9 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query("filenames", r"""SELECT doc_id, CASE WHEN trim(s, '-.') = '' THEN 'document' ELSE trim(s, '-.') END AS safe, trim(text[1:40]) <> '' AND NOT regexp_matches(text[1:40], '[\\/:*?"<>|]') AS valid FROM (SELECT doc_id, text, regexp_replace(text[1:40], '[^A-Za-z0-9._-]+', '-', 'g') AS s FROM documents)""")
+@query("filenames", r"""SELECT doc_id, CASE WHEN trim(s, '-.') = '' THEN 'document' ELSE trim(s, '-.') END AS safe, trim(text) <> '' AND NOT regexp_matches(text, '[\\/:*?"<>|]') AS valid FROM (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g') AS s FROM documents)""")
 def _(spark, sf_dir):
-    name = F.substring("text", 1, 40)
+    name = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", T.sanitize_filename(name).alias("safe"), T.valid_storage_name(name).alias("valid"))
 
 
@@ -892,10 +893,11 @@ def _(spark, sf_dir):
     return events.repeated_calls(calls).drop("signature")
 
 
-@query("sse_frames", f"""WITH {EVENTS}, s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS sequence FROM ev)
-SELECT session_id, sequence::INT AS sequence, 'event: ' || type || chr(10) || 'data: ' || '{{"session_id":' || session_id || ',"sequence":' || sequence || ',"type":"' || type || '","data":"x"}}' || chr(10) || chr(10) AS frame FROM s""")
+@query("sse_frames", f"""WITH {EVENTS}, s AS (SELECT ev.*, props, row_number() OVER (PARTITION BY session_id ORDER BY ev.ts, ev.event_id) AS sequence FROM ev JOIN (SELECT event_id, props FROM events) USING (event_id))
+SELECT session_id, sequence::INT AS sequence, 'event: ' || type || chr(10) || 'data: ' || '{{"session_id":' || session_id || ',"sequence":' || sequence || ',"type":"' || type || '","data":' || to_json(props)::VARCHAR || '}}' || chr(10) || chr(10) AS frame FROM s""")
 def _(spark, sf_dir):
-    return events.sse_frames(events_of(spark, sf_dir).withColumn("data", F.lit("x")))
+    props = read(spark, sf_dir, "events").select("event_id", F.col("props").alias("data"))
+    return events.sse_frames(events_of(spark, sf_dir).drop("data").join(props, "event_id"))
 
 
 @query("token_usage", "SELECT user_id AS session_id, count(*) AS calls, sum(event_id % 1000)::BIGINT AS input_tokens, sum(event_id % 77)::BIGINT AS output_tokens, round(sum(event_id % 1000) / 1e6 * 0.15 + sum(event_id % 77) / 1e6 * 0.6, 6) AS cost FROM events GROUP BY user_id")
