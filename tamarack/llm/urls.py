@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import map_frames, read, short_batches
 
-ORDER, CONTEXTS = 5, 1 << 16
+ORDER = 5
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%~:+@,"
 #: Byte to symbol: letters without case; what isn't in the alphabet shares the last number.
 _SYMBOL = np.full(256, len(ALPHABET), np.int64)
@@ -97,19 +97,6 @@ def _contexts(symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def count_table(urls: list[str], table: np.ndarray) -> None:
-    """Add the URLs' characters to a table (rows, SYMBOLS) of contexts hashed to CONTEXTS rows."""
-    if not urls:
-        return
-    symbols, owner = _symbols(urls)
-    for codes in _contexts(symbols, owner):
-        table += np.bincount(_row(codes).astype(np.int64) * SYMBOLS + symbols, minlength=table.size).reshape(table.shape)
-
-
-def _row(codes: np.ndarray) -> np.ndarray:
-    return codes >> np.uint64(64 - (CONTEXTS - 1).bit_length())
-
-
 def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted number is in the sorted known ones, or their length."""
     at = np.searchsorted(known, wanted)
@@ -125,19 +112,20 @@ class Counts:
         cells = owner * SYMBOLS + symbols
         order = np.argsort(cells)
         self.cells = cells[order]
-        self.counts = np.concatenate([counts[:, order], np.zeros((2, 1))], axis=1)  # the last: never seen
-        self.totals, self.kinds = (np.array([np.bincount(owner, x, len(self.contexts) + 1) for x in z]) for z in (counts, counts > 0))
+        totals = np.array([np.bincount(owner, x, len(self.contexts) + 1) for x in counts])
+        # whole numbers as small as they fit; sums of two of them fit too
+        small = np.uint32 if 2 * totals.max(initial=0) < 1 << 32 else np.uint64
+        self.counts = np.concatenate([counts[:, order], np.zeros((2, 1))], axis=1).astype(small)  # the last: never seen
+        self.totals, self.kinds = totals.astype(small), np.array([np.bincount(owner, x, len(self.contexts) + 1) for x in counts > 0]).astype(np.uint8)
 
 
 class UrlModel:
-    """Counts (or a table of each kind with hashed rows) and the threshold; without them everything is allowed."""
+    """Counts and the threshold; without them everything is allowed."""
 
-    def __init__(self, tables: Counts | np.ndarray | None, threshold: float = 0.0):
-        self.hashed = isinstance(tables, np.ndarray)
-        if isinstance(tables, np.ndarray):
-            rows, symbols = np.nonzero(tables.sum(axis=0))
-            tables = Counts(rows.astype(np.uint64), symbols, tables[:, rows, symbols])
+    def __init__(self, tables: Counts | None, threshold: float = 0.0):
         self.tables, self.threshold = tables, threshold
+        #: The broadcast of the model, once it is fitted.
+        self.shared = None
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """Log-likelihood of acceptance over rejection for each character."""
@@ -145,7 +133,7 @@ class UrlModel:
             return np.zeros(len(urls))
         symbols, owner = _symbols(urls)
         t = self.tables
-        places = [_places(t.contexts, _row(c) if self.hashed else c) for c in _contexts(symbols, owner)]
+        places = [_places(t.contexts, c) for c in _contexts(symbols, owner)]
         cells = [np.where(rows < len(t.contexts), _places(t.cells, rows * SYMBOLS + symbols), len(t.cells)) for rows in places]
         logs = []
         for kind in (0, 1):
@@ -186,10 +174,11 @@ def fit_urls(examples: DataFrame) -> UrlModel:
         return UrlModel(None)
     tables = Counts(sums["context"].to_numpy().astype(np.int64).view(np.uint64), sums["symbol"].to_numpy().astype(np.int64), counts)
     model = UrlModel(tables)
+    shared = examples.sparkSession.sparkContext.broadcast(model)  # sent once, for the calibration and for the scores
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.clip((model.scores(pdf.url.tolist()) + _SPAN) / (2 * _SPAN) * _BINS, 0, _BINS - 1).astype(int)
+            at = np.clip((shared.value.scores(pdf.url.tolist()) + _SPAN) / (2 * _SPAN) * _BINS, 0, _BINS - 1).astype(int)
             yield pd.DataFrame({"bin": at, "accepted": pdf.accepted})
 
     seen = np.zeros((2, _BINS))
@@ -200,6 +189,7 @@ def fit_urls(examples: DataFrame) -> UrlModel:
         gain = np.r_[0, below[0] - below[1]]  # rejected below the edge less accepted below it
         best = np.flatnonzero(gain >= gain.max() - 1e-12)
         model.threshold = float(best.mean() / _BINS * 2 * _SPAN - _SPAN)  # the middle of the best edges
+    model.shared = shared
     return model
 
 
@@ -215,10 +205,12 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "u
     known = named.where("ruled is not null").select("url", (F.col("ruled") == "allow").alias("accepted"))
     model = fit_urls(known if examples is None else known.unionByName(examples.select("url", "accepted")))
 
+    shared, bare = model.shared, model if model.shared is None else None
+
     def score(urls: pd.Series) -> pd.Series:
         out = np.full(len(urls), np.nan)
         at = np.flatnonzero([isinstance(u, str) and bool(u) for u in urls])
-        out[at] = model.scores([urls.iloc[i] for i in at])
+        out[at] = (bare or shared.value).scores([urls.iloc[i] for i in at])
         return pd.Series(out).where(~np.isnan(out), None)
 
     scored = named.withColumn("score", F.pandas_udf(score, "double")(F.when(F.col("ruled").isNull(), F.col("url"))))
