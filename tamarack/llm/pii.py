@@ -129,9 +129,13 @@ def _confirmed(kind: str, txt: Column) -> Column:
     return F.lit(True)
 
 
+#: What a kind's checks add to the score of its pattern.
+CHECKED = {"card": 0.4, "iban": 0.4, "ssn": 0.1, "ip": 0.1, "phone": 0.1, "email": 0.1}
+
+
 def _scored(kind: str, text: Column) -> Column:
     """array<struct<start, order, kind, end, txt, score>> of the spans that stand."""
-    checked = {"card": 0.4, "iban": 0.4, "ssn": 0.1, "ip": 0.1, "phone": 0.1, "email": 0.1}[kind]
+    checked = CHECKED[kind]
 
     def span(x: Column) -> Column:
         near = F.concat(F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR))), F.lit("\n"), F.substring(text, x["start"] + F.length(x["txt"]) + 1, F.lit(NEAR)))
@@ -160,6 +164,11 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """The spans' scores in hundredths, comma-joined in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with every span of its text replaced by its kind in brackets; spans that overlap are replaced as one."""
     found = find_spans(df, text_col)
@@ -182,7 +191,7 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores(F.col("spans")).alias("scores"))
 
 
 def op6_sql() -> str:
@@ -210,13 +219,16 @@ def op6_sql() -> str:
 
     def spans(kind: str) -> str:
         near = f"(CASE WHEN x.start > {NEAR} THEN t[x.start - {NEAR} + 1 : x.start] ELSE t[1 : x.start] END || chr(10) || t[x.start + length(x.txt) + 1 : x.start + length(x.txt) + {NEAR}])"
-        context = f" AND regexp_matches({near}, '{CONTEXT[kind]}')" if kind == "ssn" else ""
-        return f"list_transform(list_filter({matches(kind)}, lambda x: ({tests[kind]}){context}), lambda x: {{'start': x.start, 'o': {KINDS.index(kind)}, 'kind': '{kind}', 'stop': x.start + length(x.txt)}})"
+        said = f"regexp_matches({near}, '{CONTEXT[kind]}')"
+        context = f" AND {said}" if kind == "ssn" else ""
+        score = f"{round(100 * (0.4 + CHECKED[kind]))} + CASE WHEN {said} THEN 30 ELSE 0 END"
+        return f"list_transform(list_filter({matches(kind)}, lambda x: ({tests[kind]}){context}), lambda x: {{'start': x.start, 'o': {KINDS.index(kind)}, 'kind': '{kind}', 'stop': x.start + length(x.txt), 'score': {score}}})"
 
     columns = ", ".join(f"{spans(k)} AS s{i}" for i, k in enumerate(KINDS))
     join = "array_to_string(list_transform(list_sort({}), lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
     base = join.format(" || ".join(f"s{i}" for i in range(len(BASE))))
     every = join.format(" || ".join(f"s{i}" for i in range(len(KINDS))))
+    scores_of = f"array_to_string(list_transform(list_sort({' || '.join(f's{i}' for i in range(len(KINDS)))}), lambda s: s.score), ',')"
     counts = ", ".join(f"len(s{i})::BIGINT AS n_{k}" for i, k in enumerate(BASE))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {columns} FROM d)
-SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {every} AS spans FROM s"""
+SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {every} AS spans, {scores_of} AS scores FROM s"""
