@@ -27,8 +27,8 @@ from .common import map_frames, materialize, read, short_batches
 
 MAX_TOKENS = 1024
 END_ID = 2
-#: Pieces of one length and salt that one window sorts, about.
-SALT_ROWS = 500_000
+#: Pieces of one length and salt that one window sorts: about a SALT_SHARE-th of all, between these bounds.
+SALT_SHARE, SALT_ROWS = 4096, (256, 500_000)
 #: Rows of the plan up to which it is broadcast (it has at most max_tokens ** 2 / 2, usually a few thousand).
 PLAN_ROWS = 200_000
 
@@ -130,7 +130,8 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, order: tuple[str, ...]
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit_plan(counts, max_tokens)
-    salts = max(1, -(-max(counts.values(), default=0) // SALT_ROWS))
+    window = min(max(sum(counts.values()) // SALT_SHARE, SALT_ROWS[0]), SALT_ROWS[1])
+    salts = max(1, -(-max(counts.values(), default=0) // window))
     by_length = [{"length": length, "places": list(rows)} for length, rows in itertools.groupby(plan, lambda p: p["length"])]
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(by_length)), "array<struct<length:bigint,places:array<struct<lo:bigint,hi:bigint,each:bigint,base:bigint,at:bigint>>>>")).alias("p")).select("p.*")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))

@@ -82,3 +82,20 @@ def test_pieces_and_places(spark, docs):
 
 def test_empty_table(docs):
     assert pack(token_pieces(docs([])).cache()).count() == 0
+
+
+def test_a_hot_length_is_ranked_in_parts(spark):
+    rows = [(i, 0, 3 if i < 2000 else 1 + i % 50, i) for i in range(2500)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, ids_crc32 bigint")
+    out = pack(pieces, 64).collect()
+    assert len(out) == 2500 and sorted(r["doc_id"] for r in out) == list(range(2500))
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 64
+    counts = {}
+    for r in rows:
+        counts[r[2]] = counts.get(r[2], 0) + 1
+    assert len(by) == 1 + max(p["base"] + -(-(p["hi"] - p["lo"]) // p["each"]) - 1 for p in best_fit_plan(counts, 64))
