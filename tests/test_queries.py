@@ -12,6 +12,10 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
+#: Queries that rightly find nothing in the smallest tables.
+NO_ROWS: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return views(SF)
@@ -20,7 +24,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
 def test_query_is_its_sql(spark, con, name):
     said = compare(spark, con, name, core.QUERIES[name], core.ORACLES[name], SF)
-    assert not said or said.endswith("no rows"), said
+    assert not said or (name in NO_ROWS and said.endswith("no rows")), said
 
 
 def test_entry(spark):
