@@ -6,8 +6,8 @@ which sixteen filters compare the sums of rectangles. Each comparison gives two
 bits, so each place in time gives a packed 32-bit code.
 
 Alignment looks codes of query recordings up among all codes (by each of several
-groups of 24 bits, at the places where the group changes, so that a held sound is one
-key), counts the hits at each offset between two recordings, and
+groups of 28 bits, of the code and of one a little later, at the places where the
+group changes, so that a held sound is one key), counts the hits at each offset between two recordings, and
 confirms every offset with enough of them by the share of differing bits of the
 codes that overlap there; each that passes is reported. Recordings with equal codes
 are one class: classes are compared, and members are named with their class. Places where the sound is silent have no
@@ -44,8 +44,10 @@ WIDTH = 16
 FILTERS = [(kind, first, classes, frames) for kind, first, classes, frames in zip([1, 2, 3, 4, 5, 1, 2, 3, 1, 2, 4, 5, 2, 1, 3, 2], [0, 0, 0, 0, 0, 4, 6, 2, 8, 3, 3, 6, 9, 2, 6, 0], [12, 12, 12, 12, 12, 8, 6, 8, 4, 3, 9, 6, 3, 4, 6, 6], [4, 8, 8, 6, 9, 8, 4, 4, 6, 6, 4, 12, 16, 12, 6, 12], strict=True)]
 #: Log ratios at which a comparison changes its two bits; Gray code, so that neighbours differ in one.
 EDGES, GRAY = np.array([-0.25, 0.0, 0.25], np.float32), np.array([0, 1, 3, 2], np.uint32)
-#: Groups of bits that are looked up, hits (of any group) that make a candidate, share of bits that may differ, codes that must overlap.
-LOOKUPS, HITS, BIT_ERRORS, OVERLAP = (0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00, 0xEEEEEEEE), 2, 0.15, 8
+#: Groups of bits that are looked up, of a code and of the one APART places on: what is alike by chance in one is seldom so in both.
+LOOKUPS, APART = ((0x0000FFFF, 0x000FFF00), (0xFFFF0000, 0x00FFF000), (0x00FFFF00, 0xFFF00000), (0xFF0000FF, 0x0000FFF0), (0xF0F0F0F0, 0x00000FFF)), 6
+#: Hits (of any group) that make a candidate, share of bits that may differ, codes that must overlap.
+HITS, BIT_ERRORS, OVERLAP = 2, 0.15, 8
 #: Energy, as a share of the recording's loudest frame, below which a frame is silent.
 SILENCE = 1e-5
 
@@ -172,12 +174,16 @@ def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False)
 def align(recordings: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
     """query, match, offset, hits, bit_errors: confirmed alignments of rows (id, codes, sounding), the query's start taken from the match's."""
     def keys(df: DataFrame, name: str) -> DataFrame:
-        def found(k: int, mask: int):
-            group = F.transform("codes", lambda c: c.bitwiseAND(F.lit(mask if mask < 1 << 31 else mask - (1 << 32))))
-            fresh = lambda g: F.transform(g, lambda c, i: F.struct(F.shiftleft(c.cast("bigint"), 3).bitwiseOR(F.lit(k)).alias("key"), i.alias("at"), (F.element_at("sounding", i + 1) & ((i == 0) | (c != F.get(g, i - 1)) | ~F.get("sounding", i - 1))).alias("on")))
+        on = lambda i: F.get("sounding", i) & F.get("sounding", i + APART)
+
+        def found(k: int, masks: tuple[int, int]):
+            pairs = F.greatest(F.size("codes") - APART, F.lit(0))
+            part = lambda c, mask: c.cast("bigint").bitwiseAND(F.lit(mask).cast("bigint"))
+            group = F.zip_with(F.slice("codes", F.lit(1), pairs), F.slice("codes", F.lit(APART + 1), pairs), lambda a, b: F.shiftleft(part(a, masks[0]), 32).bitwiseOR(part(b, masks[1])))
+            fresh = lambda g: F.transform(g, lambda c, i: F.struct(F.xxhash64(F.lit(k), c).alias("key"), i.alias("at"), (on(i) & ((i == 0) | (c != F.get(g, i - 1)) | ~on(i - 1))).alias("on")))
             return F.filter(F.element_at(F.transform(F.array(group), fresh), 1), lambda s: s["on"])
 
-        entry = F.explode(F.concat(*(found(k, mask) for k, mask in enumerate(LOOKUPS))))
+        entry = F.explode(F.concat(*(found(k, masks) for k, masks in enumerate(LOOKUPS))))
         return df.select(F.col(id_col).alias(name), entry.alias("e")).select(name, F.col("e.key").alias("key"), F.col("e.at").alias(f"{name}_at"))
 
     hits = keys(queries, "query").join(keys(recordings, "match"), "key").groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("hits"))
