@@ -37,15 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import WordHashes, connected_components, lower_words_of, map_frames, materialize, per_sorted_group, read, shingle_set, short_batches
 
 #: SetSketch parameters: base, rate, and the largest register value of 16 bits.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 REGISTERS = 144
-#: Members of a block when registers or full sets are compared.
-SKETCH_BLOCK, SET_BLOCK = 1024, 256
+#: Members of a block when registers or full sets are compared, and bytes of its full sets, about.
+SKETCH_BLOCK, SET_BLOCK, SET_BYTES = 1024, 256, 32 << 20
 #: Deviations below the threshold at which an estimate rules a pair out.
 SLACK = 5.0
 
@@ -243,9 +243,16 @@ def _verify_pairs(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.transform(map_frames, run, "src bigint, dst bigint, linked boolean")
 
 
-def _blocks(rest: DataFrame, every: DataFrame, group: str, block: int, payload: list[str]) -> DataFrame:
-    """Rows of ``rest`` and ``every`` (group, rep, payload) sent to the blocks (group, i, j) where they meet."""
-    parts = rest.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("left_parts")).join(every.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("right_parts")), group)
+def _blocks(rest: DataFrame, every: DataFrame, group: str, block: int, payload: list[str], weight: Column | None = None, heaviest: int = 1) -> DataFrame:
+    """Rows of ``rest`` and ``every`` (group, rep, payload) sent to the blocks (group, i, j) where they meet.
+
+    A block's side has about ``block`` members and, where a weight is given, weighs about ``heaviest`` at most.
+    """
+    def parts_of(rows: DataFrame, name: str) -> DataFrame:
+        number = F.ceil(F.count("*") / block)
+        return rows.groupBy(group).agg((number if weight is None else F.greatest(number, F.ceil(F.sum(weight) / heaviest))).cast("int").alias(name))
+
+    parts = parts_of(rest, "left_parts").join(parts_of(every, "right_parts"), group)
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rest.join(parts, group).select(group, own("left_parts").alias("i"), upto("right_parts").alias("j"), F.lit(True).alias("is_left"), "rep", *payload)
@@ -294,15 +301,17 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, seen: DataFrame, id_co
     nodes = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "nodes")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), text_col).where(F.col(text_col).isNotNull()).join(nodes, "rep", "left_semi")
     sets = materialize(shingle_sets(texts, text_col, k), "sets")
-    size = nodes.groupBy("cluster").agg(F.count("*").alias("size"))
+    weight = F.length("set")
+    size = nodes.join(sets.select("rep", weight.alias("bytes")), "rep").groupBy("cluster").agg((F.count("*").alias("size")), F.sum("bytes").alias("bytes"))
+    size = materialize(size.select("cluster", ((F.col("size") <= SET_BLOCK) & (F.col("bytes") <= SET_BYTES)).alias("small")), "sizes")
     full = nodes.join(size, "cluster").join(sets, "rep")
 
     def within(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _linked_block(group, group, num, den)
 
-    small = per_sorted_group(full.where(f"size <= {SET_BLOCK}").select("cluster", "rep", "set"), ["cluster"], within, "src bigint, dst bigint")
+    small = per_sorted_group(full.where("small").select("cluster", "rep", "set"), ["cluster"], within, "src bigint, dst bigint")
 
-    large = nodes.join(size.where(f"size > {SET_BLOCK}"), "cluster")
+    large = nodes.join(size.where("not small"), "cluster")
     degree = seen.groupBy(F.col("dst").alias("rep")).agg(F.count("*").alias("degree"))
     centre = large.join(degree, "rep", "left").groupBy("cluster").agg(F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).alias("dst"))
     spokes = large.join(centre, "cluster").where("rep <> dst").select(F.col("rep").alias("src"), "dst", "cluster")
@@ -315,7 +324,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, seen: DataFrame, id_co
         left, right = group[group.is_left], group[~group.is_left]
         return _linked_block(left, right, num, den) if len(left) and len(right) else None
 
-    others = per_sorted_group(_blocks(rest, every, "cluster", SET_BLOCK, ["set"]), ["cluster", "i", "j"], across, "src bigint, dst bigint")
+    others = per_sorted_group(_blocks(rest, every, "cluster", SET_BLOCK, ["set"], weight, SET_BYTES), ["cluster", "i", "j"], across, "src bigint, dst bigint")
     return small.unionByName(tried.where("linked").select("src", "dst")).unionByName(others)
 
 

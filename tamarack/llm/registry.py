@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urls
+from . import audio, codes, decontaminate, jaccard, lexical, neardup, packing, pii, quality, sharding, substrings, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_url_language_models": urls.op9_url_language_models,
         "op10_fingerprint_index_repeats": substrings.op10_fingerprint_index_repeats,
+        "op11_vector_codes": codes.op11_vector_codes,
+        "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
+        "op13_ngram_jaccard_join": jaccard.op13_ngram_jaccard_join,
     }
 
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_setsketch_near_duplicates": neardup.OP3_SQL,
         "op6_pii_spans": pii.op6_sql(),
         "op10_fingerprint_index_repeats": substrings.OP10_SQL,
+        "op11_vector_codes": codes.op11_sql(),
+        "op12_ranked_lexical_search": lexical.OP12_SQL,
+        "op13_ngram_jaccard_join": jaccard.OP13_SQL,
     }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_names_and_kinds():
     sql = registry.oracle_sql()
     assert set(sql) <= set(registry.queries()) and all(isinstance(v, str) for v in sql.values())
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
