@@ -5,13 +5,17 @@ image of classes over time is smoothed and summed up into an integral image, on
 which sixteen filters compare the sums of rectangles. Each comparison gives two
 bits, so each place in time gives a packed 32-bit code.
 
-Alignment looks codes of query recordings up among all codes (by each of several
-groups of 28 bits, of the code and of one a little later, at the places where the
-group changes, so that a held sound is one key), counts the hits at each offset between two recordings, and
-confirms every offset with enough of them by the share of differing bits of the
-codes that overlap there; each that passes is reported. Recordings with equal codes
-are one class: classes are compared, and members are named with their class. Places where the sound is silent have no
-code to look up, so silence is no common key.
+Alignment takes the queries in blocks of bounded size, each of which goes to all tasks
+as a table: its codes, sorted under each of several masks of 22 bits (at the places
+where the masked code changes, so that a held sound is one key). A task looks the codes
+of its recordings up, counts the hits at each offset between two recordings, and
+confirms every offset hit by the share of differing bits of the codes that overlap
+there; each that passes is reported. Of pairs that would pass, no code of which agrees
+under any mask, some are lost: for independent bit errors at most one in twenty of the
+shortest overlap and the largest share of errors, far fewer of longer or better ones.
+Overlaps of fewer than ``OVERLAP`` codes are not looked at. Recordings with equal codes
+are one class: classes are compared, and members are named with their class. Places
+where the sound is silent have no code to look up, so silence is no common key.
 
 Defined cases: null, empty or unreadable audio has no codes and matches nothing;
 recordings shorter than a filter have none either; equal recordings are one class;
@@ -44,10 +48,13 @@ WIDTH = 16
 FILTERS = [(kind, first, classes, frames) for kind, first, classes, frames in zip([1, 2, 3, 4, 5, 1, 2, 3, 1, 2, 4, 5, 2, 1, 3, 2], [0, 0, 0, 0, 0, 4, 6, 2, 8, 3, 3, 6, 9, 2, 6, 0], [12, 12, 12, 12, 12, 8, 6, 8, 4, 3, 9, 6, 3, 4, 6, 6], [4, 8, 8, 6, 9, 8, 4, 4, 6, 6, 4, 12, 16, 12, 6, 12], strict=True)]
 #: Log ratios at which a comparison changes its two bits; Gray code, so that neighbours differ in one.
 EDGES, GRAY = np.array([-0.25, 0.0, 0.25], np.float32), np.array([0, 1, 3, 2], np.uint32)
-#: Groups of bits that are looked up, of a code and of the one APART places on: what is alike by chance in one is seldom so in both.
-LOOKUPS, APART = ((0x0000FFFF, 0x000FFF00), (0xFFFF0000, 0x00FFF000), (0x00FFFF00, 0xFFF00000), (0xFF0000FF, 0x0000FFF0), (0xF0F0F0F0, 0x00000FFF)), 6
-#: Hits (of any group) that make a candidate, share of bits that may differ, codes that must overlap.
-HITS, BIT_ERRORS, OVERLAP = 2, 0.15, 8
+#: Masks of bits under which codes are looked up: each leaves out ten, drawn anew.
+LOOKUPS = tuple(sum(1 << int(b) for b in np.random.default_rng(seed).permutation(32)[:22]) for seed in range(24))
+#: Hits (under any mask) that make a candidate, share of bits that may differ, codes that must overlap.
+HITS, BIT_ERRORS, OVERLAP = 1, 0.15, 8
+#: Codes of a block of queries, about; codes of recordings, and hits, that a task holds at once.
+QUERY_CODES, HELD_CODES, HELD_HITS = 100_000, 50_000, 2_000_000
+ALIGNED = "query bigint, match bigint, offset bigint, hits bigint, bit_errors double"
 #: Energy, as a share of the recording's loudest frame, below which a frame is silent.
 SILENCE = 1e-5
 
@@ -171,30 +178,94 @@ def fingerprint_column(df: DataFrame, audio_col: str, keep_audio: bool = False)
     return df.transform(map_frames, run, schema)
 
 
+class Codes:
+    """The codes of several recordings one after another, and where they can be looked up."""
+
+    def __init__(self, codes: list[np.ndarray], sounding: list[np.ndarray]):
+        self.lengths = np.array([len(c) for c in codes], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.lengths)][:-1]
+        self.flat = np.concatenate([*codes, np.empty(0, np.int32)]).astype(np.int32).view(np.uint32)
+        self.owner = np.repeat(np.arange(len(codes)), self.lengths)
+        self.sounding = np.concatenate([*sounding, np.empty(0, bool)]).astype(bool)
+
+    def keys(self, mask: int) -> tuple[np.ndarray, np.ndarray]:
+        """(masked codes, their places) of the places with sound at which the masked code isn't that before."""
+        key = self.flat & np.uint32(mask)
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & self.sounding[:-1] & (self.owner[1:] == self.owner[:-1])
+        at = np.flatnonzero(self.sounding & ~again)
+        return key[at], at
+
+
+class QueryTable:
+    """A block of queries: for each mask the sorted keys and their places."""
+
+    def __init__(self, ids: list[int], codes: list[np.ndarray], sounding: list[np.ndarray]):
+        self.ids, self.codes, self.sorted = np.array(ids, np.int64), Codes(codes, sounding), []
+        for mask in LOOKUPS:
+            key, at = self.codes.keys(mask)
+            order = np.argsort(key, kind="stable")
+            self.sorted.append((key[order], at[order].astype(np.int32)))
+
+    def offsets(self, mine: Codes) -> tuple[np.ndarray, ...]:
+        """(recording, query, offset, hits): the histogram of offsets at which codes agree."""
+        cells, hits = np.empty(0, np.int64), np.empty(0, np.int64)
+        for mask, (known, places) in zip(LOOKUPS, self.sorted, strict=True):
+            key, at = mine.keys(mask)
+            low, high = np.searchsorted(known, key), np.searchsorted(known, key, side="right")
+            met = np.flatnonzero(high > low)
+            total = np.cumsum(high[met] - low[met])
+            for part in np.split(met, np.flatnonzero(np.diff(total // HELD_HITS)) + 1):
+                count = high[part] - low[part]
+                if not count.size:
+                    continue
+                own = np.repeat(at[part], count)
+                other = places[np.repeat(low[part] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+                recording, query = mine.owner[own], self.codes.owner[other]
+                offset = (own - mine.starts[recording]) - (other - self.codes.starts[query])
+                cell = (recording << 50) | (query << 30) | (offset + (1 << 29))
+                cells, back = np.unique(np.concatenate([cells, cell]), return_inverse=True)
+                hits = np.bincount(back, np.concatenate([hits, np.ones(len(cell), np.int64)])).astype(np.int64)
+        return cells >> 50, (cells >> 30) & ((1 << 20) - 1), (cells & ((1 << 30) - 1)) - (1 << 29), hits
+
+    def aligned(self, mine: Codes) -> tuple[np.ndarray, ...]:
+        """(recording, query, offset, hits, share of differing bits) of the confirmed offsets."""
+        recording, query, offset, hits = self.offsets(mine)
+        start = np.maximum(0, -offset)
+        n = np.minimum(self.codes.lengths[query] - start, mine.lengths[recording] - start - offset)
+        kept = np.flatnonzero((hits >= HITS) & (n >= OVERLAP))
+        kept = kept[np.argsort(-n[kept], kind="stable")]  # those with most codes first: the others drop out on the way
+        recording, query, offset, hits, start, n = (x[kept] for x in (recording, query, offset, hits, start, n))
+        a, b, errors = self.codes.starts[query] + start, mine.starts[recording] + start + offset, np.zeros(len(n), np.int64)
+        for t in range(int(n.max(initial=0))):
+            still = np.searchsorted(-n, -t, side="left")
+            errors[:still] += np.bitwise_count(self.codes.flat[a[:still] + t] ^ mine.flat[b[:still] + t])
+        share = np.round(errors / (32 * n), 6)
+        return tuple(x[share <= BIT_ERRORS] for x in (recording, query, offset, hits, share))
+
+
 def align(recordings: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
     """query, match, offset, hits, bit_errors: confirmed alignments of rows (id, codes, sounding), the query's start taken from the match's."""
-    def keys(df: DataFrame, name: str) -> DataFrame:
-        on = lambda i: F.get("sounding", i) & F.get("sounding", i + APART)
-
-        def found(k: int, masks: tuple[int, int]):
-            pairs = F.greatest(F.size("codes") - APART, F.lit(0))
-            part = lambda c, mask: c.cast("bigint").bitwiseAND(F.lit(mask).cast("bigint"))
-            group = F.zip_with(F.slice("codes", F.lit(1), pairs), F.slice("codes", F.lit(APART + 1), pairs), lambda a, b: F.shiftleft(part(a, masks[0]), 32).bitwiseOR(part(b, masks[1])))
-            fresh = lambda g: F.transform(g, lambda c, i: F.struct(F.xxhash64(F.lit(k), c).alias("key"), i.alias("at"), (on(i) & ((i == 0) | (c != F.get(g, i - 1)) | ~on(i - 1))).alias("on")))
-            return F.filter(F.element_at(F.transform(F.array(group), fresh), 1), lambda s: s["on"])
-
-        entry = F.explode(F.concat(*(found(k, masks) for k, masks in enumerate(LOOKUPS))))
-        return df.select(F.col(id_col).alias(name), entry.alias("e")).select(name, F.col("e.key").alias("key"), F.col("e.at").alias(f"{name}_at"))
-
-    hits = keys(queries, "query").join(keys(recordings, "match"), "key").groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = hits.where(F.col("hits") >= HITS)
-    named = lambda df, name: df.select(F.col(id_col).alias(name), F.col("codes").alias(f"{name}_codes"))
-    both = best.join(named(queries, "query"), "query").join(named(recordings, "match"), "match")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    length = F.least(F.size("query_codes") - start, F.size("match_codes") - start - F.col("offset"))
-    pairs = F.zip_with(F.slice("query_codes", start + 1, F.greatest(length, F.lit(0))), F.slice("match_codes", start + F.col("offset") + 1, F.greatest(length, F.lit(0))), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
-    errors = F.aggregate(pairs, F.lit(0), lambda t, x: t + x)
-    return both.withColumn("overlap", length).where(F.col("overlap") >= OVERLAP).select("query", "match", "offset", "hits", F.round(errors / (32 * F.col("overlap")), 6).alias("bit_errors")).where(F.col("bit_errors") <= BIT_ERRORS)
+    spark = recordings.sparkSession
+    plain = lambda df: df.where(F.col(id_col).isNotNull() & (F.size("codes") > 0)).select(F.col(id_col).cast("bigint").alias("id"), "codes", "sounding")
+    asked = plain(queries)
+    blocks = max(1, math.ceil((asked.agg(F.sum(F.size("codes"))).first()[0] or 0) / QUERY_CODES))
+    found = spark.createDataFrame([], ALIGNED)
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        arrays = lambda name, part=part: [np.array(x) for x in part[name].to_pylist()]
+        shared = spark.sparkContext.broadcast(QueryTable(part["id"].to_pylist(), arrays("codes"), arrays("sounding")))  # a block of the stated queries
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            for pdf in batches:
+                for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(pdf.codes.map(len)) // HELD_CODES)) + 1) if len(pdf) else ():
+                    rows = pdf.iloc[at]
+                    recording, query, offset, hits, share = table.aligned(Codes(list(rows.codes), list(rows.sounding)))
+                    yield pd.DataFrame({"query": table.ids[query], "match": rows["id"].to_numpy(np.int64)[recording], "offset": offset, "hits": hits, "bit_errors": share})
+
+        found = found.unionByName(plain(recordings).transform(map_frames, run, ALIGNED))
+    return found
 
 
 def melody(values: np.ndarray, lead: int) -> np.ndarray:

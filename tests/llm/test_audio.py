@@ -131,3 +131,31 @@ def test_recall_against_brute_force(spark):
     got = {(r["query"], r["match"], r["offset"]) for r in A.align(df, df.where("id < 20")).collect()}
     assert {(0, 900, 0), (0, 900, 90)} <= want & got
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_recall_of_each_overlap_and_share_of_errors(spark):
+    rng = np.random.default_rng(21)
+    rows, cells = [], {}
+    for c, (n, p) in enumerate((n, p) for n in (A.OVERLAP, 16, 30, 60) for p in (0.05, 0.1, 0.12, 0.14)):
+        for k in range(60):
+            q, m = 10_000 + 1000 * c + k, 50_000 + 1000 * c + k
+            a, b = (rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+            flips = ((rng.random((n, 32)) < p) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32)
+            b[:n] = a[60 - n :] ^ flips  # the query's end is the match's beginning
+            rows += [(q, a), (m, b)]
+            if round(np.bitwise_count(flips).sum() / (32 * n), 6) <= A.BIT_ERRORS:
+                cells.setdefault((n, p), set()).add((q, m, n - 60))
+    df = spark.createDataFrame([(i, c.view(np.int32).tolist(), [True] * len(c)) for i, c in rows], "id bigint, codes array<int>, sounding array<boolean>").cache()
+    got = {(r["query"], r["match"], r["offset"]) for r in A.align(df.where("id >= 50000"), df.where("id < 50000")).collect()}
+    found = {cell: len(want & got) / len(want) for cell, want in cells.items()}
+    assert len(found) == 16 and min(found.values()) >= 0.9, found
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    rows = [(i, rng.integers(-(1 << 31), 1 << 31, 20).tolist(), [True] * 20) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, *rows[0][1:]), (99, [], []), (98, rows[3][1], [False] * 20)], "id bigint, codes array<int>, sounding array<boolean>")
+    once = sorted(map(tuple, A.align(df, df).collect()))
+    monkeypatch.setattr(A, "QUERY_CODES", 150)
+    monkeypatch.setattr(A, "HELD_CODES", 30)
+    assert sorted(map(tuple, A.align(df, df).collect())) == once and {(i, i, 0) for i in range(40)} <= {r[:3] for r in once} and not {98, 99} & {x for r in once for x in r[:2]}
