@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .filters import text_column
+
 
 def facet_values(documents: DataFrame, fields: list[str], most: int = 10) -> DataFrame:
     """field, value, place: up to ``most`` distinct values of each metadata field, in the order of the first path that has them."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.get_json_object("metadata_json", f"$.{f}").alias("value")) for f in fields)))
+    text = lambda f: F.col(text_column(f)) if text_column(f) in documents.columns else F.get_json_object("metadata_json", f"$.{f}")
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in fields)))
     values = documents.select("relative_path", pairs.alias("p")).select("relative_path", "p.*").where("value is not null and value <> ''")
     first = values.groupBy("field", "value").agg(F.min("relative_path").alias("_path"))
     place = F.row_number().over(Window.partitionBy("field").orderBy("_path", "value"))

@@ -3,6 +3,11 @@
 ``a = x and b >= 3, c in (p, q)``: conditions are joined by ``and`` or commas,
 outside quotes and brackets. A literal is a quoted or bare string, true/false, a
 whole or a decimal number; how a field is compared follows the literal's type.
+
+Metadata is parsed once, when it is stored: ``shred`` gives a VARIANT column and, for
+the fields that are asked for, typed columns beside it. A condition on such a field is
+a comparison of a column, which a Parquet scan takes as a filter; others are read from
+the JSON text.
 """
 
 from __future__ import annotations
@@ -97,6 +102,60 @@ def parse_filters(text: str | None, allowed_fields: Collection[str] | None = Non
     return out
 
 
+def text_column(field: str) -> str:
+    return f"meta_{field}_text"
+
+
+def lower_column(field: str) -> str:
+    return f"meta_{field}_lower"
+
+
+def number_column(field: str) -> str:
+    return f"meta_{field}_number"
+
+
+def shredded_names(fields: Collection[str]) -> list[str]:
+    """The columns that ``shred`` adds."""
+    return ["meta", *(name(f) for f in fields for name in (text_column, lower_column, number_column))]
+
+
+def shred(documents: DataFrame, fields: Collection[str], metadata: str = "metadata_json") -> DataFrame:
+    """documents with ``meta``, a VARIANT of the JSON text (null where it is none), and typed columns of fields.
+
+    A field's text is empty where it is missing; its number is null where the text isn't one.
+    """
+    parsed = documents.drop(*shredded_names(fields)).withColumn("meta", F.try_parse_json(metadata))
+
+    def text(field: str) -> Column:
+        value = F.try_variant_get("meta", f"$.{field}", "variant")
+        # fractions, exponents and nested values as text are those of the JSON functions, which conditions without typed columns compare
+        as_written = F.get_json_object(metadata, f"$.{field}")
+        return F.coalesce(F.when(F.schema_of_variant(value).isin("STRING", "BIGINT", "BOOLEAN"), F.try_variant_get("meta", f"$.{field}", "string")).otherwise(as_written), F.lit(""))
+
+    made = parsed.withColumns({text_column(f): text(f) for f in fields})
+    typed = {lower_column(f): F.lower(text_column(f)) for f in fields} | {number_column(f): F.when(F.col(text_column(f)).rlike(NUMBER), F.col(text_column(f)).try_cast("double")) for f in fields}
+    return made.withColumns(typed)
+
+
+def typed_predicate(condition: Condition) -> Column:
+    """A condition on the typed columns of its field: comparisons that a scan can do."""
+    text, low, number = (F.col(name(condition.field)) for name in (text_column, lower_column, number_column))
+    value, op = condition.value, condition.operator
+    if op == "contains":
+        return F.contains(low, F.lit(str(value).lower()))
+    values = value if isinstance(value, tuple) else (value,)
+    kinds = {bool if isinstance(v, bool) else float if isinstance(v, (int, float)) else str for v in values}
+    if kinds == {bool}:
+        column, values = text, [str(v).lower() for v in values]
+    elif kinds == {float}:
+        column, values = number, [float(v) for v in values]
+    else:
+        column, values = low, [str(v).lower() for v in values]
+    if op == "in":
+        return column.isin(*values)
+    return {"eq": column == values[0], "ne": column != values[0], "gt": column > values[0], "gte": column >= values[0], "lt": column < values[0], "lte": column <= values[0]}[op]
+
+
 def predicate(condition: Condition, metadata: Column) -> Column:
     """A condition on a JSON text column. Missing fields are empty text, and no number."""
     text = F.get_json_object(metadata, f"$.{condition.field}")
@@ -122,5 +181,7 @@ def predicate(condition: Condition, metadata: Column) -> Column:
 
 
 def where(documents: DataFrame, conditions: list[Condition], metadata: str = "metadata_json") -> DataFrame:
-    """Rows for which all conditions hold."""
-    return documents.where(reduce(lambda a, b: a & b, (predicate(c, F.col(metadata)) for c in conditions), F.lit(True)))
+    """Rows for which all conditions hold; by the typed columns of fields that have them."""
+    have = set(documents.columns)
+    parts = (typed_predicate(c) if {text_column(c.field), lower_column(c.field), number_column(c.field)} <= have else predicate(c, F.col(metadata)) for c in conditions)
+    return documents.where(reduce(lambda a, b: a & b, parts, F.lit(True)))

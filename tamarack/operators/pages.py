@@ -20,6 +20,18 @@ def page_manifest(units: DataFrame, documents: DataFrame) -> DataFrame:
     return named.select(F.col("doc_id").alias("document_id"), "page_no", key.alias("object_key"), "heading", F.length(page_body(F.col("markdown"))).alias("char_count"), (~F.lower("original_filename").endswith(".pdf")).alias("is_synthetic"), F.sha2(page_body(F.col("markdown")), 256).alias("content_hash"))
 
 
+def page_objects(units: DataFrame, documents: DataFrame) -> DataFrame:
+    """prefix, object_key, data: the bodies of page_manifest's pages, for ``sources.objects.write_objects``.
+
+    Documents whose names are made the same share a prefix; that with the largest id has it.
+    """
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no"))
+    safe = sanitize_filename(F.col("original_filename"))
+    owners = documents.select("doc_id", safe.alias("_name")).groupBy("_name").agg(F.max("doc_id").alias("doc_id"))
+    named = units.withColumn("page_no", number).join(owners, "doc_id")
+    return named.select(F.concat(F.lit("documents/"), "_name", F.lit("/pages")).alias("prefix"), page_key(F.col("_name"), F.col("page_no")).alias("object_key"), F.encode(page_body(F.coalesce("markdown", F.lit(""))), "utf-8").alias("data"))
+
+
 def load_pages(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pages with their bodies (object_key, body); blank headings of the manifest stay null."""
     return manifest.join(bodies, "object_key").select(manifest.columns + [F.coalesce("body", F.lit("")).alias("markdown")]).orderBy("document_id", "page_no")

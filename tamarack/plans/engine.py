@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids
-from ..operators import catalog, chunking, metadata, pages, scope, search, sync, units
+from ..operators import catalog, chunking, inverted, metadata, pages, scope, search, sync, units
 from ..operators.filters import parse_filters
 from ..sources import files
 from ..sources.store import KEYS, SnapshotStore
 
 PARSER_VERSION = "1"
+#: Segments of a search index, above which they are made one.
+MOST_SEGMENTS = 8
 
 
 @dataclass(frozen=True)
@@ -84,11 +87,44 @@ class Engine:
         counts = IndexResult(good.count(), found.count() - changed.count(), parsed.where("error is not null").count(), gone, pieces.count(), n_embedded)
         corpora = self.store.read("corpora")
         known = not corpora.where(F.col("corpus_id") == self.corpus).isEmpty()
-        self.store.commit(changes, **({} if known else {"corpora": sync.get_or_create_corpus(corpora, self.root, F.current_timestamp())}))
+        tables = {} if known else {"corpora": sync.get_or_create_corpus(corpora, self.root, F.current_timestamp())}
+        if counts.indexed:
+            paths = rows.select("doc_id", "relative_path")
+            tables |= self._added({"chunks": pieces.join(paths, "doc_id"), "pages": self._as_pages(made).join(paths, "doc_id")}, mine)
+        self.store.commit(changes, **tables)
         for df in (good, made, pieces, active, mine):
             df.unpersist()
+        if self.store.read("search_segments").count() > 2 * MOST_SEGMENTS:
+            self.compact_search()
         return counts
 
+    @staticmethod
+    def _as_pages(made: DataFrame) -> DataFrame:
+        return made.select("doc_id", F.col("unit_no").alias("position"), "heading", F.col("markdown").alias("text"))
+
+    def _added(self, rows: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str, DataFrame]:
+        """The tables of segments with a new one for each kind; documents that it holds are removed from older ones."""
+        segments, removed = self.store.read("search_segments"), self.store.read("search_removed")
+        for kind, new in rows.items():
+            last = segments.where(F.col("kind") == kind).agg(F.max("number")).first()[0]
+            number = 0 if last is None else last + 1
+            made = inverted.write_segment(new, f"{self.store.root}/search/{uuid.uuid4().hex}", number)
+            segments = segments.unionByName(self.spark.createDataFrame([(kind, made.path, number)], segments.schema))
+            if number:
+                removed = removed.unionByName(doc_ids.select(F.lit(kind).alias("kind"), "doc_id", F.lit(number - 1).alias("up_to")))
+        return {"search_segments": segments, "search_removed": removed}
+
+    def compact_search(self) -> None:
+        """Make one segment of each kind from the current chunks and pages."""
+        paths = self.store.read("documents").select("doc_id", "relative_path")
+        rows = {"chunks": self.chunks.join(paths, "doc_id"), "pages": self._as_pages(self.store.read("parsed_units")).join(paths, "doc_id")}
+        made = [(kind, inverted.write_segment(new, f"{self.store.root}/search/{uuid.uuid4().hex}").path, 0) for kind, new in rows.items()]
+        self.store.commit(search_segments=self.spark.createDataFrame(made, self.store.read("search_segments").schema), search_removed=self.store.read("search_removed").limit(0))
+
+    def _index_of(self, kind: str) -> tuple[list[inverted.Segment], DataFrame]:
+        rows = self.store.read("search_segments").where(F.col("kind") == kind).collect()  # a handful: segments are made one
+        return [inverted.Segment(r.path, r.number) for r in rows], self.store.read("search_removed").where(F.col("kind") == kind)
+
     def index_if_stale(self) -> IndexResult | None:
         """Index again if any document's file has changed since."""
         found = files.scan(self.spark, self.root).select("relative_path", "file_mtime", "file_size")
@@ -103,11 +139,13 @@ class Engine:
         semantic, vectors = None, self.store.read("chunk_embeddings")
         if self.embed and not vectors.isEmpty():
             semantic = search.chunk_vector_search(vectors, self.chunks, self.documents, self.embed([query])[0], search.OVERFETCH * max(limit, 1), document_ids)
-        return search.hybrid_search(self.chunks, self.documents, query, parse_filters(filters, allowed_fields), limit, document_ids, semantic)
+        segments, removed = self._index_of("chunks")
+        keywords = inverted.indexed_keyword_search(segments, self.documents, query, search.OVERFETCH * max(limit, 1), document_ids, removed).rows
+        return search.hybrid_search(self.chunks, self.documents, query, parse_filters(filters, allowed_fields), limit, document_ids, semantic, keywords=keywords)
 
     def search_pages(self, query: str, filters: str | None = None, limit: int = 10, document_ids: DataFrame | None = None) -> DataFrame:
-        bodies = self.store.read("parsed_units").select("doc_id", F.col("unit_no").alias("page_no"), "markdown", "heading")
-        return pages.page_search(bodies, search.active(self.documents), query, parse_filters(filters), limit, document_ids)
+        segments, removed = self._index_of("pages")
+        return inverted.indexed_page_search(segments, search.active(self.documents), query, parse_filters(filters), limit, document_ids, removed).rows
 
     def list_documents(self, query: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
         return catalog.list_documents(self.documents, query, page, page_size)

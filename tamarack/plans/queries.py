@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, text as T
-from ..operators import budget, catalog, chunking, context, coverage, events, filters, metadata, pages, scope, search, sync, units
-from ..sources import files
+from ..operators import budget, catalog, chunking, context, coverage, events, filters, inverted, metadata, pages, scope, search, sync, units, vectors
+from ..sources import files, objects
+from ..sources.scratch import scratch, written
 from ..sources.store import SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,8 +281,12 @@ _BODY = f"CASE WHEN trim(markdown, {WS}) = '' THEN '' ELSE trim(markdown, {WS})
 MANIFEST = f"""man AS (SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY unit_no))::INT AS page_no, 'documents/src' || doc_id % 20 || '-doc-' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.PDF' ELSE '.md' END AS folder, heading, length({_BODY})::INT AS char_count, doc_id % 4 <> 0 AS is_synthetic, sha256({_BODY}) AS content_hash FROM g)"""
 
 
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(" /doc: "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".PDF").otherwise(".md")).alias("original_filename"))
+
+
 def manifest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"), F.lit(" /doc: "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, ".PDF").otherwise(".md")).alias("original_filename"))
+    names = page_names(spark, sf_dir)
     return pages.page_manifest(units_of(spark, sf_dir), names)
 
 
@@ -303,6 +308,13 @@ def _(spark, sf_dir):
     return pages.load_pages(m, bodies).select("document_id", "page_no", "char_count", F.sha2("markdown", 256).alias("digest"))
 
 
+@query("stored_pages", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT folder || '/pages/page-' || lpad(page_no::VARCHAR, 4, '0') || '.md' AS object_key, content_hash AS digest FROM man")
+def _(spark, sf_dir):
+    root, names = scratch(spark), page_names(spark, sf_dir)
+    objects.write_objects(pages.page_objects(units_of(spark, sf_dir), names), root)
+    return objects.bodies(spark, root).select("object_key", F.sha2("data", 256).alias("digest"))
+
+
 @query("page_by_path", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT document_id, page_no FROM man WHERE document_id = 7 AND page_no = 1")
 def _(spark, sf_dir):
     return pages.page_by_path(manifest_of(spark, sf_dir), "DOCUMENTS/src7-doc-7.MD/pages/page-0001.md").select("document_id", "page_no")
@@ -367,6 +379,32 @@ def _(spark, sf_dir):
     return search.keyword_search_batch(chunks_of(spark, sf_dir), corpus(spark, sf_dir), asked, 5)
 
 
+# --- search through an inverted index -----------------------------------------
+
+def indexed_chunks(spark: SparkSession, sf_dir: str, docs: DataFrame) -> inverted.Segment:
+    named = chunks_of(spark, sf_dir).join(docs.select("doc_id", "relative_path"), "doc_id")
+    return inverted.write_segment(named.select("doc_id", "relative_path", "position", "text"), scratch(spark))
+
+
+@query("indexed_keyword_search", KEYWORD.format(n=20) + " SELECT * FROM kw")
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return inverted.indexed_keyword_search([indexed_chunks(spark, sf_dir, docs)], docs, "orantion Thing", 20).rows
+
+
+@query("indexed_keyword_search_scoped", ORACLES["keyword_search_scoped"])
+def _(spark, sf_dir):
+    docs, wanted = corpus(spark, sf_dir), read(spark, sf_dir, "documents").where("doc_id % 3 = 1").select("doc_id")
+    return inverted.indexed_keyword_search([indexed_chunks(spark, sf_dir, docs)], docs, "orantion thing", 15, wanted).rows.drop("text")
+
+
+@query("indexed_page_search", ORACLES["page_search"])
+def _(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    named = pages_of(spark, sf_dir).select("doc_id", F.col("path").alias("relative_path"), F.col("page_no").alias("position"), "heading", F.col("markdown").alias("text"))
+    return inverted.indexed_page_search([inverted.write_segment(named, scratch(spark))], docs, "The  thing", filters.parse_filters("lang = en"), 25).rows
+
+
 META_CASES = {
     "eq": ("lang = EN", "lower(coalesce(lang, '')) = 'en'"),
     "eq_bool": ("toxic = true", "coalesce(toxic, '') = 'true'"),
@@ -393,6 +431,24 @@ for _name, (_text, _sql) in META_CASES.items():
     ORACLES[f"metadata_filter_{_name}"] = f"WITH {DOCS} SELECT doc_id, relative_path, content[1:320] AS preview, {len(filters.parse_filters(_text))} AS metadata_score FROM d WHERE NOT is_deleted AND {_sql} ORDER BY relative_path LIMIT 300"
 
 
+#: Fields of the corpus's metadata.
+META_FIELDS = ("lang", "source", "n_chars", "quality", "toxic")
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as it is indexed: metadata is parsed once, into typed columns."""
+    return written(filters.shred(corpus(spark, sf_dir).drop("lang", "source"), META_FIELDS))
+
+
+def _typed_case(text: str) -> Query:
+    return lambda spark, sf_dir: search.metadata_search(stored_corpus(spark, sf_dir), filters.parse_filters(text), 300)
+
+
+for _name, (_text, _sql) in META_CASES.items():
+    QUERIES[f"typed_filter_{_name}"] = _typed_case(_text)
+    ORACLES[f"typed_filter_{_name}"] = ORACLES[f"metadata_filter_{_name}"]
+
+
 def hybrid_sql(meta: str, n_filters: int, limit: int) -> str:
     most = 4 * limit
     return KEYWORD.format(n=most) + f""", md AS (SELECT doc_id, relative_path, content[1:320] AS preview FROM d WHERE NOT is_deleted AND {meta} ORDER BY relative_path LIMIT {most}),
@@ -428,6 +484,13 @@ def _(spark, sf_dir):
     return search.vector_search_batch(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
 
 
+@query("cell_vector_search_batch")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    index = vectors.write_cells(rows, scratch(spark))
+    return vectors.cell_search(index, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
+
+
 @query("chunk_vector_search", f"""WITH {DOCS}, v AS (SELECT b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3)
 SELECT doc_id, relative_path, 0 AS position, score FROM v JOIN d USING (doc_id) WHERE NOT is_deleted ORDER BY score DESC, relative_path, position LIMIT 20""")
 def _(spark, sf_dir):
@@ -539,6 +602,11 @@ def _(spark, sf_dir):
     return catalog.facet_values(corpus(spark, sf_dir), ["lang", "source", "n_chars", "toxic"])
 
 
+@query("typed_facet_values", ORACLES["facet_values"])
+def _(spark, sf_dir):
+    return catalog.facet_values(stored_corpus(spark, sf_dir), ["lang", "source", "n_chars", "toxic"])
+
+
 @query("field_catalog", f"""WITH {DOCS}, {FACETS} SELECT field, CASE field WHEN 'toxic' THEN 'toxic (boolean) Values: true, false' WHEN 'n_chars' THEN 'n_chars (integer) Range: ' || min(CASE WHEN field = 'n_chars' THEN value::BIGINT END) || '-' || max(CASE WHEN field = 'n_chars' THEN value::BIGINT END) ELSE field || ' (string) Values: ' || string_agg('''' || value || '''', ', ' ORDER BY place) END AS description FROM z WHERE place <= 10 GROUP BY field""")
 def _(spark, sf_dir):
     return catalog.field_catalog(corpus(spark, sf_dir), {"lang": "string", "source": "string", "n_chars": "integer", "toxic": "boolean"})

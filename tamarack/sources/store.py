@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.filters import shred, shredded_names
+
 _S, _L, _I, _D, _B, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
 
@@ -19,10 +21,14 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
 
+#: Fields of metadata that documents are stored with as typed columns; filters on them reach the scan.
+SHREDDED = ("filename", "relative_path", "extension", "document_type", "file_size", "file_mtime", "mentions_currency", "mentions_dates")
+_TYPED = {n: T.VariantType() if n == "meta" else _D if n.endswith("_number") else _S for n in shredded_names(SHREDDED)}
+
 #: The tables of a corpus.
 SCHEMAS = {
     "corpora": _table(corpus_id=_S, root_path=_S, created_at=_TS),
-    "documents": _table(doc_id=_S, corpus_id=_S, relative_path=_S, absolute_path=_S, original_filename=_S, object_key=_S, content=_S, metadata_json=_S, file_mtime=_D, file_size=_L, content_hash=_S, page_count=_I, parsed_is_complete=_B, upload_status=_S, is_deleted=_B, last_indexed_at=_TS),
+    "documents": _table(doc_id=_S, corpus_id=_S, relative_path=_S, absolute_path=_S, original_filename=_S, object_key=_S, content=_S, metadata_json=_S, file_mtime=_D, file_size=_L, content_hash=_S, page_count=_I, parsed_is_complete=_B, upload_status=_S, is_deleted=_B, last_indexed_at=_TS, **_TYPED),
     "chunks": _table(chunk_id=_S, doc_id=_S, position=_I, start_char=_I, end_char=_I, source_unit_no=_I, text=_S),
     "parsed_units": _table(doc_id=_S, unit_no=_I, markdown=_S, content_hash=_S, heading=_S, source_locator=_S, images_json=_S, parser_version=_S),
     "document_pages": _table(document_id=_S, page_no=_I, object_key=_S, heading=_S, char_count=_I, is_synthetic=_B, content_hash=_S),
@@ -31,6 +37,8 @@ SCHEMAS = {
     "collections": _table(collection_id=_S, name=_S, created_at=_TS, updated_at=_TS, is_deleted=_B),
     "collection_documents": _table(collection_id=_S, doc_id=_S),
     "chunk_embeddings": _table(chunk_id=_S, doc_id=_S, position=_I, embedding=T.ArrayType(T.FloatType())),
+    "search_segments": _table(kind=_S, path=_S, number=_I),
+    "search_removed": _table(kind=_S, doc_id=_S, up_to=_I),
 }
 
 
@@ -75,6 +83,8 @@ class SnapshotStore:
     def _written(self, name: str, df: DataFrame) -> dict[str, str]:
         """bucket -> folder of the rows, written."""
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        if name == "documents":
+            df = shred(df, SHREDDED)
         rows = df.select([df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
         if name not in KEYS:
             rows.write.parquet(path)
@@ -100,7 +110,7 @@ class SnapshotStore:
             # at most as many numbers as there are buckets
             touched = {str(r[0]) for r in keys.select(self._bucket(key)).unionByName(rows.select(self._bucket(key))).distinct().collect()}
             rest = self._of(name, [old[b] for b in sorted(touched & old.keys())]).join(keys, key, "left_anti")
-            now[name] = {b: f for b, f in old.items() if b not in touched} | self._written(name, rest.unionByName(rows.select(rest.columns)))
+            now[name] = {b: f for b, f in old.items() if b not in touched} | self._written(name, rest.unionByName(rows, allowMissingColumns=True))
         # written under another name first: a rename is all or nothing
         draft = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft)
