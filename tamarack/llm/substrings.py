@@ -318,11 +318,13 @@ def op10_fingerprint_index_repeats(spark: SparkSession, sf_dir: str) -> DataFram
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     index = FingerprintIndex.sized_for(docs, BATCHES)
     out = None
-    for batch in id_ranges(docs, BATCHES):
-        digest = remove_repeats(batch, index).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-        part = materialize(digest, "batch")
-        out = part if out is None else out.unionByName(part)
-    index.drop()
+    try:
+        for batch in id_ranges(docs, BATCHES):
+            digest = remove_repeats(batch, index).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+            part = materialize(digest, "batch")
+            out = part if out is None else out.unionByName(part)
+    finally:  # the runs are tables of the catalog, which outlives the session
+        index.drop()
     return out
 
 
