@@ -10,8 +10,12 @@ character, so that length doesn't matter; its threshold is calibrated on a fifth
 of the examples, which the models don't see, for the best balanced accuracy.
 
 Counts are over all examples and exact: Spark adds them up by context (a 64-bit hash
-of its symbols) and symbol, and the model holds those that occur. What is collected
-and sent to tasks grows with the distinct pairs of context and symbol.
+of its symbols) and symbol, into a written table. Up to ``BROADCAST_PAIRS`` pairs of
+context and symbol are collected and sent to all tasks. A larger table stays where it
+is: distinct URLs are dealt to parts of a bounded size, each part names the contexts
+that its URLs have, the table's rows of these are joined to it, and the part is scored
+with them as with the whole table, so scores are equal either way. Nothing is
+collected then but the calibration's bins.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; a URL without text gets ``allow``; without examples of both kinds
@@ -21,14 +25,16 @@ table gives no rows; ``judge_urls`` carries other columns along, except those it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import map_frames, read, short_batches
+from .common import map_frames, materialize, read, short_batches
 
 ORDER = 5
 ALPHABET = "\x00abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%~:+@,"
@@ -38,6 +44,8 @@ for _i, _c in enumerate(ALPHABET):
     _SYMBOL[ord(_c)] = _i
     _SYMBOL[ord(_c.upper())] = _i
 SYMBOLS = len(ALPHABET) + 1
+#: Pairs of context and symbol that are sent to all tasks (about 40 bytes each), and bytes of URLs of a part beyond.
+BROADCAST_PAIRS, PART_BYTES = 1_000_000, 1 << 18
 #: Bins of the calibration, and the score at its ends.
 _BINS, _SPAN = 400, 4.0
 
@@ -120,10 +128,13 @@ class Counts:
 
 
 class UrlModel:
-    """Counts and the threshold; without them everything is allowed."""
+    """Counts and the threshold; without counts everything is allowed.
 
-    def __init__(self, tables: Counts | None, threshold: float = 0.0):
-        self.tables, self.threshold = tables, threshold
+    The counts are here, as ``tables``, or too many to be, in the DataFrame ``pairs``.
+    """
+
+    def __init__(self, tables: Counts | None, threshold: float = 0.0, pairs: DataFrame | None = None):
+        self.tables, self.threshold, self.pairs = tables, threshold, pairs
         #: The broadcast of the model, once it is fitted.
         self.shared = None
 
@@ -167,32 +178,77 @@ def fit_urls(examples: DataFrame) -> UrlModel:
                     yield pd.DataFrame({"context": known[cells // SYMBOLS].view(np.int64), "symbol": cells % SYMBOLS, "kind": kind, "n": n})
 
     parts = examples.where(~_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, count, "context bigint, symbol int, kind int, n bigint")
-    # collected: what grows with the distinct contexts, in Arrow's columns
-    sums = parts.groupBy("context", "symbol").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))).toArrow()
-    counts = np.array([sums[f"n{k}"].to_numpy() for k in (0, 1)], np.float64)
-    if not counts[0].any() or not counts[1].any():
+    pairs = materialize(parts.groupBy("context", "symbol").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1))), "pairs")
+    size, *seen_kinds = pairs.agg(F.count("*"), F.coalesce(F.max("n0"), F.lit(0)), F.coalesce(F.max("n1"), F.lit(0))).first()
+    if not all(seen_kinds):
         return UrlModel(None)
-    tables = Counts(sums["context"].to_numpy().astype(np.int64).view(np.uint64), sums["symbol"].to_numpy().astype(np.int64), counts)
-    model = UrlModel(tables)
-    shared = examples.sparkSession.sparkContext.broadcast(model)  # sent once, for the calibration and for the scores
-
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = np.clip((shared.value.scores(pdf.url.tolist()) + _SPAN) / (2 * _SPAN) * _BINS, 0, _BINS - 1).astype(int)
-            yield pd.DataFrame({"bin": at, "accepted": pdf.accepted})
+    if size <= BROADCAST_PAIRS:
+        model = UrlModel(_tables(pairs.toArrow()))  # of checked size
+        model.shared = examples.sparkSession.sparkContext.broadcast(model)  # sent once, for the calibration and for the scores
+    else:
+        model = UrlModel(None, pairs=pairs)
 
+    at = F.least(F.greatest(F.floor((F.col("score") + _SPAN) / (2 * _SPAN) * _BINS), F.lit(0)), F.lit(_BINS - 1))
     seen = np.zeros((2, _BINS))
-    for r in examples.where(_calibration(F.col("url"))).select("url", "accepted").transform(map_frames, bins, "bin int, accepted boolean").groupBy("bin", "accepted").count().collect():
+    for r in scored_urls(examples.where(_calibration(F.col("url"))).select("url", "accepted"), model).where("score is not null").groupBy(at.cast("int").alias("bin"), "accepted").count().collect():
         seen[int(r["accepted"]), r["bin"]] = r["count"]
     if seen.sum(axis=1).all():
         below = np.cumsum(seen, axis=1) / seen.sum(axis=1, keepdims=True)
         gain = np.r_[0, below[0] - below[1]]  # rejected below the edge less accepted below it
         best = np.flatnonzero(gain >= gain.max() - 1e-12)
         model.threshold = float(best.mean() / _BINS * 2 * _SPAN - _SPAN)  # the middle of the best edges
-    model.shared = shared
     return model
 
 
+def _tables(pairs: pa.Table) -> Counts:
+    counts = np.array([pairs[f"n{k}"].to_numpy() for k in (0, 1)], np.float64)
+    return Counts(pairs["context"].to_numpy().astype(np.int64).view(np.uint64), pairs["symbol"].to_numpy().astype(np.int64), counts)
+
+
+def _scores_by_join(urls: DataFrame, pairs: DataFrame) -> DataFrame:
+    """url, score of distinct URLs, each part with the counts of its own contexts."""
+    many = max(1, math.ceil((urls.agg(F.sum(F.octet_length("url"))).first()[0] or 0) / PART_BYTES))
+    dealt = urls.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(many)).cast("int"))
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            symbols, owner = _symbols(pdf.url.tolist()) if len(pdf) else (np.empty(0, np.int64), np.empty(0, np.int64))
+            parts = pdf.part.to_numpy()[owner]
+            for codes in _contexts(symbols, owner):
+                yield pd.DataFrame({"part": parts, "context": codes.view(np.int64)}).drop_duplicates()
+
+    needed = dealt.transform(map_frames, contexts, "part int, context bigint").distinct()
+    # a context's pairs are at most the alphabet, and it is once in a part: no key is hot
+    counts = needed.join(pairs, "context").select("part", "context", "symbol", "n0", "n1")
+
+    def score(_: tuple, urls: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(urls):
+            return pd.DataFrame({"url": [], "score": []})
+        found = _tables(pa.Table.from_pandas(counts, preserve_index=False)) if len(counts) else None
+        names = urls.url.tolist()
+        return pd.DataFrame({"url": names, "score": UrlModel(found).scores(names)})
+
+    return dealt.groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(score, "url string, score double")
+
+
+def scored_urls(df: DataFrame, model: UrlModel) -> DataFrame:
+    """df (url and others) with score, null without text."""
+    if model.pairs is not None:
+        have = F.coalesce(F.col("url") != "", F.lit(False))
+        # rows without a URL to score don't meet in one task
+        scores = _scores_by_join(df.where(have).select("url").distinct(), model.pairs)
+        return df.where(have).join(scores, "url", "left").unionByName(df.where(~have).withColumn("score", F.lit(None).cast("double")))
+    shared, bare = model.shared, model if model.shared is None else None
+
+    def score(urls: pd.Series) -> pd.Series:
+        out = np.full(len(urls), np.nan)
+        at = np.flatnonzero([isinstance(u, str) and bool(u) for u in urls])
+        out[at] = (bare or shared.value).scores([urls.iloc[i] for i in at])
+        return pd.Series(out).where(~np.isnan(out), None)
+
+    return df.withColumn("score", F.pandas_udf(score, "double")("url"))
+
+
 def judge_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", examples: DataFrame | None = None) -> DataFrame:
     """df with host, path, rule, score (null where a rule decides) and verdict; ``examples`` (url, accepted) add to those of the rules."""
     short_batches(df.sparkSession)
@@ -205,15 +261,8 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "u
     known = named.where("ruled is not null").select("url", (F.col("ruled") == "allow").alias("accepted"))
     model = fit_urls(known if examples is None else known.unionByName(examples.select("url", "accepted")))
 
-    shared, bare = model.shared, model if model.shared is None else None
-
-    def score(urls: pd.Series) -> pd.Series:
-        out = np.full(len(urls), np.nan)
-        at = np.flatnonzero([isinstance(u, str) and bool(u) for u in urls])
-        out[at] = (bare or shared.value).scores([urls.iloc[i] for i in at])
-        return pd.Series(out).where(~np.isnan(out), None)
-
-    scored = named.withColumn("score", F.pandas_udf(score, "double")(F.when(F.col("ruled").isNull(), F.col("url"))))
+    # rows that a rule decides have no URL to score
+    scored = scored_urls(named.withColumn("url", F.when(F.col("ruled").isNull(), F.col("url"))), model)
     verdict = F.coalesce("ruled", F.when(F.col("score") < model.threshold, "block").otherwise("allow"))
     return scored.select(*(F.col("row")[c].alias(c) for c in rest), "host", "path", "rule", "score", verdict.alias("verdict"))
 

@@ -100,3 +100,24 @@ def test_contexts_beyond_any_fixed_table(spark):
     fresh = ["http://" + "".join(r.choice(chars) for _ in range(40)) for _ in range(20)] + kept[:10]
     exact = brute_scores(([u for u in kept if not seen[u]], [u for u in kept if seen[u]]), fresh)
     assert np.abs(model.scores(fresh) - exact).max() < 1e-9
+
+
+def test_scores_by_join_are_those_of_the_broadcast(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(made(r, i % 2 == 0), i % 2 == 0) for i in range(300)]
+    examples = spark.createDataFrame(rows, "url string, accepted boolean")
+    pages = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, made(r, i % 3 == 0)) for i in range(60)] + [(200 + i, "http://same.example/of/many") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+
+    def judged():
+        return sorted(map(tuple, U.judge_urls(df, examples=examples).select("page_id", "rule", "score", "verdict").collect()))
+
+    small = U.fit_urls(examples)
+    want = judged()
+    monkeypatch.setattr(U, "BROADCAST_PAIRS", 10)
+    monkeypatch.setattr(U, "PART_BYTES", 700)
+    large = U.fit_urls(examples)
+    assert small.pairs is None and small.tables is not None and large.tables is None and large.shared is None and large.threshold == small.threshold
+    assert judged() == want and len(want) == len(pages)
+    assert U.judge_urls(df.limit(0), examples=examples).count() == 0
+    assert U._scores_by_join(df.where("url <> ''").select("url").distinct(), large.pairs).rdd.getNumPartitions() >= 1
