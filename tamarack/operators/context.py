@@ -53,7 +53,10 @@ def promoted_evidence(judged: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def summarized_ranges(judged: DataFrame, covered: DataFrame) -> DataFrame:
-    """session_id, turn, document_id, range_start, range_end: covered ranges that aren't active when a plan sums them up."""
+    """session_id, turn, document_id, range_start, range_end: covered ranges that aren't active when a plan sums them up.
+
+    Only the active document's ranges count here; summarized_document_ranges has those of every document.
+    """
     sums = judged.where((F.col("operation") == SUMMARIZE) & F.col("applied")).select("session_id", "turn", F.coalesce("document_id", "active_document_id").alias("document_id"), "active_document_id", "active_ranges")
     both = sums.join(covered, ["session_id", "document_id"])
     here = F.col("active_document_id") == F.col("document_id")
@@ -61,6 +64,20 @@ def summarized_ranges(judged: DataFrame, covered: DataFrame) -> DataFrame:
     return both.where(~F.coalesce(here & active, F.lit(False))).select("session_id", "turn", "document_id", "range_start", "range_end")
 
 
+def summarized_document_ranges(judged: DataFrame, covered: DataFrame) -> DataFrame:
+    """As summarized_ranges, with the active ranges that each document had when it was the active one last.
+
+    A switch to another document leaves those of the one before as they were.
+    """
+    scoping = F.col("operation").isin(*SCOPING) & F.col("applied")
+    sets = judged.where(scoping).select("session_id", F.col("active_document_id").alias("document_id"), "turn", F.coalesce("active_ranges", F.array().cast("array<struct<start_unit:int,end_unit:int>>")).alias("set"))
+    sums = judged.where((F.col("operation") == SUMMARIZE) & F.col("applied")).select("session_id", F.coalesce("document_id", "active_document_id").alias("document_id"), "turn", F.lit(None).cast("array<struct<start_unit:int,end_unit:int>>").alias("set"))
+    before = Window.partitionBy("session_id", "document_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = sets.withColumn("_sum", F.lit(False)).unionByName(sums.withColumn("_sum", F.lit(True))).withColumn("active", F.last("set", ignorenulls=True).over(before)).where("_sum")
+    active = F.exists("active", lambda r: (r["start_unit"] == F.col("range_start")) & (r["end_unit"] == F.col("range_end")))
+    return asked.join(covered, ["session_id", "document_id"]).where(~F.coalesce(active, F.lit(False))).select("session_id", "turn", "document_id", "range_start", "range_end")
+
+
 def gaps(judged: DataFrame) -> DataFrame:
     """session_id, turn, message of the plans that give up."""
     return judged.where((F.col("operation") == STOP) & F.col("applied")).select("session_id", "turn", F.coalesce(_given("note"), F.lit(INSUFFICIENT)).alias("message"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import document_type, mentions_currency, mentions_dates, strip
 
@@ -108,67 +108,149 @@ def coerce(value: Column, kind: str) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def distinct_values(extractions: DataFrame, classes: tuple[str, ...], most: int = VALUES_SHOWN) -> DataFrame:
-    """doc_id, value: the distinct texts of the classes, whatever their case, first spellings in order of class, then of occurrence."""
-    place = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("class"))
-    rows = extractions.where(F.col("class").isin(*classes) & (F.col("text") != "")).select("doc_id", "text", place.alias("c"), "ordinal")
-    # the first of each spelling: partial sums on the map side, no sort of a document's rows
-    first = rows.groupBy("doc_id", F.lower("text").alias("k")).agg(F.min(F.struct("c", "ordinal", "text")).alias("f"))
-    listed = F.slice(F.array_sort(F.collect_list("f")), 1, most)
-    return first.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda f: f["text"]), ", ").alias("value"))
-
-
 def aggregate_entities(documents: DataFrame, extractions: DataFrame, profile: Profile, enabled: bool = True) -> DataFrame:
-    """doc_id and a column for each field of the profile, from extractions (doc_id, ordinal, class, text)."""
-    rows = extractions.select("doc_id", "ordinal", F.lower(strip(F.col("class"))).alias("class"), strip(F.coalesce("text", F.lit(""))).alias("text"))
-    out = documents.select("doc_id").distinct()
-    named = rows.where("class <> ''")
-    aggs = [F.count("*").alias("_count")]
-    for f in profile.fields:
-        if f.source == "entities" and f.mode != "values":
-            of = F.col("class").isin(*f.source_classes) & (F.col("text") != "")
-            if f.mode == "contains":
-                of = of & F.exists(F.array(*(F.lit(t) for t in f.contains_any)), lambda t: F.contains(F.lower("text"), t))
-            aggs.append(F.count_if(of).alias(f"_{f.name}"))
-    summed = rows.groupBy("doc_id").agg(*aggs, F.array_join(F.array_sort(F.collect_set(F.when(F.col("class") != "", F.col("class")))), ", ").alias("_classes"))
-    out = out.join(summed, "doc_id", "left")
-    for f in profile.fields:
-        if f.source == "entities" and f.mode == "values":
-            out = out.join(distinct_values(named, f.source_classes).withColumnRenamed("value", f"_{f.name}"), "doc_id", "left")
+    """doc_id and a column for each field of the profile, from extractions (doc_id, ordinal, class, text).
+
+    Whatever the number of fields there are two aggregations and no join: by document and
+    spelling, whatever the case, then by document. A values field takes the first
+    spellings in the order of its classes, then of occurrence.
+    """
+    rows = extractions.select("doc_id", "ordinal", F.lower(strip(F.col("class"))).alias("class"), strip(F.coalesce("text", F.lit(""))).alias("text"), F.lit(1).alias("one"))
+    bare = documents.select("doc_id", F.lit(None).cast(rows.schema["ordinal"].dataType).alias("ordinal"), F.lit(None).cast("string").alias("class"), F.lit("").alias("text"), F.lit(0).alias("one"))
+    told = [f for f in profile.fields if f.source == "entities"]
+
+    def of(f: Field) -> Column:
+        mine = F.coalesce(F.col("class").isin(*f.source_classes), F.lit(False)) & (F.col("text") != "")
+        return mine & F.exists(F.array(*(F.lit(t) for t in f.contains_any)), lambda t: F.contains(F.lower("text"), t)) if f.mode == "contains" else mine
+
+    def first(f: Field) -> Column:
+        place = F.array_position(F.array(*(F.lit(c) for c in f.source_classes)), F.col("class"))
+        return F.min(F.when(of(f), F.struct(place.alias("place"), "ordinal", "text")))
+
+    spelt = rows.unionByName(bare).groupBy("doc_id", F.lower("text").alias("_spelling")).agg(
+        F.sum("one").alias("_count"), F.max(F.col("one") == 0).alias("_known"), F.collect_set(F.when(F.col("class") != "", F.col("class"))).alias("_classes"),
+        *((first(f) if f.mode == "values" else F.count_if(of(f))).alias(f"_{f.name}") for f in told),
+    )
+    shown = lambda f: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(f"_{f.name}")), 1, VALUES_SHOWN), lambda v: v["text"]), ", ")
+    summed = spelt.groupBy("doc_id").agg(
+        F.sum("_count").alias("_count"), F.max("_known").alias("_known"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_classes")))), ", ").alias("_classes"),
+        *((shown(f) if f.mode == "values" else F.sum(f"_{f.name}")).alias(f"_{f.name}") for f in told),
+    ).where("_known")
 
     def value(f: Field) -> Column:
         if f.source == "runtime":
-            return {"enabled": F.lit(str(enabled).lower() if enabled else None), "extraction_count": F.coalesce("_count", F.lit(0)).cast("string"), "entity_classes": F.coalesce("_classes", F.lit(""))}[f.runtime]
+            return {"enabled": F.lit(str(enabled).lower() if enabled else None), "extraction_count": F.col("_count").cast("string"), "entity_classes": F.col("_classes")}[f.runtime]
         if f.mode == "values":
-            return F.coalesce(f"_{f.name}", F.lit(""))
-        number = F.coalesce(f"_{f.name}", F.lit(0))
+            return F.col(f"_{f.name}")
+        number = F.col(f"_{f.name}")
         return F.when(number > 0, number.cast("string")) if f.type == "boolean" else (number if f.mode == "count" else (number > 0)).cast("string")
 
-    return out.select("doc_id", *(coerce(value(f), f.type).alias(f.name) for f in profile.fields))
+    return summed.select("doc_id", *(coerce(value(f), f.type).alias(f.name) for f in profile.fields))
+
+
+#: Paths that split the range of paths in a step of the search for a rank, and rows that are sorted to find one.
+SPLITTERS, SORTED = 256, 4096
+
+
+def at_ranks(rows: DataFrame, column: str, ranks: list[int]) -> dict[int, str]:
+    """The values that a sort by a column of texts would put at some places, without the sort.
+
+    A sketch (the values with the smallest hashes, which merges) splits the range; one pass
+    counts the rows between its values, which says exactly where each rank lies. This goes
+    on within the part that holds it until that is small enough to be sorted.
+    """
+    values, out = rows.select(F.col(column).alias("v")).where("v is not null"), {}
+    open_ranks: list[tuple[int, int, str | None, str | None]] = [(r, r, None, None) for r in ranks]  # rank, place in the part, part above and up to
+    while open_ranks:
+        again = []
+        for low, high in sorted({(x[2], x[3]) for x in open_ranks}, key=str):
+            mine = [x for x in open_ranks if (x[2], x[3]) == (low, high)]
+            part = values.where((F.lit(True) if low is None else F.col("v") > low) & (F.lit(True) if high is None else F.col("v") <= high))
+            sketch = sorted(r.v for r in part.distinct().orderBy(F.xxhash64("v"), "v").limit(SPLITTERS).collect())
+            if not sketch:
+                continue
+            # places above the splitters that are smaller: a part ends with its splitter
+            counts = dict(part.groupBy(F.size(F.filter(F.array(*(F.lit(s) for s in sketch)), lambda s: s < F.col("v"))).alias("i")).agg(F.count("*").alias("n")).collect())
+            for rank, place, _, _ in mine:
+                before = 0
+                for i in range(len(sketch) + 1):
+                    n = counts.get(i, 0)
+                    if place < before + n:
+                        a, b = (sketch[i - 1] if i else low), (sketch[i] if i < len(sketch) else high)
+                        if n <= SORTED or (a, b) == (low, high) or part.where((F.lit(True) if a is None else F.col("v") > a) & (F.lit(True) if b is None else F.col("v") <= b)).select("v").distinct().limit(2).count() == 1:
+                            inner = part.where((F.lit(True) if a is None else F.col("v") > a) & (F.lit(True) if b is None else F.col("v") <= b))
+                            out[rank] = inner.orderBy("v").offset(place - before).limit(1).first().v if n <= SORTED else inner.agg(F.min("v")).first()[0]
+                        else:
+                            again.append((rank, place - before, a, b))
+                        break
+                    before += n
+        open_ranks = again
+    return out
 
 
 def discovery_sample(files: DataFrame, most: int = 3, chars: int = 2000) -> DataFrame:
     """Evenly spaced files by path, with the start of their text, for a model to look at."""
     n = files.count()
-    step = max(1, n // most)
-    # places in a sorted table: the place in the task's part, and how many rows the parts before have
-    numbered = files.orderBy("relative_path").withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row for each part
-    placed = placed.withColumn("_place", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1))
-    return placed.where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).select("relative_path", F.substring("content", 1, chars).alias("sample"))
+    step = max(1, n // max(1, min(most, n)))
+    paths = sorted(set(at_ranks(files, "relative_path", [i * step for i in range(min(most, n))]).values()))
+    return files.where(F.col("relative_path").isin(paths)).select("relative_path", F.substring("content", 1, chars).alias("sample"))
+
+
+#: Fields of every profile that a model makes, and those of the profile that stands in for one.
+RUNTIME = [{"name": "lx_enabled", "type": "boolean", "source": "runtime", "runtime": "enabled"}, {"name": "lx_extraction_count", "type": "integer", "source": "runtime", "runtime": "extraction_count"}, {"name": "lx_entity_classes", "type": "string", "source": "runtime", "runtime": "entity_classes"}]
+USUAL_FIELDS = [
+    {"name": "lx_organizations", "type": "string", "source_classes": ["organization", "company", "party"], "mode": "values"},
+    {"name": "lx_people", "type": "string", "source_classes": ["person", "individual", "executive"], "mode": "values"},
+    {"name": "lx_deal_terms", "type": "string", "source_classes": ["deal_term", "term", "provision"], "mode": "values"},
+    {"name": "lx_money_mentions", "type": "integer", "source_classes": ["money", "amount", "currency"], "mode": "count"},
+    {"name": "lx_date_mentions", "type": "integer", "source_classes": ["date"], "mode": "count"},
+    {"name": "lx_has_earnout", "type": "boolean", "source_classes": ["deal_term", "term", "provision"], "mode": "contains", "contains_any": ["earnout"]},
+    {"name": "lx_has_escrow", "type": "boolean", "source_classes": ["deal_term", "term", "provision"], "mode": "contains", "contains_any": ["escrow"]},
+]
+
+
+def usual_profile() -> Profile:
+    return normalize_profile({"fields": [*RUNTIME, *USUAL_FIELDS]})
+
+
+def auto_profile(files: DataFrame, model: Callable[[list[tuple[str, str]]], dict] | None = None, most: int = 3, chars: int = 2000) -> Profile:
+    """A profile for a corpus from an injected model, which sees (name, start of text) of a few files.
+
+    The usual profile where there is no model or no file with text, and where the model
+    fails or gives what is no profile.
+    """
+    shown = [(r.relative_path.rpartition("/")[2], r.sample) for r in discovery_sample(files, most, chars).orderBy("relative_path").collect() if r.sample is not None]
+    if model is None or not shown:
+        return usual_profile()
+    try:
+        raw = dict(model(shown))
+        have = {str(f.get("name")) for f in raw.get("fields", []) if isinstance(f, dict)}
+        return normalize_profile({**raw, "fields": [*(f for f in RUNTIME if f["name"] not in have), *raw.get("fields", [])]})
+    except Exception:  # noqa: BLE001  a model may fail in any way
+        return usual_profile()
 
 
 #: Fields that every discovered schema has.
 BASE_FIELDS = {"filename": "string", "relative_path": "string", "extension": "string", "document_type": "string", "file_size": "integer", "file_mtime": "number", "mentions_currency": "boolean", "mentions_dates": "boolean"}
 
 
-def discovered_schema(files: DataFrame, profile: Profile | None = None) -> dict:
-    """The base fields, with all document types observed, and the profile's."""
-    types = sorted(r[0] for r in files.select(document_type(F.col("relative_path"))).distinct().collect())
-    fields = [{"name": n, "type": t} | ({"enum": types or ["other"]} if n == "document_type" else {}) for n, t in BASE_FIELDS.items()]
+def schema_table(files: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """field, type, value: the base fields and the profile's, with a row for each document type observed."""
+    spark = files.sparkSession
+    rows = [(n, t, None) for n, t in BASE_FIELDS.items() if n != "document_type"]
+    rows += [(f.name, f.type, None) for f in (profile.fields if profile else ()) if f.name not in BASE_FIELDS]
+    types = files.select(document_type(F.col("relative_path")).alias("value")).distinct()
+    # without files there is one type, 'other'
+    observed = types.unionByName(types.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("other").alias("value")))
+    return spark.createDataFrame(rows, "field string, type string, value string").unionByName(observed.select(F.lit("document_type").alias("field"), F.lit(BASE_FIELDS["document_type"]).alias("type"), "value"))
+
+
+def discovered_schema(files: DataFrame, profile: Profile | None = None, most: int = 10_000) -> dict:
+    """The base fields, with all document types observed, and the profile's; more than ``most`` types are refused: they are a table."""
+    types = sorted(r[0] for r in schema_table(files).where("field = 'document_type'").select("value").limit(most + 1).collect())
+    if len(types) > most:
+        raise ValueError(f"more than {most} document types: take schema_table")
+    fields = [{"name": n, "type": t} | ({"enum": types} if n == "document_type" else {}) for n, t in BASE_FIELDS.items()]
     return merged_schema({"fields": fields}, profile)[0] if profile else {"fields": fields}
 
 

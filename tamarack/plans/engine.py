@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,7 +51,18 @@ class Engine:
 
     def index(self) -> IndexResult:
         """Bring the snapshots up to date with the folder; files whose bytes are known are left as they are."""
-        found = files.scan(self.spark, self.root)
+        return self._index(files.scan(self.spark, self.root), whole=True)
+
+    def index_files(self, found: DataFrame, progress: tuple[str, int] | None = None) -> IndexResult:
+        """Index some files, rows of ``files.scan``; documents of others stay as they are.
+
+        ``progress`` (stream, batch) is committed with them: a batch that is given again does nothing.
+        """
+        if progress and not self.store.read("stream_batches").where((F.col("stream") == progress[0]) & (F.col("batch") >= progress[1])).isEmpty():
+            return IndexResult(0, 0, 0, 0, 0, 0)
+        return self._index(found, whole=False, progress=progress)
+
+    def _index(self, found: DataFrame, whole: bool, progress: tuple[str, int] | None = None) -> IndexResult:
         old = self.documents
         live = old.where("not is_deleted").select("relative_path", F.col("content_hash").alias("file_hash"))
         changed = found.join(live, ["relative_path", "file_hash"], "left_anti")
@@ -70,11 +81,11 @@ class Engine:
         numbered = pages.page_manifest(made, rows)
 
         # only what has changed is written: the documents that are new, different or gone, and what hangs on them
-        active = sync.mark_missing(old, found.select("relative_path"))[1].cache()
+        active = (sync.mark_missing(old, found.select("relative_path"))[1] if whole else old.limit(0)).cache()
         gone = active.count()
         mine = good.select("doc_id").cache()
         changes = {
-            "documents": (mine.unionByName(active.select("doc_id")), rows.unionByName(active.withColumn("is_deleted", F.lit(True)).join(mine, "doc_id", "left_anti"))),
+            "documents": (mine.unionByName(active.select("doc_id")), rows.unionByName(active.withColumn("is_deleted", F.lit(True)).join(mine, "doc_id", "left_anti"), allowMissingColumns=True)),
             "chunks": (mine, pieces),
             "parsed_units": (mine, made),
             "document_pages": (mine.withColumnRenamed("doc_id", "document_id"), numbered),
@@ -91,6 +102,9 @@ class Engine:
         if counts.indexed:
             paths = rows.select("doc_id", "relative_path")
             tables |= self._added({"chunks": pieces.join(paths, "doc_id"), "pages": self._as_pages(made).join(paths, "doc_id")}, mine)
+        if progress:
+            batches = self.store.read("stream_batches")
+            tables["stream_batches"] = batches.where(F.col("stream") != progress[0]).unionByName(self.spark.createDataFrame([progress], batches.schema))
         self.store.commit(changes, **tables)
         for df in (good, made, pieces, active, mine):
             df.unpersist()
@@ -125,6 +139,23 @@ class Engine:
         rows = self.store.read("search_segments").where(F.col("kind") == kind).collect()  # a handful: segments are made one
         return [inverted.Segment(r.path, r.number) for r in rows], self.store.read("search_removed").where(F.col("kind") == kind)
 
+    def reconcile(self) -> IndexResult:
+        """What only a listing of the folder tells: files that are gone, and known ones that have changed.
+
+        Deletions are an anti-join of the listing, which opens no file; of the others only changed ones are read.
+        """
+        listed = files.listing(self.spark, self.root)
+        live = self.documents.where("not is_deleted")
+        gone = sync.mark_missing(live, listed.select("relative_path"))[1].select("doc_id").cache()
+        n = gone.count()
+        if n:
+            self.set_attributes(gone, is_deleted=True)
+        gone.unpersist()
+        changed = live.join(sync.stale(live, listed.select("relative_path", "file_mtime", "file_size")).where("stale"), "doc_id", "left_semi").select("relative_path")
+        paths = [r.path for r in listed.join(changed, "relative_path", "left_semi").select("path").collect()]  # of what has changed since the last time
+        done = self.index_files(files.scan_paths(self.spark, self.root, paths)) if paths else IndexResult(0, 0, 0, 0, 0, 0)
+        return replace(done, deleted=n)
+
     def index_if_stale(self) -> IndexResult | None:
         """Index again if any document's file has changed since."""
         found = files.scan(self.spark, self.root).select("relative_path", "file_mtime", "file_size")

@@ -564,6 +564,11 @@ def _(spark, sf_dir):
     return metadata.discovery_sample(unique)
 
 
+@query("schema_table", f"WITH {FILES} SELECT 'document_type' AS field, 'string' AS type, {TYPE_SQL} AS value FROM f GROUP BY ALL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', NULL)" for n, t in metadata.BASE_FIELDS.items() if n != "document_type") + ") v")
+def _(spark, sf_dir):
+    return metadata.schema_table(files_of(spark, sf_dir))
+
+
 #: The words of a text stand for extracted entities.
 ENTITIES = "e AS (SELECT doc_id, i::INT - 1 AS ordinal, CASE (i - 1) % 3 WHEN 0 THEN ' Party ' WHEN 1 THEN 'DATE' ELSE 'amount' END AS class, ws[i] AS text FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)))"
 PROFILE = {"fields": [
@@ -1020,6 +1025,21 @@ def _(spark, sf_dir):
     return context.summarized_ranges(judged, covered)
 
 
+#: A document's ranges are those of the last scoping turn that it was active in.
+_RANGES = f"""WITH {PLANS}, ar AS (SELECT session_id, turn, active_document_id AS document_id, active_start FROM jd WHERE operation IN ('keep_ranges', 'expand_range', 'narrow_to_range', 'switch_document') AND error IS NULL AND active_document_id IS NOT NULL),
+q AS (SELECT session_id, turn, coalesce(document_id, active_document_id) AS document_id FROM jd WHERE operation = '{context.SUMMARIZE}' AND error IS NULL),
+la AS (SELECT q.session_id, q.turn, q.document_id, arg_max(coalesce(ar.active_start, -1), ar.turn) AS start FROM q LEFT JOIN ar ON ar.session_id = q.session_id AND ar.document_id = q.document_id AND ar.turn < q.turn GROUP BY ALL)
+SELECT la.session_id, la.turn, la.document_id, r.range_start, (r.range_start + 2)::INT AS range_end FROM la, (VALUES (0), (2), (4)) r(range_start) WHERE la.document_id IN ('d0', 'd1', 'd2') AND NOT coalesce(start = r.range_start, false)"""
+
+
+@query("summarized_document_ranges", _RANGES)
+def _(spark, sf_dir):
+    judged = plans_of(spark, sf_dir)
+    spans = F.explode(F.array(*(F.struct(F.lit(d).alias("document_id"), F.lit(a).alias("range_start"), F.lit(a + 2).alias("range_end")) for d in ("d0", "d1", "d2") for a in (0, 2, 4))))
+    covered = judged.select("session_id").distinct().select("session_id", spans.alias("s")).select("session_id", "s.*")
+    return context.summarized_document_ranges(judged, covered)
+
+
 @query("context_gaps", f"WITH {PLANS} SELECT session_id, turn, CASE WHEN trim(note) = '' THEN '{context.INSUFFICIENT}' ELSE note END AS message FROM jd WHERE operation = '{context.STOP}' AND error IS NULL")
 def _(spark, sf_dir):
     return context.gaps(plans_of(spark, sf_dir))

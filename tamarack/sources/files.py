@@ -34,7 +34,21 @@ def relative_to(root: str, path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """relative_path, path, suffix, file_size, file_mtime, file_hash, bytes of the supported files, in no order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+    return scanned(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root), root)
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """As scan, of these files alone."""
+    return scanned(spark.read.format("binaryFile").load(paths), root)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, path, file_size, file_mtime of the supported files; none is opened."""
+    return scan(spark, root).select("relative_path", "path", "file_size", "file_mtime")
+
+
+def scanned(files: DataFrame, root: str) -> DataFrame:
+    """Rows of the ``binaryFile`` source, batch or stream, as rows of scan."""
     named = files.select(relative_to(root, F.col("path")).alias("relative_path"), "path", suffix(F.col("path")).alias("suffix"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"), F.sha2("content", 256).alias("file_hash"), F.col("content").alias("bytes"))
     return named.where(F.col("suffix").isin(*SUFFIXES))
 

@@ -39,6 +39,7 @@ SCHEMAS = {
     "chunk_embeddings": _table(chunk_id=_S, doc_id=_S, position=_I, embedding=T.ArrayType(T.FloatType())),
     "search_segments": _table(kind=_S, path=_S, number=_I),
     "search_removed": _table(kind=_S, doc_id=_S, up_to=_I),
+    "stream_batches": _table(stream=_S, batch=_L),
 }
 
 

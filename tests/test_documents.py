@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tamarack.functions import scoring, text as T
-from tamarack.operators import budget, chunking, coverage, events, metadata, search, sync, units
+from tamarack.operators import budget, chunking, context, coverage, events, metadata, search, sync, units
 
 
 def one(spark, value, expr):
@@ -184,3 +184,60 @@ def test_schema_has_all_document_types(spark):
     files = spark.createDataFrame([(f"a/some_{t}.md",) for t in types], "relative_path string")
     field = next(f for f in metadata.discovered_schema(files)["fields"] if f["name"] == "document_type")
     assert field["enum"] == sorted(types)
+
+
+def test_ranges_of_a_document_outlive_a_switch(spark):
+    plans = [("s", 1, "keep_ranges", "d1", [(1, 3)]), ("s", 2, "switch_document", "d2", []), ("s", 3, "summarize_stale_ranges", "d1", []), ("s", 4, "summarize_stale_ranges", None, []), ("s", 5, "keep_ranges", "d2", [(7, 9)]), ("s", 6, "summarize_stale_ranges", "d2", []), ("s", 7, "summarize_stale_ranges", "d3", [])]
+    df = spark.createDataFrame([(*p[:4], "", p[4], [], "") for p in plans], "session_id string, turn int, operation string, document_id string, file_path string, ranges array<struct<start_unit:int,end_unit:int>>, evidence_ids array<int>, note string")
+    selected = spark.createDataFrame([("s", d) for d in ("d1", "d2", "d3")], "session_id string, document_id string")
+    covered = spark.createDataFrame([("s", d, a, a + 2) for d in ("d1", "d2", "d3") for a in (1, 7)], "session_id string, document_id string, range_start int, range_end int")
+    judged = context.judged_plans(df, selected)
+    got = {(r["turn"], r["document_id"], r["range_start"]) for r in context.summarized_document_ranges(judged, covered).collect()}
+    # the switch keeps the ranges that it doesn't name, now of d2
+    assert got == {(3, "d1", 7), (4, "d2", 7), (6, "d2", 1), (7, "d3", 1), (7, "d3", 7)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 700])
+def test_values_at_ranks_are_those_of_a_sort(spark, monkeypatch, n):
+    monkeypatch.setattr(metadata, "SPLITTERS", 4)
+    monkeypatch.setattr(metadata, "SORTED", 3)
+    r = random.Random(n)
+    paths = [f"p{r.randrange(n)}" if i % 3 else "hot" for i in range(n)]
+    df = spark.createDataFrame([(p, "x" * 3000) for p in paths], "relative_path string, content string").repartition(3)
+    ranks = sorted({0, n // 3, n // 2, n - 1})
+    assert metadata.at_ranks(df, "relative_path", ranks) == {k: sorted(paths)[k] for k in ranks}
+
+
+def test_profiles_from_a_model(spark):
+    files = spark.createDataFrame([(f"d/f{i:02d}.md", f"text {i} " * 1000) for i in range(10)], "relative_path string, content string")
+    seen = []
+
+    def model(samples):
+        seen.extend(samples)
+        return {"fields": [{"name": "lx_x", "type": "integer", "source_classes": ["x"]}]}
+
+    made = metadata.auto_profile(files, model)
+    assert [f.name for f in made.fields] == ["lx_enabled", "lx_extraction_count", "lx_entity_classes", "lx_x"]
+    assert [n for n, _ in seen] == ["f00.md", "f03.md", "f06.md"] and all(len(t) == 2000 for _, t in seen)
+    usual = metadata.usual_profile()
+    assert metadata.auto_profile(files) == metadata.auto_profile(files, lambda s: 1 // 0) == metadata.auto_profile(files, lambda s: {"fields": [{"name": "1 bad"}]}) == metadata.auto_profile(files.limit(0), model) == usual
+
+
+def test_schema_as_a_table(spark):
+    files = spark.createDataFrame([("a/x_report.md",), ("b/y_report.md",), ("c/z_plan.md",)], "relative_path string")
+    rows = {(r["field"], r["value"]) for r in metadata.schema_table(files, metadata.usual_profile()).collect()}
+    assert {v for f, v in rows if f == "document_type"} == {"report", "plan"} and ("lx_people", None) in rows and ("file_size", None) in rows
+    assert {v for f, v in ((r["field"], r["value"]) for r in metadata.schema_table(files.limit(0)).collect()) if f == "document_type"} == {"other"}
+    with pytest.raises(ValueError, match="schema_table"):
+        metadata.discovered_schema(files, most=1)
+
+
+def test_fields_of_entities_need_two_exchanges_whatever_their_number(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    rows = spark.createDataFrame([(1, 0, " A ", "x"), (1, 1, "a", "X"), (1, 2, "b", "y"), (3, 0, "a", "z"), (1, 3, "", "w"), (1, 4, None, None)], "doc_id int, ordinal int, class string, text string")
+    fields = [{"name": f"f{i}", "source_classes": ["b", "a"] if i % 2 else ["a"]} for i in range(12)]
+    out = metadata.aggregate_entities(docs, rows, metadata.normalize_profile({"fields": fields}))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+    got = {r["doc_id"]: (r["f0"], r["f1"]) for r in out.collect()}
+    assert got == {1: ("x", "y, x"), 2: ("", "")}
