@@ -53,7 +53,9 @@ LOOKUPS = tuple(sum(1 << int(b) for b in np.random.default_rng(seed).permutation
 #: Hits (under any mask) that make a candidate, share of bits that may differ, codes that must overlap.
 HITS, BIT_ERRORS, OVERLAP = 1, 0.15, 8
 #: Codes of a block of queries, about; codes of recordings, and hits, that a task holds at once.
-QUERY_CODES, HELD_CODES, HELD_HITS = 100_000, 50_000, 2_000_000
+QUERY_CODES, HELD_CODES, HELD_HITS = 100_000, 20_000, 250_000
+#: Recordings that are made and sent on at once.
+MADE = 32
 ALIGNED = "query bigint, match bigint, offset bigint, hits bigint, bit_errors double"
 #: Energy, as a share of the recording's loudest frame, below which a frame is silent.
 SILENCE = 1e-5
@@ -280,9 +282,11 @@ def melody(values: np.ndarray, lead: int) -> np.ndarray:
 def sonified(vectors: DataFrame) -> DataFrame:
     """id, audio: a recording of each row of ``embeddings``, since the tables have no sound of their own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sounds = [None if v is None else wav_bytes(melody(np.asarray(v), 0 if pd.isna(i) else int(i) % 5)) for i, v in zip(pdf.vec_id, pdf.embedding, strict=True)]
-            yield pd.DataFrame({"id": pdf.vec_id, "audio": sounds})
+        for batch in batches:
+            for at in range(0, len(batch), MADE):
+                pdf = batch.iloc[at : at + MADE]
+                sounds = [None if v is None else wav_bytes(melody(np.asarray(v), 0 if pd.isna(i) else int(i) % 5)) for i, v in zip(pdf.vec_id, pdf.embedding, strict=True)]
+                yield pd.DataFrame({"id": pdf.vec_id, "audio": sounds})
 
     return vectors.select("vec_id", "embedding").transform(map_frames, run, "id bigint, audio binary")
 
