@@ -1,6 +1,7 @@
 """Live sessions against the batch operators over all that has happened."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +24,11 @@ def rocks(spark):
 def ran(stream, tmp_path, name):
     """One run to the end of what there is: each call is a restart. (State that is forgotten by the clock makes batches without end.)"""
     q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/{name}")).option("checkpointLocation", f"{tmp_path}/{name}-cp").outputMode("append").trigger(processingTime="1 second").start()
-    q.processAllAvailable()
+    until = time.time() + 150
+    while time.time() < until and not (q.exception() or (any(p.numInputRows for p in q.recentProgress) and not q.lastProgress.numInputRows)):
+        time.sleep(0.2)
     q.stop()
+    assert q.exception() is None and time.time() < until
     return stream.sparkSession.read.parquet(f"{tmp_path}/{name}")
 
 
