@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids
-from ..operators import catalog, chunking, inverted, metadata, pages, scope, search, sync, units
+from ..operators import catalog, chunking, events, inverted, metadata, pages, scope, search, sync, units
 from ..operators.filters import parse_filters
 from ..sources import files
 from ..sources.store import KEYS, SnapshotStore
@@ -187,6 +187,37 @@ class Engine:
     def status(self) -> DataFrame:
         return catalog.index_status(self.documents, self.chunks, self.store.read("chunk_embeddings"))
 
+    def folder_status(self) -> DataFrame:
+        """One row: indexed, corpus_id, document_count, schema_name, has_metadata (the schema has a profile), has_embeddings, schema_fields."""
+        known = self.store.read("corpora").where(F.col("corpus_id") == self.corpus)
+        counts = self.documents.where("not is_deleted").agg(F.count("*").alias("document_count"))
+        embedded = self.store.read("chunk_embeddings").join(self.documents, "doc_id", "left_semi").limit(1).agg((F.count("*") > 0).alias("has_embeddings"))
+        fields = F.from_json(F.get_json_object("schema_def", "$.fields"), "array<struct<name:string>>")
+        named = F.transform(F.filter(F.coalesce(fields, F.array().cast("array<struct<name:string>>")), lambda f: f["name"].isNotNull()), lambda f: f["name"])
+        active = self.schema().agg(F.max_by(F.struct("name", F.get_json_object("schema_def", "$.metadata_profile").isNotNull().alias("profiled"), named.alias("fields")), "created_at").alias("s"))
+        status = known.agg((F.count("*") > 0).alias("indexed")).crossJoin(counts).crossJoin(embedded).crossJoin(active)  # one row each
+        return status.select("indexed", F.lit(self.corpus).alias("corpus_id"), "document_count", F.col("s.name").alias("schema_name"), F.coalesce("s.profiled", F.lit(False)).alias("has_metadata"), "has_embeddings", F.coalesce("s.fields", F.array().cast("array<string>")).alias("schema_fields"))
+
+    def append_events(self, new: DataFrame) -> None:
+        """Add events (session_id, event_id, ts, type, data) to the sessions' log; known ones (by id) stay as they are."""
+        known = self.store.read("session_events").join(new.select("session_id").distinct(), "session_id", "left_semi")
+        fresh = new.select(known.columns).join(known, ["session_id", "event_id"], "left_anti").dropDuplicates(["session_id", "event_id"]).select(known.columns)
+        self.store.commit({"session_events": (new.select("session_id"), known.unionByName(fresh))})
+
+    def sessions(self) -> DataFrame:
+        return events.final_states(self.store.read("session_events"))
+
+    def session_events(self, session_id: int, after: int = 0) -> DataFrame:
+        """The wire frames of a session behind a place in its sequence: what a client that comes back has missed."""
+        mine = self.store.read("session_events").where(F.col("session_id") == session_id)
+        return events.sse_frames(mine).where(F.col("sequence") > after).orderBy("sequence")
+
+    def prune_sessions(self, now, minutes: int = events.RETENTION_MINUTES) -> None:
+        """Forget the sessions that are over and idle for longer."""
+        log = self.store.read("session_events")
+        gone = log.select("session_id").distinct().join(events.retained(log, F.lit(now).cast("timestamp"), minutes), "session_id", "left_anti")
+        self.store.commit({"session_events": (gone, log.limit(0))})
+
     def resolve_scope(self, collection_id: str | None = None, document_ids: DataFrame | None = None) -> DataFrame:
         return scope.resolve_scope(self.documents, self.store.read("collection_documents"), self.store.read("collections"), collection_id, document_ids)
 

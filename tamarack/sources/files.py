@@ -119,6 +119,20 @@ def list_directory(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, kind string, size bigint").orderBy("kind", "name")
 
 
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: current, parent (null at the top), folders (by name, hidden ones left out), files_count; error where it is no folder."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(path)
+    parent = full.getParent()
+    error = None if fs.exists(path) and fs.getFileStatus(path).isDirectory() else "not a directory" if fs.exists(path) else "path not found"
+    inside = fs.listStatus(path) if error is None else []
+    names = sorted(s.getPath().getName() for s in inside if s.isDirectory() and not s.getPath().getName().startswith("."))
+    row = (full.toUri().getPath(), None if parent is None else parent.toUri().getPath(), names, sum(s.isFile() for s in inside), error)
+    return spark.createDataFrame([row], "current string, parent string, folders array<string>, files_count bigint, error string")
+
+
 def glob(files: DataFrame, pattern: str) -> DataFrame:
     """Files whose relative path fits a glob (* within a folder, ** over folders, ?)."""
     out, i = "", 0

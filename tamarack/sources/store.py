@@ -37,6 +37,7 @@ SCHEMAS = {
     "collections": _table(collection_id=_S, name=_S, created_at=_TS, updated_at=_TS, is_deleted=_B),
     "collection_documents": _table(collection_id=_S, doc_id=_S),
     "chunk_embeddings": _table(chunk_id=_S, doc_id=_S, position=_I, embedding=T.ArrayType(T.FloatType())),
+    "session_events": _table(session_id=_L, event_id=_L, ts=_TS, type=_S, data=_S),
     "search_segments": _table(kind=_S, path=_S, number=_I),
     "search_removed": _table(kind=_S, doc_id=_S, up_to=_I),
     "stream_batches": _table(stream=_S, batch=_L),
@@ -44,7 +45,7 @@ SCHEMAS = {
 
 
 #: The column by whose hash a table's rows are dealt to buckets; other tables are small and have one.
-KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id"}
+KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id", "session_events": "session_id"}
 BUCKETS = 256
 
 

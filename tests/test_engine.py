@@ -98,6 +98,28 @@ def test_facade_changes(spark, tmp_path):
         assert engine.store.read(table).where(F.col(key) == again).count() == 0, table
 
 
+def test_folders_status_and_sessions(spark, tmp_path):
+    root = f"{tmp_path}/in"
+    write(root, a_md="alpha", sub__b_md="beta", _hidden__c_md="x")
+    os.makedirs(f"{root}/.git")
+    row = files.folder_listing(spark, root).first()
+    assert (row["current"], row["parent"], row["files_count"], row["error"]) == (root, str(tmp_path), 1, None) and row["folders"] == ["_hidden", "sub"]
+    assert files.folder_listing(spark, f"{root}/a.md").first()["error"] == "not a directory" and files.folder_listing(spark, f"{root}/no").first()["error"] == "path not found"
+    engine = Engine(spark, f"{tmp_path}/store", root)
+    assert engine.folder_status().first()["indexed"] is False
+    engine.index()
+    engine.save_schema("first", '{"fields": [{"name": "x", "type": "string"}, {"type": "y"}], "metadata_profile": {}}', now="2024-01-01")
+    status = engine.folder_status().first()
+    assert (status["indexed"], status["document_count"], status["schema_name"], status["has_metadata"], status["has_embeddings"], status["schema_fields"]) == (True, 2, "first", True, False, ["x"])
+    log = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", "start", "{}"), (1, 2, "2024-01-01 00:00:05", "complete", "{}"), (2, 1, "2024-01-01 00:00:01", "start", "{}")], "session_id bigint, event_id bigint, ts string, type string, data string").withColumn("ts", F.col("ts").cast("timestamp"))
+    engine.append_events(log.where("event_id = 1"))
+    engine.append_events(log)  # what is known isn't added again
+    assert {(r["session_id"], r["state"]) for r in engine.sessions().collect()} == {(1, "completed"), (2, "running")}
+    assert [r["sequence"] for r in engine.session_events(1, after=1).collect()] == [2] and engine.session_events(1).count() == 2
+    engine.prune_sessions("2024-01-01 01:00:00")
+    assert [r["session_id"] for r in engine.sessions().collect()] == [2]
+
+
 def test_second_writer_fails(spark, tmp_path):
     store = SnapshotStore(spark, f"{tmp_path}/s")
     rows = spark.createDataFrame([("c", "d")], "collection_id string, doc_id string")

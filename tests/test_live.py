@@ -58,7 +58,7 @@ def test_coverage_goes_on_from_the_history(rocks, tmp_path):
     for low, high in ((10, 20), (20, 30)):
         every.where(f"turn >= {low} and turn < {high}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
         got = ran(live.live_coverage(spark.readStream.schema(READS).parquet(f"{tmp_path}/log"), history), tmp_path, "out")
-    turns = every.groupBy("session_id", "turn").agg(F.max(F.when(F.col("kind") == "search", "search")).alias("kind"))
+    turns = every.groupBy("session_id", "turn").agg(F.coalesce(F.max(F.when(F.col("kind") == "search", "search")), F.lit("read")).alias("kind"))
     want = {tuple(x) for x in coverage.read_streaks(turns, every.where("doc_id is not null")).where("turn >= 10").collect()}
     assert {tuple(x) for x in got.select("session_id", "turn", "new_units", "streak", "stale").collect()} == want
 
