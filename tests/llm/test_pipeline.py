@@ -79,3 +79,22 @@ def test_empty_and_repeated_rows_and_further_columns(spark, tmp_path):
                 assert sorted((x["doc_id"] for x in df.collect()), key=str) == ids
         got = [x["doc_id"] for x in df.collect()]
         assert sorted(got, key=str) == ids
+
+
+def test_run_is_its_stages_one_after_another(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, text(r, 40), "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(10)] + [(200, "mail a.b@c.de " + text(r, 30), "en", "s", 1), (201, None, "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+    out = P.run(spark, str(tmp_path))
+    # sequences have any numbers, so they aren't compared
+    columns = [c for c in kept.columns if c not in ("sequence_id", "offset")]
+    assert out.columns == kept.columns and sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, kept.select(columns).collect()))
+    ids = {x["doc_id"] for x in out.collect()}
+    assert 200 in ids and 7 not in ids and not ids & set(range(100, 110))

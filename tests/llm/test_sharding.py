@@ -69,3 +69,14 @@ def test_query_columns_are_those_of_the_texts(spark, docs, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     carried = shuffle_into_shards(df, 3, ["doc_id", "text"]).collect()
     assert {r["shard"] for r in carried} == {0, 1, 2} and {(r["block"], r["first"], r["row"]) for r in carried} == {(1, 2, "x")}
+
+
+def test_rows_move_as_the_matrix_says(spark, docs):
+    df = docs([(i, f"t{i}") for i in range(777)])
+    block = F.pmod(F.xxhash64(F.lit(5 * 3), "doc_id", "text"), F.lit(16))
+    blocks = {r["doc_id"]: r["b"] for r in df.select("doc_id", block.alias("b")).collect()}
+    moved = np.zeros((16, 7), int)
+    for r in shuffle_into_shards(df, 7, ["doc_id", "text"], seed=5).collect():
+        moved[blocks[r["doc_id"]], r["shard"]] += 1
+    sizes = [777 // 7 + (s < 777 % 7) for s in range(7)]
+    assert moved.tolist() == communication_matrix(moved.sum(1).tolist(), sizes, 5)
