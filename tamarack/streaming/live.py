@@ -119,7 +119,7 @@ def live_coverage(reads: DataFrame, history: DataFrame, minutes: int = 24 * 60)
     keep_state(reads.sparkSession)
     turns = history.groupBy("session_id", "turn").agg(F.coalesce(F.max(F.when(F.col("kind") == "search", "search")), F.lit("read")).alias("kind"))
     last = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
-    streaks = read_streaks(turns, history).withColumn("_n", last).where("_n = 1")
+    streaks = read_streaks(turns, history.where("doc_id is not null")).withColumn("_n", last).where("_n = 1")
     units = new_units(history.where("doc_id is not null")).select("session_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("unit_no").cast("bigint").alias("unit_no"), F.col("turn").cast("bigint").alias("turn"), F.lit(0).cast("bigint").alias("streak"))
     known = units.unionByName(streaks.select("session_id", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("bigint").alias("unit_no"), F.col("turn").cast("bigint").alias("turn"), F.col("streak").cast("bigint").alias("streak")))
     return reads.groupBy("session_id").transformWithStateInPandas(_Coverage(minutes), STREAKS, "Append", "ProcessingTime", initialState=known.groupBy("session_id"))
