@@ -2,14 +2,17 @@
 
 A write makes a new snapshot of every table that changes and moves the pointer
 last, so readers see all of it or nothing, and no path is overwritten that a plan
-still reads. Of two writers that begin at the same commit the second fails.
+still reads. Of two writers that begin at the same commit the second fails: a commit's
+number belongs to who creates its file first, which file systems decide.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.filters import shred, shredded_names
@@ -47,6 +50,8 @@ SCHEMAS = {
 #: The column by whose hash a table's rows are dealt to buckets; other tables are small and have one.
 KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id", "session_events": "session_id"}
 BUCKETS = 256
+#: Folder of the files by which writers take the numbers of commits.
+CLAIMS = "_claims"
 
 
 class SnapshotStore:
@@ -71,7 +76,10 @@ class SnapshotStore:
         names = self._pointers()
         if not names:
             return -1, {}
-        return int(names[-1].split(".")[0]), json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_current/{names[-1]}", wholetext=True).collect()))
+        return int(names[-1].split(".")[0]), self._contents(names[-1])
+
+    def _contents(self, pointer: str) -> dict[str, dict[str, str]]:
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_current/{pointer}", wholetext=True).collect()))
 
     def _of(self, name: str, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
@@ -118,8 +126,54 @@ class SnapshotStore:
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        self._fs.mkdirs(self._path(f"{self.root}/_current"))
-        place = self._path(f"{self.root}/_current/{number + 1:010d}.json")
-        if self._fs.exists(place) or not self._fs.rename(draft, place):
+        if not self._claimed(number + 1):
             self._fs.delete(draft, False)
             raise OSError("another writer was first")
+        if not self._fs.rename(draft, self._path(f"{self.root}/_current/{number + 1:010d}.json")):
+            raise OSError("the commit could not be published")
+
+    def _claimed(self, number: int) -> bool:
+        """Whether this writer may publish a commit: of all that try one creates the file that says so."""
+        folder = self._path(f"{self.root}/{CLAIMS}")
+        self._fs.mkdirs(folder)
+        self._fs.mkdirs(self._path(f"{self.root}/_current"))
+        place = self._path(f"{self.root}/{CLAIMS}/{number:010d}")
+        try:
+            if self._fs.getScheme() == "file":  # there Hadoop's create looks first and creates then
+                nio = self.spark._jvm.java.nio.file
+                nio.Files.createFile(nio.Paths.get(self._fs.makeQualified(place).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, 0)), self.spark.sparkContext._gateway.new_array(nio.attribute.FileAttribute, 0))
+            else:
+                self._fs.create(place, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def release(self, number: int) -> bool:
+        """Give back a commit's number that a writer took and then died before publishing it."""
+        if self._fs.exists(self._path(f"{self.root}/_current/{number:010d}.json")):
+            return False
+        return self._fs.delete(self._path(f"{self.root}/{CLAIMS}/{number:010d}"), False)
+
+    def vacuum(self, keep: int = 2, older_than: float = 24 * 3600.0) -> int:
+        """Remove what none of the last ``keep`` commits names and was written longer ago; how many folders went.
+
+        Readers of older commits fail then, so both should exceed what a query may take.
+        """
+        names = self._pointers()
+        named: set[str] = set()
+        for name in names[-keep:]:
+            tables = self._contents(name)
+            named |= {f for buckets in tables.values() for f in buckets.values()}
+            named |= {r.path for r in self._of("search_segments", sorted(tables.get("search_segments", {}).values())).select("path").collect()}  # a handful
+        gone, now = 0, time.time()
+        for table in [*SCHEMAS, "search"]:
+            top = self._path(f"{self.root}/{table}")
+            for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                path = f"{self.root}/{table}/{s.getPath().getName()}"
+                if now - s.getModificationTime() / 1000 >= older_than and not any(f == path or f.startswith(f"{path}/") for f in named):
+                    gone += self._fs.delete(self._path(path), True)
+        for name in names[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/_current/{name}"), False)
+        return gone

@@ -136,6 +136,47 @@ def test_second_writer_fails(spark, tmp_path):
     assert store.read("collection_documents").count() == 1
 
 
+def test_one_of_many_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = SnapshotStore(spark, f"{tmp_path}/s")
+    rows = spark.createDataFrame([("c", "d")], "collection_id string, doc_id string")
+
+    def commit(_):
+        try:
+            SnapshotStore(spark, f"{tmp_path}/s").commit(collection_documents=rows)
+            return True
+        except OSError:
+            return False
+
+    with ThreadPoolExecutor(6) as pool:
+        won = sum(pool.map(commit, range(6)))
+    assert won >= 1 and store.current()[0] == won - 1 and store.read("collection_documents").count() == 1
+    number = store.current()[0] + 1
+    assert store._claimed(number) and not store._claimed(number)  # who took it is gone
+    with pytest.raises(OSError):
+        store.commit(collection_documents=rows)
+    assert store.release(number) and not store.release(number - 1)
+    store.commit(collection_documents=rows.limit(0))
+    assert store.read("collection_documents").count() == 0
+
+
+def test_old_snapshots_are_removed(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/s", buckets=4)
+    for i in range(4):
+        rows = spark.createDataFrame([(f"c{i}", f"d{i}")], "collection_id string, doc_id string")
+        store.commit({"collection_documents": (rows, rows)}, collections=spark.createDataFrame([(f"c{i}", "n", None, None, False)], "collection_id string, name string, created_at timestamp, updated_at timestamp, is_deleted boolean"))
+    assert store.vacuum(keep=1) == 0  # all is young
+    named = {f.split("/bucket=")[0] for buckets in store.current()[1].values() for f in buckets.values()}
+    written = {f"{tmp_path}/s/{t}/{f}" for t in ("collections", "collection_documents") for f in os.listdir(f"{tmp_path}/s/{t}")}
+    assert store.vacuum(keep=1, older_than=0) == len(written - named) >= 3  # the collections of three commits, and buckets that were written again
+    assert {f"{tmp_path}/s/{t}/{f}" for t in ("collections", "collection_documents") for f in os.listdir(f"{tmp_path}/s/{t}")} == named
+    assert store.read("collection_documents").count() == 4 and store.read("collections").count() == 1 and len(store._pointers()) == 1
+    rows = spark.createDataFrame([("c9", "d9")], "collection_id string, doc_id string")
+    store.commit({"collection_documents": (rows, rows)})
+    assert store.current()[0] == 4 and store.read("collection_documents").count() == 5
+
+
 def test_streams_say_what_batches_say(spark, tmp_path):
     if not os.path.isdir("/root/testdata/sf0.001"):
         return
