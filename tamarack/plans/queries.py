@@ -315,6 +315,23 @@ def _(spark, sf_dir):
     return objects.bodies(spark, root).select("object_key", F.sha2("data", 256).alias("digest"))
 
 
+@query("scanned_files", "SELECT source || '/doc-' || doc_id || '.md' AS relative_path, '.md' AS suffix, strlen(text) AS file_size, sha256(text) AS file_hash FROM documents")
+def _(spark, sf_dir):
+    root, texts = scratch(spark), read(spark, sf_dir, "documents")
+    key = F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    objects.write_objects(texts.select(F.col("source").alias("prefix"), key.alias("object_key"), F.encode("text", "utf-8").alias("data")), root)
+    return files.scan(spark, objects.opened(root)[1]).select("relative_path", "suffix", "file_size", "file_hash")
+
+
+@query("object_heads", "SELECT 'kept/' || lang || '/' || doc_id AS object_key, strlen(text) AS size FROM documents WHERE lang = 'en' UNION ALL SELECT 'kept/de/' || doc_id, strlen(text) FROM documents WHERE lang = 'de'")
+def _(spark, sf_dir):
+    root, texts = scratch(spark), read(spark, sf_dir, "documents")
+    place = F.when(F.col("lang").isin("en", "de"), F.concat(F.lit("kept/"), "lang")).otherwise(F.concat(F.lit("dropped/"), F.coalesce("lang", F.lit("none"))))
+    objects.write_objects(texts.select(place.alias("prefix"), F.concat(place, F.lit("/"), F.col("doc_id").cast("string")).alias("object_key"), F.encode("text", "utf-8").alias("data")), root)
+    objects.delete_prefix(root, "dropped")
+    return objects.heads(spark, root).select("object_key", "size")
+
+
 @query("page_by_path", f"WITH RECURSIVE {UNITS}, {MANIFEST} SELECT document_id, page_no FROM man WHERE document_id = 7 AND page_no = 1")
 def _(spark, sf_dir):
     return pages.page_by_path(manifest_of(spark, sf_dir), "DOCUMENTS/src7-doc-7.MD/pages/page-0001.md").select("document_id", "page_no")
@@ -564,6 +581,27 @@ def _(spark, sf_dir):
     return metadata.discovery_sample(unique)
 
 
+@query("document_listing", f"WITH {FILES} SELECT relative_path, doc_id FROM f ORDER BY relative_path")
+def _(spark, sf_dir):
+    return catalog.listing(files_of(spark, sf_dir), "documents").select("relative_path", "doc_id")
+
+
+def _five_words(text: str) -> list[tuple[str, str]]:
+    """Stands for a model: the first words, by their length."""
+    return [("long" if len(w) > 5 else "short", w) for w in text.split(" ")[:5]]
+
+
+@query("extracted_entities", "SELECT doc_id, (i - 1)::INT AS ordinal, CASE WHEN length(w) > 5 THEN 'long' ELSE 'short' END AS class, w AS text FROM (SELECT doc_id, unnest(range(1, least(len(ws), 5) + 1)) AS i, ws[i] AS w FROM (SELECT doc_id, string_split(text[1:6000], ' ') AS ws FROM documents))")
+def _(spark, sf_dir):
+    return metadata.extract_entities(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), _five_words)
+
+
+@query("embedded_texts", "SELECT doc_id, length(text)::DOUBLE AS characters, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM documents")
+def _(spark, sf_dir):
+    made = metadata.embed_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    return made.select("doc_id", F.col("embedding")[0].cast("double").alias("characters"), F.col("embedding")[1].cast("double").alias("es"))
+
+
 @query("schema_table", f"WITH {FILES} SELECT 'document_type' AS field, 'string' AS type, {TYPE_SQL} AS value FROM f GROUP BY ALL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', NULL)" for n, t in metadata.BASE_FIELDS.items() if n != "document_type") + ") v")
 def _(spark, sf_dir):
     return metadata.schema_table(files_of(spark, sf_dir))
