@@ -52,6 +52,8 @@ def unescape_entities(text: Column) -> Column:
 
 #: Tags without attributes that end a line.
 BLOCK_TAGS = "h[1-6]|p|div|li|br|tr|td|th|table|ul|ol|section|article"
+#: What of a page is dropped with its content, and what is a tag.
+SCRIPTS, TAGS = r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", r"(?s)<[^>]+>"
 #: Entities that common pages have; texts with others go through ``unescape_entities``.
 COMMON_ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
@@ -61,9 +63,9 @@ def html_to_markdown(page: Column, all_entities: bool = True) -> Column:
 
     ``all_entities=False`` knows the common entities only and stays free of Python.
     """
-    t = F.regexp_replace(page, r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", "")
+    t = F.regexp_replace(page, SCRIPTS, "")
     t = F.regexp_replace(t, rf"(?i)</?({BLOCK_TAGS})>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", "")
+    t = F.regexp_replace(t, TAGS, "")
     if all_entities:
         return unescape_entities(t)
     for name, char in COMMON_ENTITIES.items():
