@@ -153,7 +153,7 @@ def possible_pairs(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, D
     rank = F.expr("row_number() over (partition by class order by classes, element)")
     ranked = met.select("class", "n", "element", rank.alias("rank"), F.expr("count(*) over (partition by class)").alias("met"))
     kept = materialize(ranked.where(F.col("met") >= floor).select("class", "n", "element", (F.col("rank") <= F.col("met") - floor + 2).alias("indexed"), (floor < 2).alias("one")), "kept")
-    body = materialize(kept.groupBy("class", "n").agg(F.array_sort(F.collect_list("element")).alias("prefix")).withColumnRenamed("class", "rep"), "body")
+    body = materialize(kept.groupBy("class", "n").agg(F.array_sort(F.collect_list("element")).alias("prefix"), F.count("*").alias("weight")).withColumnRenamed("class", "rep"), "body")
 
     keys = materialize(keys_of(kept.where("indexed").select("class", "element", "one")).withColumnRenamed("class", "rep"), "keys")
     members = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "members")
@@ -171,7 +171,7 @@ def possible_pairs(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, D
         left, right = group[group.is_left], group[~group.is_left]
         return _possible_block(left, right, num, den) if len(left) and len(right) else None
 
-    found = per_sorted_group(_blocks(rest, every, "key", BLOCK, ["n", "prefix"], F.size("prefix"), BLOCK_ELEMENTS), ["key", "i", "j"], compare, "src bigint, dst bigint")
+    found = per_sorted_group(_blocks(rest, every, "key", BLOCK, ["n", "prefix"], F.col("weight"), BLOCK_ELEMENTS), ["key", "i", "j"], compare, "src bigint, dst bigint")
     return judged.where("possible").select("src", "dst"), found
 
 

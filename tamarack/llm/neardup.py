@@ -301,8 +301,9 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, seen: DataFrame, id_co
     nodes = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "nodes")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), text_col).where(F.col(text_col).isNotNull()).join(nodes, "rep", "left_semi")
     sets = materialize(shingle_sets(texts, text_col, k), "sets")
-    weight = F.length("set")
-    size = nodes.join(sets.select("rep", weight.alias("bytes")), "rep").groupBy("cluster").agg((F.count("*").alias("size")), F.sum("bytes").alias("bytes"))
+    # sizes are known beside the sets: what counts them doesn't move the sets themselves
+    nodes = materialize(nodes.join(sets.groupBy("rep").agg(F.sum(F.length("set")).alias("bytes")), "rep"), "sized")
+    size = nodes.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
     size = materialize(size.select("cluster", ((F.col("size") <= SET_BLOCK) & (F.col("bytes") <= SET_BYTES)).alias("small")), "sizes")
     full = nodes.join(size, "cluster").join(sets, "rep")
 
@@ -317,14 +318,14 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, seen: DataFrame, id_co
     spokes = large.join(centre, "cluster").where("rep <> dst").select(F.col("rep").alias("src"), "dst", "cluster")
     with_sets = spokes.join(sets.select(F.col("rep").alias("src"), F.col("set").alias("set_a")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("set").alias("set_b")), "dst")
     tried = materialize(_verify_pairs(with_sets, num, den), "tried")
-    rest = large.join(tried.where("not linked").select(F.col("src").alias("rep")).distinct(), "rep", "left_semi").select("cluster", "rep").join(sets, "rep")
-    every = large.join(rest.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "rep").join(sets, "rep")
+    rest = large.join(tried.where("not linked").select(F.col("src").alias("rep")).distinct(), "rep", "left_semi").select("cluster", "rep", "bytes").join(sets, "rep")
+    every = large.join(rest.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "rep", "bytes").join(sets, "rep")
 
     def across(_: tuple, group: pd.DataFrame) -> pd.DataFrame | None:
         left, right = group[group.is_left], group[~group.is_left]
         return _linked_block(left, right, num, den) if len(left) and len(right) else None
 
-    others = per_sorted_group(_blocks(rest, every, "cluster", SET_BLOCK, ["set"], weight, SET_BYTES), ["cluster", "i", "j"], across, "src bigint, dst bigint")
+    others = per_sorted_group(_blocks(rest, every, "cluster", SET_BLOCK, ["set"], F.col("bytes"), SET_BYTES), ["cluster", "i", "j"], across, "src bigint, dst bigint")
     return small.unionByName(tried.where("linked").select("src", "dst")).unionByName(others)
 
 
