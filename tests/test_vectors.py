@@ -4,8 +4,9 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from tamarack.functions.scoring import cosine
 from tamarack.operators import search, vectors as V
 
 SF = "/root/testdata"
@@ -69,3 +70,17 @@ def test_equal_vectors_come_by_id(spark, tmp_path):
     index = V.write_cells(df, f"{tmp_path}/i")
     got = V.cell_search(index, spark.createDataFrame([(1, hot)], "query_id bigint, query array<double>"), 10).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(0, 30, 3)) and all(r["score"] == 1.0 for r in got)
+
+
+def test_exact_search_in_blocks_on_odd_vectors(spark):
+    """Nulls, holes, NaN, zeros, other lengths, copies: as the expression scores them, with more queries than a block takes."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(300)]
+    rows += [(300 + i, v) for i, v in enumerate([None, [], [0.0] * 4, [1.0, None, 0.0, 1.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0], [3.0] * 5] + [[1.0, 2.0, 0.0, 1.0]] * 30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    queries = df.where("vec_id % 7 = 0 or vec_id >= 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = df.crossJoin(queries).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 9")
+    got = search.vector_search_batch(df, queries, 9, max_queries=20)
+    assert got.count() == want.count() == 9 * queries.count() and got.exceptAll(want).count() == 0
