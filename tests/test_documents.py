@@ -1,6 +1,7 @@
 """Chunks, units, texts, budgets and coverage on inputs whose answers are known."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -241,3 +242,11 @@ def test_fields_of_entities_need_two_exchanges_whatever_their_number(spark):
     assert plan.count("Exchange") == 2 and "Join" not in plan
     got = {r["doc_id"]: (r["f0"], r["f1"]) for r in out.collect()}
     assert got == {1: ("x", "y, x"), 2: ("", "")}
+
+
+def test_names_are_cleaned_once(spark):
+    given = [None, "", "---", "a b", "é", "é.", "_", " -x- ", "Ä/B: c?.pdf", "..a..", "\n"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(given)], "i int, n string").select("i", T.sanitize_filename(F.col("n")).alias("s"))
+    want = [None if n is None else re.sub(r"[^A-Za-z0-9._-]+", "-", n).strip("-.") or "document" for n in given]
+    assert [r.s for r in df.orderBy("i").collect()] == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
