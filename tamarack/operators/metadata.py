@@ -111,13 +111,16 @@ def coerce(value: Column, kind: str) -> Column:
 def aggregate_entities(documents: DataFrame, extractions: DataFrame, profile: Profile, enabled: bool = True) -> DataFrame:
     """doc_id and a column for each field of the profile, from extractions (doc_id, ordinal, class, text).
 
-    Whatever the number of fields there are two aggregations and no join: by document and
-    spelling, whatever the case, then by document. A values field takes the first
-    spellings in the order of its classes, then of occurrence.
+    Whatever the number of fields there is one shuffle, by document, and no join: rows of a
+    document are counted by text and class, then by spelling, whatever the case, then
+    summed up. A values field takes the first spellings in the order of its classes, then
+    of occurrence.
     """
     rows = extractions.select("doc_id", "ordinal", F.lower(strip(F.col("class"))).alias("class"), strip(F.coalesce("text", F.lit(""))).alias("text"), F.lit(1).alias("one"))
     bare = documents.select("doc_id", F.lit(None).cast(rows.schema["ordinal"].dataType).alias("ordinal"), F.lit(None).cast("string").alias("class"), F.lit("").alias("text"), F.lit(0).alias("one"))
     told = [f for f in profile.fields if f.source == "entities"]
+    # numbers alone are held for a text, so this needs no sort
+    held = rows.unionByName(bare).repartition("doc_id").groupBy("doc_id", "class", "text").agg(F.min("ordinal").alias("ordinal"), F.sum("one").alias("n"), F.max(F.col("one") == 0).alias("known"))
 
     def of(f: Field) -> Column:
         mine = F.coalesce(F.col("class").isin(*f.source_classes), F.lit(False)) & (F.col("text") != "")
@@ -127,9 +130,9 @@ def aggregate_entities(documents: DataFrame, extractions: DataFrame, profile: Pr
         place = F.array_position(F.array(*(F.lit(c) for c in f.source_classes)), F.col("class"))
         return F.min(F.when(of(f), F.struct(place.alias("place"), "ordinal", "text")))
 
-    spelt = rows.unionByName(bare).groupBy("doc_id", F.lower("text").alias("_spelling")).agg(
-        F.sum("one").alias("_count"), F.max(F.col("one") == 0).alias("_known"), F.collect_set(F.when(F.col("class") != "", F.col("class"))).alias("_classes"),
-        *((first(f) if f.mode == "values" else F.count_if(of(f))).alias(f"_{f.name}") for f in told),
+    spelt = held.groupBy("doc_id", F.lower("text").alias("_spelling")).agg(
+        F.sum("n").alias("_count"), F.max("known").alias("_known"), F.collect_set(F.when(F.col("class") != "", F.col("class"))).alias("_classes"),
+        *((first(f) if f.mode == "values" else F.sum(F.when(of(f), F.col("n")).otherwise(0))).alias(f"_{f.name}") for f in told),
     )
     shown = lambda f: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(f"_{f.name}")), 1, VALUES_SHOWN), lambda v: v["text"]), ", ")
     summed = spelt.groupBy("doc_id").agg(

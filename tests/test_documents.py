@@ -250,3 +250,12 @@ def test_names_are_cleaned_once(spark):
     want = [None if n is None else re.sub(r"[^A-Za-z0-9._-]+", "-", n).strip("-.") or "document" for n in given]
     assert [r.s for r in df.orderBy("i").collect()] == want
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_entities_are_shuffled_once_by_document(spark):
+    rows = [(1, 0, "party", "Acme"), (1, 1, "amount", "ACME"), (1, 2, "party", "acme"), (1, 3, "date", " May "), (1, 4, "date", "May"), (1, 5, "date", ""), (1, 6, "amount", "5"), (2, 0, "amount", "x"), (2, 1, "party", "X"), (4, 0, "party", "lost")]
+    df = spark.createDataFrame(rows, "doc_id int, ordinal int, class string, text string")
+    profile = metadata.normalize_profile({"fields": [{"name": "n", "type": "integer", "source": "runtime", "runtime": "extraction_count"}, {"name": "c", "type": "string", "source": "runtime", "runtime": "entity_classes"}, {"name": "p", "type": "string", "source_classes": ["party", "amount"], "mode": "csv"}, {"name": "d", "type": "integer", "source_classes": ["date"]}]})
+    made = metadata.aggregate_entities(spark.createDataFrame([(1,), (2,), (3,)], "doc_id int"), df, profile)
+    assert {r.doc_id: (r.n, r.c, r.p, r.d) for r in made.collect()} == {1: (7, "amount, date, party", "Acme, 5", 2), 2: (2, "amount, party", "X", 0), 3: (0, "", "", 0)}
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
