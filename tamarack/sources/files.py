@@ -53,8 +53,12 @@ def scanned(files: DataFrame, root: str) -> DataFrame:
     return named.where(F.col("suffix").isin(*SUFFIXES))
 
 
+def _valid(data: Column) -> Column:
+    return F.is_valid_utf8(data.cast("string"))
+
+
 def decode_any(data: Column) -> Column:
-    """Text in the first encoding that fits; the last fits everything."""
+    """Text in the first encoding that fits; the last fits everything. What is UTF-8 doesn't cross to Python."""
     def one(b):
         for e in ENCODINGS:
             try:
@@ -66,15 +70,21 @@ def decode_any(data: Column) -> Column:
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda b: None if b is None else one(b))
 
-    return F.pandas_udf(run, "string")(data)
+    return F.when(_valid(data), data.cast("string")).otherwise(F.pandas_udf(run, "string")(F.when(~_valid(data), data)))
 
 
 def decode_utf8(data: Column) -> Column:
-    """UTF-8 without the bytes that aren't."""
+    """UTF-8 without the bytes that aren't.
+
+    They become replacement characters, which are taken out; texts that have such characters
+    of their own beside them go through Python.
+    """
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    return F.pandas_udf(run, "string")(data)
+    own = F.contains(data, F.unhex(F.lit("EFBFBD")))
+    native = F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+    return F.when(_valid(data), data.cast("string")).when(~own, native).otherwise(F.pandas_udf(run, "string")(F.when(~_valid(data) & own, data)))
 
 
 def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:

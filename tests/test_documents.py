@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import scoring, text as T
 from tamarack.operators import budget, chunking, context, coverage, events, metadata, search, sync, units
+from tamarack.sources import files
 
 
 def one(spark, value, expr):
@@ -244,6 +245,28 @@ def test_fields_of_entities_need_two_exchanges_whatever_their_number(spark):
     assert got == {1: ("x", "y, x"), 2: ("", "")}
 
 
+def test_bytes_are_decoded_as_python_does(spark):
+    r = random.Random(4)
+    pieces = [b"\xff", b"\xc3", b"\xc3\xa9", b"\xe2\x82", b"\xe2\x82\xac", b"\xf0\x9f\x98", b"\xf0\x9f\x98\x80", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\xef\xbf\xbd", b"\xef\xbb\xbf", b"a", b"\n", b"\x80"]
+    given = [None, b""] + [b"".join(r.choice(pieces) for _ in range(r.randrange(1, 9))) for _ in range(800)]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(given)], "i int, b binary")
+    rows = df.select("i", files.decode_utf8(F.col("b")).alias("u"), files.decode_any(F.col("b")).alias("a")).collect()
+    for row in rows:
+        b = given[row.i]
+        assert row.u == (None if b is None else b.decode("utf-8", "ignore"))
+        assert row.a == (None if b is None else next(b.decode(e) for e in files.ENCODINGS if _decodes(b, e)))
+    # texts that are UTF-8 are not sent to Python
+    assert "is_valid_utf8" in df.select(files.decode_any(F.col("b")))._jdf.queryExecution().analyzed().toString()
+
+
+def _decodes(b, encoding):
+    try:
+        b.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 def test_names_are_cleaned_once(spark):
     given = [None, "", "---", "a b", "é", "é.", "_", " -x- ", "Ä/B: c?.pdf", "..a..", "\n"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(given)], "i int, n string").select("i", T.sanitize_filename(F.col("n")).alias("s"))
