@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of made rows that are held before they are sent on.
 SEND = 4 << 20
+#: Rows and bytes that cross to Python at once; those of the training-data operators.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of texts, however many and long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def rows_of_texts(df: DataFrame, text_col: str, make: Callable[[str], Iterable[tuple]], schema: str, size_at: int) -> DataFrame:
@@ -17,6 +25,7 @@ def rows_of_texts(df: DataFrame, text_col: str, make: Callable[[str], Iterable[t
 
     ``size_at``: the place of the row's longest text, by which rows are sent on.
     """
+    short_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text_col]
     made = T.StructType.fromDDL(schema)
     out = T.StructType([*(df.schema[c] for c in rest), *made])
