@@ -158,7 +158,7 @@ class Engine:
 
     def index_if_stale(self) -> IndexResult | None:
         """Index again if any document's file has changed since."""
-        found = files.scan(self.spark, self.root).select("relative_path", "file_mtime", "file_size")
+        found = files.listing(self.spark, self.root).select("relative_path", "file_mtime", "file_size")
         changed = sync.stale(self.documents.where("not is_deleted"), found).where("stale")
         new = found.join(self.documents.where("not is_deleted"), "relative_path", "left_anti")
         return None if changed.isEmpty() and new.isEmpty() else self.index()

@@ -1,7 +1,8 @@
 """Files as tables: scans, decoding, parsing by suffix, listings, previews.
 
-Everything reads through Spark's ``binaryFile`` source, so any file system that
-Spark knows will do. Parsers of PDF and Office files, and vision models, are given
+Folders that pyarrow knows are listed and read by tasks, level after level, so that the
+driver holds no list of files. Others are read through Spark's ``binaryFile`` source, so
+any file system that Spark knows will do. Parsers of PDF and Office files, and vision models, are given
 by the caller as functions of bytes.
 """
 
@@ -10,15 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import derive_heading, html_to_markdown, normalize_markdown, preview
+from .scratch import scratch, written
 
 #: Suffixes that are read, and encodings in the order in which they are tried.
 SUFFIXES = (".pdf", ".docx", ".doc", ".pptx", ".xlsx", ".html", ".md")
 ENCODINGS = ("utf-8", "utf-8-sig", "cp936", "gbk", "gb18030", "utf-16", "latin-1")
 TEXT_SUFFIXES = (".md", ".html")
 PREVIEW_CHARS, FILE_PREVIEW_CHARS = 1500, 3000
+#: Folders that a task lists, files and bytes that it reads, about; bytes, and rows, that it sends on at once.
+LISTED, READ_FILES, READ_BYTES, SEND_BYTES, SEND_ROWS = 2000, 20_000, 64 << 20, 4 << 20, 10_000
 
 
 def suffix(path: Column) -> Column:
@@ -32,9 +38,87 @@ def relative_to(root: str, path: Column) -> Column:
     return F.when(F.contains(bare, F.lit(base)), F.substring(bare, F.instr(bare, base) + len(base), F.length(bare))).otherwise(bare)
 
 
+def _base(fs: pafs.FileSystem, top: str, root: str) -> str:
+    """How Spark writes the path of a root."""
+    return f"file:{top}" if isinstance(fs, pafs.LocalFileSystem) else root.rstrip("/")
+
+
+def found(spark: SparkSession, root: str) -> DataFrame | None:
+    """path, length, modificationTime of all files below a root (or the one there), hidden ones left out; none is opened.
+
+    None where there is nothing, and where pyarrow or the scratch folder can't serve.
+    """
+    try:
+        fs, top = pafs.FileSystem.from_uri(root)
+        top = top.rstrip("/")
+        at = fs.get_file_info(top)
+        scratch(spark)
+    except (pa.ArrowInvalid, OSError, RuntimeError):
+        return None
+    base = _base(fs, top, root)
+    if at.type == pafs.FileType.NotFound:
+        return None
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows = []
+            for folder in batch.column("place").to_pylist():
+                for f in fs.get_file_info(pafs.FileSelector(folder)):
+                    if f.base_name[0] == "." or (f.base_name[0] == "_" and "=" not in f.base_name):
+                        continue
+                    rows.append((f.path, f.type == pafs.FileType.Directory, f.size or 0, (f.mtime_ns or 0) // 1_000_000 * 1000))
+                    if len(rows) >= SEND_ROWS:
+                        yield packed(rows)
+                        rows = []
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["place", "folder", "length", "changed"])
+
+    kinds = "place string, folder boolean, length bigint, changed bigint"
+    if at.type == pafs.FileType.File:
+        files = spark.createDataFrame([(top, False, at.size, (at.mtime_ns or 0) // 1_000_000 * 1000)], kinds)
+    else:
+        folders, files = spark.createDataFrame([(top,)], "place string").coalesce(1), spark.createDataFrame([], kinds)
+        while folders is not None:
+            level = written(folders.mapInArrow(children, kinds))
+            files, n = files.unionByName(level.where("not folder")), level.where("folder").count()
+            folders = level.where("folder").select("place").repartition(max(min(n, spark.sparkContext.defaultParallelism), n // LISTED)) if n else None
+    return files.select(F.concat(F.lit(base), F.substring("place", len(top) + 1, F.length("place"))).alias("path"), "length", F.timestamp_micros("changed").alias("modificationTime"))
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """Rows of ``found`` with ``content``."""
+    spark = files.sparkSession
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(root)
+        top = top.rstrip("/")
+        skip = len(_base(fs, top, root))
+        for batch in batches:
+            at, data, held = 0, [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                with fs.open_input_stream(top + path[skip:]) as f:
+                    data.append(f.read())
+                held += len(data[-1])
+                if held >= SEND_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(at, len(data))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
+                    at, data, held = i + 1, [], 0
+
+    spread = files.repartition(max(min(n, spark.sparkContext.defaultParallelism), n // READ_FILES, size // READ_BYTES, 1), "path")
+    return spread.mapInArrow(run, "path string, length bigint, modificationTime timestamp, content binary")
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """relative_path, path, suffix, file_size, file_mtime, file_hash, bytes of the supported files, in no order."""
-    return scanned(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root), root)
+    listed = found(spark, root) if recursive else None
+    if listed is None:
+        return scanned(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root), root)
+    return scanned(contents(listed.where(suffix(F.col("path")).isin(*SUFFIXES)), root), root)
 
 
 def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
@@ -44,7 +128,9 @@ def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, path, file_size, file_mtime of the supported files; none is opened."""
-    return scan(spark, root).select("relative_path", "path", "file_size", "file_mtime")
+    listed = found(spark, root)
+    files = scan(spark, root) if listed is None else scanned(listed.withColumn("content", F.lit(None).cast("binary")), root)
+    return files.select("relative_path", "path", "file_size", "file_mtime")
 
 
 def scanned(files: DataFrame, root: str) -> DataFrame:

@@ -1,25 +1,28 @@
 """Objects: files below a root, by keys like ``documents/name/pages/page-0001.md``.
 
-``write_objects`` is a Python data source. Its tasks stage files where no reader looks;
-a commit first writes down which prefixes it replaces, then moves each one's old files
-away and the staged ones in, folder by folder; an abort removes what was staged. A
-commit that was cut off after it was written down is finished by ``recover``, and what
-was staged without one is removed by it. Readers are Spark's ``binaryFile`` source, so
-listings never open a file.
+``write_objects`` is a Python data source. Its tasks stage files where no reader looks,
+with a list of their prefixes beside them; a commit first writes down which tasks' files
+it publishes, then moves all old files of their prefixes away and the staged ones in,
+folder by folder; an abort removes what was staged. A commit that was cut off after it
+was written down is finished by ``recover``, and what was staged without one is removed
+by it. Lists are read some prefixes at a time, so the driver holds few. Readers list by
+tasks (``files.found``), and listings never open a file.
 
 Keys are relative and stay below the root: absolute ones, ``..``, empty parts and names
 that begin with a dot or an underscore (which Spark's readers don't see) are refused,
-and the write fails. All rows of a prefix are written by one task; a prefix without rows
-is left as it is. Roots are those that pyarrow knows (local and mounted folders, HDFS,
+and the write fails. Rows are dealt by ranges of prefix and key, so a large prefix is
+written by many tasks and a key by one; a prefix without rows is left as it is. Roots are those that pyarrow knows (local and mounted folders, HDFS,
 S3); where a folder can't be moved, its files are, one by one.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -28,11 +31,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .files import relative_to
+from .files import contents, found, relative_to
 
-STAGING, MARK = ".staging", "COMMIT"
-#: Folders that are moved at once.
-MOVERS = 16
+STAGING, MARK, AWAY, LIST = ".staging", "COMMIT", "AWAY", "prefixes"
+#: Folders that are moved at once, and that are read of the lists at once.
+MOVERS, HELD = 16, 4096
 #: Age, in seconds, at which files that were staged without a commit are given up.
 ABANDONED = 24 * 3600.0
 
@@ -71,9 +74,13 @@ def _move(fs: pafs.FileSystem, old: str, new: str) -> None:
         except (OSError, pa.ArrowNotImplementedError):
             if _kind(fs, old) != pafs.FileType.Directory:
                 raise
+    made = set()
     for f in _files(fs, old):
         target = new + f.removeprefix(old)
-        fs.create_dir(target.rpartition("/")[0], recursive=True)
+        folder = target.rpartition("/")[0]
+        if folder not in made:
+            fs.create_dir(folder, recursive=True)
+            made.add(folder)
         fs.move(f, target)
     fs.delete_dir(old)
 
@@ -81,7 +88,7 @@ def _move(fs: pafs.FileSystem, old: str, new: str) -> None:
 @dataclass
 class Staged(WriterCommitMessage):
     folder: str
-    prefixes: list[str]
+    prefixes: int
 
 
 class _Writer(DataSourceArrowWriter):
@@ -92,6 +99,7 @@ class _Writer(DataSourceArrowWriter):
         fs, root = opened(self.root)
         # each attempt of a task has a folder of its own: of two, one is committed
         folder, prefixes, keys = f"{root}/{STAGING}/{self.name}/{uuid.uuid4().hex}", {}, set()
+        made = set()
         for batch in iterator:
             for prefix, key, data in zip(*(batch.column(c).to_pylist() for c in ("prefix", "object_key", "data")), strict=True):
                 prefix, key = checked(prefix), checked(key)
@@ -100,18 +108,24 @@ class _Writer(DataSourceArrowWriter):
                 keys.add(key)
                 number = prefixes.setdefault(prefix, len(prefixes))
                 path = f"{folder}/{number}/{key.removeprefix(prefix + '/')}"
-                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                if (parent := path.rpartition("/")[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with fs.open_output_stream(path) as out:
                     out.write(data or b"")
-        return Staged(folder.removeprefix(root + "/"), list(prefixes))
+        if prefixes:
+            with fs.open_output_stream(f"{folder}/{LIST}") as out:
+                for prefix in prefixes:
+                    out.write(json.dumps(prefix).encode() + b"\n")
+        return Staged(folder.removeprefix(root + "/"), len(prefixes))
 
     def commit(self, messages: list[Staged | None]) -> None:
         fs, root = opened(self.root)
         place = f"{root}/{STAGING}/{self.name}"
-        moves = [(f"{m.folder}/{i}", p) for m in messages if m for i, p in enumerate(m.prefixes)]
-        if moves:
+        folders = [m.folder for m in messages if m and m.prefixes]
+        if folders:
             with fs.open_output_stream(f"{place}/{MARK}.draft") as out:
-                out.write(json.dumps(moves).encode())
+                out.write(json.dumps({"folders": folders}).encode())
             fs.move(f"{place}/{MARK}.draft", f"{place}/{MARK}")
             _publish(fs, root, place)
 
@@ -122,24 +136,38 @@ class _Writer(DataSourceArrowWriter):
 
 
 def _publish(fs: pafs.FileSystem, root: str, place: str) -> None:
-    """Do what a commit has written down; what is done already is seen by its staged files being gone."""
+    """Do what a commit has written down: all old files away, then the staged ones in; what is done already is seen by its files being gone."""
     with fs.open_input_stream(f"{place}/{MARK}") as f:
-        moves = json.loads(f.read())
-    by_prefix: dict[str, list[str]] = {}
-    for staged, prefix in moves:
-        by_prefix.setdefault(prefix, []).append(staged)
-
-    def replace(item: tuple[str, list[str]]) -> None:
-        prefix, staged = item
-        old = f"{place}/old/{prefix}"
-        left = [s for s in staged if _kind(fs, f"{root}/{s}") == pafs.FileType.Directory]
-        if len(left) == len(staged) and _kind(fs, old) == pafs.FileType.NotFound and _kind(fs, f"{root}/{prefix}") == pafs.FileType.Directory:
-            _move(fs, f"{root}/{prefix}", old)
-        for s in left:
-            _move(fs, f"{root}/{s}", f"{root}/{prefix}")
+        folders = json.loads(f.read())["folders"]
+
+    def staged() -> Iterator[tuple[str, str]]:
+        for folder in folders:
+            with io.TextIOWrapper(fs.open_input_stream(f"{root}/{folder}/{LIST}"), "utf-8") as f:
+                for i, line in enumerate(f):
+                    yield f"{root}/{folder}/{i}", json.loads(line)
+
+    def away(prefix: str, _: list[str]) -> None:
+        if _kind(fs, f"{root}/{prefix}") == pafs.FileType.Directory:
+            _move(fs, f"{root}/{prefix}", f"{place}/old/{prefix}")
+
+    def into(prefix: str, parts: list[str]) -> None:
+        for s in parts:
+            if _kind(fs, s) == pafs.FileType.Directory:
+                _move(fs, s, f"{root}/{prefix}")
+
+    def every(work: Callable[[str, list[str]], None], pool: ThreadPoolExecutor) -> None:
+        for some in itertools.batched(staged(), HELD):
+            by_prefix: dict[str, list[str]] = {}
+            for s, prefix in some:
+                by_prefix.setdefault(prefix, []).append(s)
+            list(pool.map(work, by_prefix, by_prefix.values()))
 
     with ThreadPoolExecutor(MOVERS) as pool:
-        list(pool.map(replace, by_prefix.items()))
+        # once something is in, nothing more goes away
+        if _kind(fs, f"{place}/{AWAY}") == pafs.FileType.NotFound:
+            every(away, pool)
+            fs.open_output_stream(f"{place}/{AWAY}").close()
+        every(into, pool)
     fs.delete_dir(place)
 
 
@@ -163,7 +191,7 @@ def write_objects(rows: DataFrame, root: str) -> None:
     spark.dataSource.register(ObjectSink)
     fs, path = opened(root)
     fs.create_dir(path, recursive=True)
-    rows.select("prefix", "object_key", F.col("data").cast("binary").alias("data")).repartition("prefix").write.format("tamarack_objects").option("root", root).mode("append").save()
+    rows.select("prefix", "object_key", F.col("data").cast("binary").alias("data")).repartitionByRange("prefix", "object_key").write.format("tamarack_objects").option("root", root).mode("append").save()
 
 
 def recover(root: str, abandoned: float = ABANDONED) -> int:
@@ -179,25 +207,25 @@ def recover(root: str, abandoned: float = ABANDONED) -> int:
     return done
 
 
-def _listed(spark: SparkSession, root: str, prefix: str) -> DataFrame | None:
-    fs, path = opened(root)
-    below = f"{path}/{checked(prefix)}" if prefix else path
-    if _kind(fs, below) == pafs.FileType.NotFound:
-        return None
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{prefix}" if prefix else root)
-    return found.withColumn("object_key", relative_to(path, F.col("path")))
+def _place(root: str, prefix: str) -> str:
+    return f"{root.rstrip('/')}/{checked(prefix)}" if prefix else root
+
+
+def _listed(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    listed = found(spark, _place(root, prefix))
+    return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp") if listed is None else listed
 
 
 def heads(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """object_key, size, modified of the objects below a prefix (or of the one with that key), contents unread."""
-    found = _listed(spark, root, prefix)
-    return spark.createDataFrame([], "object_key string, size bigint, modified timestamp") if found is None else found.select("object_key", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    key = relative_to(opened(root)[1], F.col("path"))
+    return _listed(spark, root, prefix).select(key.alias("object_key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def bodies(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """object_key, data of the objects below a prefix."""
-    found = _listed(spark, root, prefix)
-    return spark.createDataFrame([], "object_key string, data binary") if found is None else found.select("object_key", F.col("content").alias("data"))
+    key = relative_to(opened(root)[1], F.col("path"))
+    return contents(_listed(spark, root, prefix), _place(root, prefix)).select(key.alias("object_key"), F.col("content").alias("data"))
 
 
 def _pruned(fs: pafs.FileSystem, root: str, folder: str) -> None:
@@ -231,7 +259,7 @@ def delete_prefix(root: str, prefix: str) -> int:
     kind = _kind(fs, target)
     if kind == pafs.FileType.NotFound:
         return 0
-    n = 1 if kind == pafs.FileType.File else len(_files(fs, target))
+    n = 1 if kind == pafs.FileType.File else sum(f.type == pafs.FileType.File for f in fs.get_file_info(pafs.FileSelector(target, recursive=True)))
     fs.delete_file(target) if kind == pafs.FileType.File else fs.delete_dir(target)
     _pruned(fs, path, target.rpartition("/")[0])
     return n

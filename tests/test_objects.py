@@ -86,3 +86,19 @@ def test_page_bodies(spark, tmp_path):
     assert got == {"documents/My-doc.pdf/pages/page-0001.md": b"a\n", "documents/My-doc.pdf/pages/page-0002.md": b"b\n", "documents/x.md/pages/page-0001.md": b"late\n"}
     O.write_objects(pages.page_objects(units.limit(0), names), root)
     assert len(keys(spark, root)) == 3
+
+
+def test_a_large_prefix_is_written_by_many_tasks_and_listed_by_tasks(spark, tmp_path):
+    root = f"{tmp_path}/o"
+    many = spark.range(400).select(F.lit("d").alias("prefix"), F.format_string("d/%d/%03d.md", F.col("id") % 3, F.col("id")).alias("object_key"), F.encode(F.repeat(F.col("id").cast("string"), F.lit(2000)), "utf-8").alias("data"))
+    for _ in range(2):  # the second replaces the first
+        O.write_objects(many, root)
+    assert O.heads(spark, root).count() == 400 and os.listdir(f"{root}/{O.STAGING}") == []
+    assert not any("binaryFile" in x for x in (O.heads(spark, root)._jdf.queryExecution().toString(), O.bodies(spark, root)._jdf.queryExecution().toString()))
+    got, want = O.bodies(spark, root).select("object_key", "data"), many.select("object_key", "data")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    twice = many.unionByName(many.where("object_key = 'd/0/399.md'"))
+    with pytest.raises(Exception, match="comes twice"):
+        O.write_objects(twice, root)
+    staged = O._Writer(root).write(iter(many.limit(3).toArrow().to_batches()))
+    assert staged.prefixes == 1  # a number: names of prefixes don't go to the driver
