@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from ..functions.arrow import short_batches
 from ..functions.scoring import keyword_score, page_terms, query_terms
 from .filters import Condition
 from .pages import page_search
@@ -38,6 +39,8 @@ from .search import active
 
 #: Rows of a text file, and rows of a block whose postings are made at once.
 BLOCK_ROWS, PIECE_ROWS = 8192, 2048
+#: Grams of rows, about, at which a piece ends before.
+PIECE_GRAMS = 1 << 20
 #: Buckets of postings.
 BUCKETS = 61
 #: Blocks that the first step looks at, and that any looks at.
@@ -74,7 +77,7 @@ def _postings(texts: DataFrame) -> DataFrame:
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, piece, n = None, 0, 0
+        block, piece, n, size = None, 0, 0, 0
         held: tuple[list, list] = ([], [])
 
         def flushed() -> Iterator[pa.RecordBatch]:
@@ -86,24 +89,26 @@ def _postings(texts: DataFrame) -> DataFrame:
                 code, row, count = code[order], row[order], count[order]
                 starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
                 ends = pa.array(np.r_[starts, len(code)].astype(np.int32))
-                size = len(starts)
-                columns = [code[starts], np.full(size, number, np.int32), np.full(size, block), np.full(size, piece), np.maximum.reduceat(count, starts)]
+                m = len(starts)
+                columns = [code[starts], np.full(m, number, np.int32), np.full(m, block), np.full(m, piece), np.maximum.reduceat(count, starts)]
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (row, count)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), *lists], schema=schema)
                 parts.clear()
 
         for batch in batches:
             for b, r, *fields in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "text", "heading")), strict=True):
-                if b != block or n >= PIECE_ROWS:
+                if b != block or n >= PIECE_ROWS or size >= PIECE_GRAMS:
                     yield from flushed()
-                    block, piece, n = b, r, 0
+                    block, piece, n, size = b, r, 0, 0
                 n += 1
                 for parts, text in zip(held, fields, strict=True):
                     if text and len(text) > 2:
                         code, count = np.unique(grams(text), return_counts=True)
                         parts.append((code, np.full(len(code), r, np.int32), count.astype(np.int32)))
+                        size += len(code)
         yield from flushed()
 
+    short_batches(texts.sparkSession)
     return texts.mapInArrow(run, POSTINGS)
 
 

@@ -120,3 +120,11 @@ def test_engine_searches_its_index(spark, tmp_path):
     assert engine.store.read("search_segments").count() == 2 and engine.store.read("search_removed").count() == 0
     assert [r["relative_path"] for r in engine.search("needleword", refresh=False).collect()] == ["b.md"]
     assert [r["relative_path"] for r in engine.search_pages("needleword").collect()] == ["b.md"]
+
+
+def test_a_piece_ends_by_its_grams_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "PIECE_GRAMS", 300)
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.format_string("p%03d", F.col("id")).alias("relative_path"), F.lit(0).alias("position"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    I.write_segment(rows, f"{tmp_path}/s")
+    held = spark.read.parquet(f"{tmp_path}/s/postings").select("block", "piece", F.explode("rows").alias("row")).distinct()
+    assert held.groupBy("block", "piece").count().agg(F.max("count")).first()[0] <= 4 and held.select("block", "row").distinct().count() == 40
