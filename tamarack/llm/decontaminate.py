@@ -34,13 +34,18 @@ rows; rows without an id are compared and have a null id; further columns are ig
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import WordHashes, map_frames, materialize, read, short_batches
 from .latent import orthonormal
@@ -50,6 +55,10 @@ FEATURES = 1 << FEATURE_BITS
 STEP, SHORT_BLOCKS, LONG_BLOCKS, SHORT_ITEM, PIECE, TINY = 16, 2, 3, 24, 32, 16
 COSINE, COPY, PARAPHRASE, ANSWER, SHARED = 0.4, 0.8, 0.5, 0.8, 0.25
 ITEMS = 4096
+#: Places of a feature in a part of the passages from which they are summed by a product of matrices.
+OFTEN = 64
+#: Batches whose words are coded together.
+TOGETHER = 4
 #: Singular values, as a share of the largest, below which a direction is taken for rounding.
 LEAST_VALUE = 3e-3
 _EDGES = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`"
@@ -110,16 +119,55 @@ def _passages(grid: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.array(rows, np.uint16).reshape(-1, LONG_BLOCKS * STEP)
 
 
+def _sums_by_feature(rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, for each the sum of y's rows over its places in ``rows``).
+
+    Features of many places are a matrix of counts times y; of the others all first
+    places are added, then all second ones: sums grow in place, most places first.
+    """
+    m, width = rows.shape
+    order = np.argsort(rows.ravel(), kind="stable")
+    f, who = rows.ravel()[order], order // width
+    heads = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+    counts = np.diff(np.r_[heads, len(f)])
+    by = np.argsort(-counts, kind="stable")
+    often = int((counts > OFTEN).sum())
+    out = np.zeros((len(heads), y.shape[1]), np.float32)
+    if often:
+        number = np.full(len(heads), -1)
+        number[by[:often]] = np.arange(often)
+        number = np.repeat(number, counts)
+        here = number >= 0
+        out[:often] = np.bincount(number[here] * m + who[here], minlength=often * m).reshape(often, m).astype(np.float32) @ y
+    first, least = heads[by[often:]], -counts[by[often:]]
+    for k in range(int(-least[0]) if len(least) else 0):
+        n = int(np.searchsorted(least, -k, "left"))  # those with more than k places
+        out[often : often + n] += y[who[first[:n] + k]]
+    return f[heads[by]], out
+
+
 def coded(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, text, features (little-endian uint16, one for each word): words are hashed once for all passes."""
+    """id, text, features (little-endian uint16, one for each word): words are hashed once for all passes, those of a batch once each."""
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, text string, features binary"
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cores = Cores()
-        for pdf in batches:
-            yield pdf.assign(features=[_feature(cores.of_text(t)).astype("<u2").tobytes() for t in pdf.text])
-
-    return docs.select(id_col, "text").transform(map_frames, run, f"`{id_col}` {kind}, text string, features binary")
+        for some in itertools.batched(batches, TOGETHER):  # the more texts, the fewer distinct words each adds
+            words = [pc.ascii_split_whitespace(pc.fill_null(batch.column(1), "")) for batch in some]
+            encoded = pa.chunked_array([w.flatten() for w in words]).dictionary_encode()
+            distinct = encoded.chunk(0).dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            feature = _feature(cores.of(distinct)).astype("<u2")
+            real = distinct != b""  # a text's ends can give empty words
+            for batch, split, chunk in zip(some, words, encoded.chunks, strict=True):
+                numbers = chunk.indices.to_numpy()
+                kept = real[numbers]
+                ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]]
+                data = [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(feature[numbers[kept]].tobytes())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.BinaryArray.from_buffers(pa.binary(), len(split), data)], schema=fields)
+
+    return docs.select(id_col, "text").mapInArrow(run, schema)
 
 
 def passage_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
@@ -170,10 +218,8 @@ def latent_space(table: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
                 counts = np.diff(np.r_[runs, flat.size])
                 squares = np.bincount(runs // part.shape[1], (counts * weight[same.ravel()[runs]]) ** 2, len(part))
                 y /= np.maximum(squares, 1e-12)[:, None]
-                order = np.argsort(flat, kind="stable")
-                f = flat[order]
-                heads = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                total[f[heads]] += np.add.reduceat(y.astype(np.float32)[order // part.shape[1]], heads, axis=0)
+                found, sums = _sums_by_feature(part, y.astype(np.float32))
+                total[found] += sums
         total = total[:FEATURES] * idf[:, None]
         yield pd.DataFrame({"piece": range(FEATURES // piece), "data": [total[i : i + piece].astype("<f4").tobytes() for i in range(0, FEATURES, piece)]})
 
@@ -280,6 +326,13 @@ class Items:
         pairs, times = np.unique(f * max(1, len(self.tiny)) + k, return_counts=True)
         np.maximum.at(self.most, pairs // max(1, len(self.tiny)), times)
 
+    @functools.cached_property
+    def has(self) -> np.ndarray:
+        """Whether a piece has a feature, by piece and feature; made by the task, not sent to it."""
+        out = np.zeros(len(self.owner) * (FEATURES + 1), bool)
+        out[self.cells[:-1]] = True
+        return out
+
     def candidates(self, grid: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(block, item, cosine) of passages, named by their first block, that are close to a piece of an item and share words with it.
 
@@ -304,12 +357,15 @@ class Items:
                 i, j = hit // c.shape[1], hit % c.shape[1]
                 for a in range(0, len(i), 16_384):
                     b, it = first[i[a : a + 16_384]], which[j[a : a + 16_384]]
-                    words = np.sort(np.concatenate([grid[b + k] for k in range(many)], axis=1), axis=1)
-                    fresh = np.ones(words.shape, bool)
-                    fresh[:, 1:] = words[:, 1:] != words[:, :-1]
-                    wanted = it[:, None] * (FEATURES + 1) + words.astype(np.int64)
-                    at_cell = np.searchsorted(self.cells, wanted)
-                    keep = (self.shares[at_cell] * (fresh & (self.cells[at_cell] == wanted))).sum(axis=1) >= SHARED
+                    places, of = np.unique(b, return_inverse=True)  # a passage's words are sorted once for all its pieces
+                    words = np.sort(np.concatenate([grid[places + k] for k in range(many)], axis=1), axis=1)
+                    words[:, 1:][words[:, 1:] == words[:, :-1]] = FEATURES  # no piece has it
+                    wanted = np.take(words.astype(np.int64), of, axis=0)
+                    wanted += it[:, None] * (FEATURES + 1)
+                    held = np.flatnonzero(np.take(self.has, wanted))
+                    weight = np.zeros(wanted.shape, np.float32)
+                    weight.ravel()[held] = self.shares[np.searchsorted(self.cells, wanted.ravel()[held])]
+                    keep = weight.sum(axis=1) >= SHARED
                     found.append((b[keep], self.owner[it[keep]], c.ravel()[hit[a : a + 16_384]][keep]))
         return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))  # type: ignore[return-value]
 

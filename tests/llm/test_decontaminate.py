@@ -172,3 +172,25 @@ def test_matches_against_a_comparison_of_everything(spark, docs):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]) for x in D.matches(docs(rows), bench).collect()}
     assert len(want) > 60 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_sums_by_feature_of_few_and_of_many_places():
+    rng = np.random.default_rng(3)
+    for high, n in ((40, 200), (8000, 200), (9, 1)):
+        rows = np.minimum(rng.integers(0, high, (n, 48)), rng.integers(0, high, (n, 48))).astype(np.uint16)
+        y = rng.standard_normal((n, 5)).astype(np.float32)
+        want = np.zeros((8001, 5))
+        np.add.at(want, rows, y[:, None].astype(np.float64))
+        found, sums = D._sums_by_feature(rows, y)
+        assert sorted(found) == sorted(set(rows.ravel().tolist()))
+        got = np.zeros((8001, 5))
+        got[found] = sums
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_features_are_those_of_the_words_whatever_the_white_space(spark):
+    texts = ["", None, " a  b ", "\x00a\x1cb\tc\x0bd\x0ce\rf\ng", "é x x X", "a b c " * 50, "   "]
+    cores = D.Cores()
+    want = [(i, t, D._feature(cores.of_text(t)).astype("<u2").tobytes()) for i, t in enumerate(texts)]
+    coded = D.coded(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), "doc_id")
+    assert sorted((r["doc_id"], r["text"], bytes(r["features"])) for r in coded.collect()) == want
