@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamarack.llm.common import materialize, read, scratch, short_batches
+from tamarack.llm.common import finished, read, scratch, short_batches
 from tamarack.llm.decontaminate import decontaminate
 from tamarack.llm.neardup import near_duplicates
 from tamarack.llm.packing import packed_documents
@@ -37,12 +37,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id are one document; that with the least text stays.
     """
-    found = materialize(near_duplicates(docs, k=5, num=80, den=100).select("doc_id", "kept"), "kept")
+    found = finished(spark, lambda: near_duplicates(docs, k=5, num=80, den=100).select("doc_id", "kept"), "kept")
     dropped = found.where("not kept").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(dropped, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(one)
+    # texts move once, by their ids, for the join and for rows that share one; "merge", as ids to broadcast grow with the table
+    kept = docs.where("doc_id is not null").select(COLUMNS).join(dropped.hint("merge"), "doc_id", "left_anti")
+    one = kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return docs.where("doc_id is null").select(COLUMNS).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

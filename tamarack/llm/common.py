@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import functools
 import shutil
 import tempfile
@@ -47,6 +48,8 @@ def _own_scratch() -> str:
 
 
 _made: set[str] = set()
+#: Folders that were made since ``finished`` began, where one is at work.
+_on_the_way: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_on_the_way", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -58,6 +61,8 @@ def scratch(spark: SparkSession) -> str:
     if not _made:
         atexit.register(_forget)
     _made.add(folder)
+    if (made := _on_the_way.get()) is not None:
+        made.append(folder)
     return folder
 
 
@@ -98,6 +103,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; scratch tables that were made on the way are removed."""
+    made: list[str] = []
+    token = _on_the_way.set(made)
+    try:
+        df = make()
+    finally:
+        _on_the_way.reset(token)
+    out = materialize(df, name)
+    for folder in made:
+        discard(spark, folder)
+        _made.discard(folder)
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     r"""The words ``[^\x20\x09-\x0D]+`` as UTF-8 bytes: bytes.split() cuts at exactly these."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, map_frames, materialize, read, short_batches
+from .common import WordHashes, finished, map_frames, materialize, read, short_batches
 from .latent import orthonormal
 
 FEATURE_BITS, RANK, OVERSAMPLE = 13, 64, 8
@@ -493,8 +493,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that match an item; rows without an id stay."""
-    found = matches(docs, benchmark, id_col).select(id_col).distinct()
+    """docs without those that match an item; rows without an id stay.
+
+    Ids found are a table, so what the search wrote is gone before texts are moved, and few ids move none.
+    """
+    found = finished(docs.sparkSession, lambda: matches(docs, benchmark, id_col).select(id_col).distinct(), "found")
     return docs.join(found, id_col, "left_anti").select(docs.columns)
 
 

@@ -405,6 +405,7 @@ def fit_toxicity(sample: list[tuple[str, int]], share: float | None = None, epoc
             if epoch % 3 == 2 or epoch == passes - 1:
                 gates = net.vocabulary_gates(vocabulary)
                 value = np.concatenate([net.forward(gates, flat[at : at + 2048]) for at in range(0, len(flat), 2048)])
+                del gates  # else it lies beside the next one while that is made
 
         # Platt's scaling of the highest window, weighted to the share in use
         top, known = value[best()].astype(np.float64), y

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+from tamarack.llm import common
 from tamarack.llm.packing import tokenizer
 
 from .test_neardup import brute
@@ -98,3 +99,19 @@ def test_run_is_its_stages_one_after_another(spark, tmp_path):
     assert out.columns == kept.columns and sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, kept.select(columns).collect()))
     ids = {x["doc_id"] for x in out.collect()}
     assert 200 in ids and 7 not in ids and not ids & set(range(100, 110))
+
+
+def test_texts_move_once_and_tables_on_the_way_are_removed(spark, tmp_path):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, text(r, 40), "en", "s", 1) for i in range(30)] + [(40, "a b c d e f", "en", "s", 1), (41, "a b c d e f", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text(r, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[1:3]:
+        before = set(common._made)
+        out = stage(spark, docs, str(tmp_path))
+        assert len(common._made - before) == 1, name  # what the stage reads
+        if name == "near_duplicates":
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+            assert sorted(x["doc_id"] for x in out.collect()) == [*range(30), 40]
