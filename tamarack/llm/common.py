@@ -222,7 +222,7 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
     """node, component (smallest reachable node) of undirected edges (src, dst), both bigint.
 
     Alternates large-star and small-star steps until nothing changes, or fails where
-    ``max_rounds`` are not enough; each round is a written table. Sums of hashes, not rows, come to the driver.
+    ``max_rounds`` are not enough; each step is a written table, which keeps plans short. Sums of hashes, not rows, come to the driver.
     """
     def min_of(directed: DataFrame) -> DataFrame:
         return directed.groupBy("u").agg(F.min("v").alias("m"))
@@ -239,7 +239,7 @@ def connected_components(edges: DataFrame, max_rounds: int | None = None) -> Dat
         rounds += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = min_of(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = min_of(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, "edges")

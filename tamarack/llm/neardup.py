@@ -273,20 +273,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "members")
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     pivots = members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
-    star = members.join(pivots, "key").select("key", "rep", "pivot")
+    # ids that are used again are written: a plan that holds a step several times has as many exchanges, each with a thread and memory of the driver
+    star = materialize(members.join(pivots, "key").select("key", "rep", "pivot"), "star")
 
     of = lambda side: classes.select(F.col("rep").alias("src" if side == "a" else "dst"), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}"))
     pairs = star.where("rep <> pivot").select(F.col("rep").alias("src"), F.col("pivot").alias("dst")).distinct()
     judged = materialize(_judge_pairs(pairs.join(of("a"), "src").join(of("b"), "dst"), threshold), "judged")
-    doubtful = star.join(judged.where("not likely").select(F.col("src").alias("rep"), F.col("dst").alias("pivot")), ["rep", "pivot"]).select("key", "rep")
-    body = classes.select("rep", "n", "regs")
-    rest, every = doubtful.join(body, "rep"), members.join(doubtful.select("key").distinct(), "key", "left_semi").select("key", "rep").join(body, "rep")
+    rest = materialize(star.join(judged.where("not likely").select(F.col("src").alias("rep"), F.col("dst").alias("pivot")), ["rep", "pivot"]).select("key", "rep"), "rest")
+    every = materialize(star.join(rest.select("key").distinct(), "key", "left_semi").select("key", "rep"), "every")
 
     def compare(_: tuple, group: pd.DataFrame) -> pd.DataFrame | None:
         left, right = group[group.is_left], group[~group.is_left]
         return _likely_block(left, right, threshold) if len(left) and len(right) else None
 
-    found = per_sorted_group(_blocks(rest, every, "key", SKETCH_BLOCK, ["n", "regs"]), ["key", "i", "j"], compare, "src bigint, dst bigint")
+    met = _blocks(rest, every, "key", SKETCH_BLOCK, []).join(classes.select("rep", "n", "regs"), "rep")
+    found = per_sorted_group(met, ["key", "i", "j"], compare, "src bigint, dst bigint")
     clusters = connected_components(judged.where("likely").select("src", "dst").unionByName(found))
     links = confirmed_links(docs, clusters, judged.where("likely"), id_col, text_col, k, num, den)
 
@@ -304,28 +305,29 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, seen: DataFrame, id_co
     # sizes are known beside the sets: what counts them doesn't move the sets themselves
     nodes = materialize(nodes.join(sets.groupBy("rep").agg(F.sum(F.length("set")).alias("bytes")), "rep"), "sized")
     size = nodes.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
-    size = materialize(size.select("cluster", ((F.col("size") <= SET_BLOCK) & (F.col("bytes") <= SET_BYTES)).alias("small")), "sizes")
-    full = nodes.join(size, "cluster").join(sets, "rep")
+    size = size.select("cluster", ((F.col("size") <= SET_BLOCK) & (F.col("bytes") <= SET_BYTES)).alias("small"))
+    nodes = materialize(nodes.join(size, "cluster"), "sizes")
 
     def within(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _linked_block(group, group, num, den)
 
-    small = per_sorted_group(full.where("small").select("cluster", "rep", "set"), ["cluster"], within, "src bigint, dst bigint")
+    small = per_sorted_group(nodes.where("small").select("cluster", "rep").join(sets, "rep"), ["cluster"], within, "src bigint, dst bigint")
 
-    large = nodes.join(size.where("not small"), "cluster")
+    large = nodes.where("not small").select("cluster", "rep", "bytes")
     degree = seen.groupBy(F.col("dst").alias("rep")).agg(F.count("*").alias("degree"))
     centre = large.join(degree, "rep", "left").groupBy("cluster").agg(F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).alias("dst"))
     spokes = large.join(centre, "cluster").where("rep <> dst").select(F.col("rep").alias("src"), "dst", "cluster")
     with_sets = spokes.join(sets.select(F.col("rep").alias("src"), F.col("set").alias("set_a")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("set").alias("set_b")), "dst")
     tried = materialize(_verify_pairs(with_sets, num, den), "tried")
-    rest = large.join(tried.where("not linked").select(F.col("src").alias("rep")).distinct(), "rep", "left_semi").select("cluster", "rep", "bytes").join(sets, "rep")
-    every = large.join(rest.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "rep", "bytes").join(sets, "rep")
+    rest = materialize(large.join(tried.where("not linked").select(F.col("src").alias("rep")).distinct(), "rep", "left_semi"), "rest")
+    every = materialize(large.join(rest.select("cluster").distinct(), "cluster", "left_semi"), "every")
 
     def across(_: tuple, group: pd.DataFrame) -> pd.DataFrame | None:
         left, right = group[group.is_left], group[~group.is_left]
         return _linked_block(left, right, num, den) if len(left) and len(right) else None
 
-    others = per_sorted_group(_blocks(rest, every, "cluster", SET_BLOCK, ["set"], F.col("bytes"), SET_BYTES), ["cluster", "i", "j"], across, "src bigint, dst bigint")
+    met = _blocks(rest, every, "cluster", SET_BLOCK, [], F.col("bytes"), SET_BYTES).join(sets, "rep")
+    others = per_sorted_group(met, ["cluster", "i", "j"], across, "src bigint, dst bigint")
     return small.unionByName(tried.where("linked").select("src", "dst")).unionByName(others)
 
 

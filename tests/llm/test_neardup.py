@@ -105,3 +105,21 @@ def test_components_that_need_more_rounds_are_not_returned(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src bigint, dst bigint")
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=1)
+
+
+def test_plans_stay_short(docs, spark):
+    """Joins and exchanges of a plan each take threads and memory of the driver, so no plan holds a step several times."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, texts = store.executionsCount(), drifting(40, 5)
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # plans as they are made, whatever the tables hold
+    try:
+        out = N.near_duplicates(docs(list(enumerate(texts)))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute(list(enumerate(texts)), 5, 80, 100)
+    found = []
+    executions = store.executionsList(int(before), 1000)
+    for i in range(executions.size()):
+        nodes = store.planGraph(executions.apply(i).executionId()).allNodes()
+        found.append(sum(nodes.apply(j).name().endswith("Join") for j in range(nodes.size())))
+    assert len(found) > 10 and 0 < max(found) <= 10, found  # 24 where ids weren't written
