@@ -21,7 +21,7 @@ def page_manifest(units: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def page_objects(units: DataFrame, documents: DataFrame) -> DataFrame:
-    """prefix, object_key, data: the bodies of page_manifest's pages, for ``sources.objects.write_objects``.
+    """prefix, object_key, data: the bodies of page_manifest's pages, for ``sources.packs`` or ``sources.objects.write_objects``.
 
     Documents whose names are made the same share a prefix; that with the largest id has it.
     """

@@ -43,12 +43,13 @@ SCHEMAS = {
     "session_events": _table(session_id=_L, event_id=_L, ts=_TS, type=_S, data=_S),
     "search_segments": _table(kind=_S, path=_S, number=_I),
     "search_removed": _table(kind=_S, doc_id=_S, up_to=_I),
+    "object_packs": _table(path=_S, number=_I),
     "stream_batches": _table(stream=_S, batch=_L),
 }
 
 
 #: The column by whose hash a table's rows are dealt to buckets; other tables are small and have one.
-KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id", "session_events": "session_id"}
+KEYS = {"documents": "doc_id", "chunks": "doc_id", "parsed_units": "doc_id", "document_pages": "document_id", "collection_documents": "doc_id", "chunk_embeddings": "doc_id", "session_events": "session_id", "object_packs": "path"}
 BUCKETS = 256
 #: Folder of the files by which writers take the numbers of commits.
 CLAIMS = "_claims"
@@ -104,14 +105,16 @@ class SnapshotStore:
         folders = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
         return {f.removeprefix("bucket="): f"{path}/{f}" for f in folders if f.startswith("bucket=")}
 
-    def commit(self, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, **tables: DataFrame) -> None:
+    def commit(self, changes: dict[str, tuple[DataFrame, DataFrame]] | None = None, since: int | None = None, **tables: DataFrame) -> None:
         """Make new contents current, all at once: of whole ``tables``, and in ``changes`` of the rows that some keys have.
 
         A change is (keys, rows): rows take the place of all rows with these keys, a column of
         the table's key name; buckets without any of them stay as they are. Fails if another writer
-        has committed since this one began.
+        has committed since this one began, or since the commit with the number ``since``.
         """
         number, now = self.current()
+        if since is not None and number != since:
+            raise OSError("another writer was first")
         for name, df in tables.items():
             now[name] = self._written(name, df)
         for name, (keys, rows) in (changes or {}).items():
@@ -166,9 +169,10 @@ class SnapshotStore:
         for name in names[-keep:]:
             tables = self._contents(name)
             named |= {f for buckets in tables.values() for f in buckets.values()}
-            named |= {r.path for r in self._of("search_segments", sorted(tables.get("search_segments", {}).values())).select("path").collect()}  # a handful
+            for kind in ("search_segments", "object_packs"):
+                named |= {r.path for r in self._of(kind, sorted(tables.get(kind, {}).values())).select("path").collect()}  # a handful
         gone, now = 0, time.time()
-        for table in [*SCHEMAS, "search"]:
+        for table in [*SCHEMAS, "search", "objects"]:
             top = self._path(f"{self.root}/{table}")
             for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
                 path = f"{self.root}/{table}/{s.getPath().getName()}"
